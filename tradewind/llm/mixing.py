@@ -36,15 +36,15 @@ def _share(part: Column, whole: Column, amount: Column) -> Column:
     return F.call_function("div", part.cast(_WIDE) * amount.cast(_WIDE), whole.cast(_WIDE))
 
 
-def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: int | None, max_epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: int | None, max_epochs: int, percent: int = 100) -> DataFrame:
     """(levels..., avail, target) for leaves (levels..., avail): the token target of each leaf.
 
     `leaves` has a row per leaf; siblings, not rows of documents, meet in one window.
-    `budget` None asks for as many tokens as there are. A budget over the capacity of the
+    `budget` None asks for `percent` of the tokens there are. A budget over the capacity of the
     whole tree is cut to it.
     """
     caps = leaves.withColumn("cap", F.col("avail") * F.lit(max_epochs))
-    top = caps.agg(F.sum("cap").alias("cap"), F.sum("avail").alias("avail")).select(F.least(F.col("cap"), F.col("avail") if budget is None else F.lit(budget)).alias("given"))
+    top = caps.agg(F.sum("cap").alias("cap"), F.sum("avail").alias("avail")).select(F.least(F.col("cap"), F.call_function("div", F.col("avail") * percent, F.lit(100)) if budget is None else F.lit(budget)).alias("given"))
     given, keys = top, []
     for level in levels:
         path = [*keys, level]
@@ -69,7 +69,7 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     return leaves.join(given, list(levels)).withColumnRenamed("given", "target")
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: int | None = None, max_epochs: int = 4, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
+def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: int | None = None, max_epochs: int = 4, seed: int = 17, percent: int = 100, id_col: str = "doc_id", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
     """`docs` as drawn: each row once per epoch it is read in, plus mix_<level>, mix_tokens, mix_epoch, mix_target.
 
     `levels` names the tree from root to leaf by column expressions; a null there is a
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     tagged = docs.withColumns(node)
     slim = stage(tagged.select(F.col(id_col).cast("string").alias("id"), *names, n_words(F.col(text_col)).alias("n")), "mix-rows")
     leaves = stage(slim.groupBy(*names).agg(F.sum("n").alias("avail")), "mix-leaves")
-    plan = budgets(leaves, names, {prefix + k: v for k, v in weights.items()}, budget, max_epochs)
+    plan = budgets(leaves, names, {prefix + k: v for k, v in weights.items()}, budget, max_epochs, percent)
     whole = F.when(F.col("avail") > 0, F.call_function("div", F.col("target"), F.col("avail"))).otherwise(F.lit(0)).cast("long")
     plan = stage(plan.withColumn("whole", whole).withColumn("rest", F.when(F.col("avail") > 0, F.col("target") - F.col("whole") * F.col("avail")).otherwise(F.lit(0)).cast("long")), "mix-plan")
 

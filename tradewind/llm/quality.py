@@ -53,18 +53,20 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     step = step.withColumn(_Q + "h", F.coalesce(grams, F.array().cast("array<bigint>")))
     step = step.withColumn(_Q + "l", F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANK_CHARS, "")) > 0))
     letters = UPPER + UPPER.lower()
-    return step.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.translate(text, BLANK_CHARS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_marked(h)),
-            "n_upper": (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long"),
-            "n_letters": (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long"),
-        }
-    ).drop(_Q + "w", _Q + "h", _Q + "l")
+    made = {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.translate(text, BLANK_CHARS, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_marked(h)),
+        "n_upper": (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long"),
+        "n_letters": (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long"),
+    }
+    # as the output of a generator the features are computed once: no filter on them is moved below it
+    packed = F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()])))
+    kept = [c for c in docs.columns if c not in made]
+    return step.select(*[F.col(c) for c in kept], packed.alias(_Q + "f")).select(*kept, *[F.col(f"{_Q}f.{k}").alias(k) for k in made])
 
 
 def _vote(bad: Column, good: Column) -> Column:
