@@ -8,8 +8,11 @@ length, and a key that is found counts only if the stored string is the same.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -56,22 +59,24 @@ def _key(text: str) -> int:
 class DigestArray:
     """Sorted 64-bit keys, and per key the verdict and the place of the full string."""
 
-    def __init__(self, folder: str) -> None:
-        load = lambda name: np.load(os.path.join(folder, name), mmap_mode="r")
-        self.keys, self.verdicts, self.ends, self.text, self.lengths = (load(f"{x}.npy") for x in ("keys", "verdicts", "ends", "text", "lengths"))
+    PARTS = ("keys", "verdicts", "ends", "text", "lengths")
+
+    def __init__(self, paths: Sequence[str]) -> None:
+        """Maps the files of PARTS into memory."""
+        self.keys, self.verdicts, self.ends, self.text, self.lengths = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 4096 else None) for p in paths)
 
     @staticmethod
-    def write(rules: Sequence[Rule], folder: str) -> None:
-        """Of rules with the same string the last one counts."""
+    def write(rules: Sequence[Rule], folder: str, tag: str) -> list[str]:
+        """The paths of the files of PARTS. Of rules with the same string the last one counts."""
         last = {r.text: r for r in rules}
         found = sorted((_key(t), t.encode(), r) for t, r in last.items())
-        os.makedirs(folder, exist_ok=True)
-        save = lambda name, data: np.save(os.path.join(folder, f"{name}.npy"), data)
+        save = lambda name, data: np.save(os.path.join(folder, f"{tag}-{name}.npy"), data)
         save("keys", np.array([k for k, _, _ in found], dtype=np.uint64))
         save("verdicts", np.array([_ALLOW if r.verdict == "allow" else _BLOCK for _, _, r in found], dtype=np.uint8))
         save("ends", np.cumsum([0, *(len(t) for _, t, _ in found)], dtype=np.int64))
         save("text", np.frombuffer(b"".join(t for _, t, _ in found), dtype=np.uint8))
         save("lengths", np.array(sorted({len(r.path) for r in last.values()}), dtype=np.int64))
+        return [os.path.join(folder, f"{tag}-{name}.npy") for name in DigestArray.PARTS]
 
     def find(self, texts: list[str]) -> np.ndarray:
         """The place of each text among the rules, or -1."""
@@ -118,8 +123,8 @@ class DigestArray:
 
 
 @lru_cache(maxsize=4)
-def _opened(name: str) -> DigestArray:
-    return DigestArray(SparkFiles.get(name))
+def _opened(tag: str) -> DigestArray:
+    return DigestArray([SparkFiles.get(f"{tag}-{name}.npy") for name in DigestArray.PARTS])
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -> DataFrame:
@@ -133,14 +138,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; one index holds {MAX_RULES}")
-    folder = tempfile.mkdtemp(prefix="urlrules-")
-    DigestArray.write(rules, folder)
-    pages.sparkSession.sparkContext.addFile(folder, recursive=True)
-    name = os.path.basename(folder)
+    tag = f"urlrules-{uuid.uuid4().hex}"
+    folder = tempfile.mkdtemp(prefix="urlrules-")  # executors fetch the files from the driver when they first need them
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    for path in DigestArray.write(rules, folder, tag):
+        pages.sparkSession.sparkContext.addFile(path)
 
     @F.pandas_udf("rule string, verdict string")
     def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        index = _opened(name)
+        index = _opened(tag)
         for host, path in batches:
             rule, verdict = index.judge(list(host), list(path))
             yield pd.DataFrame({"rule": pd.Series(rule, dtype=object), "verdict": verdict})
