@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .quantity import core_tokens, signature, signatures_conflict
 from .text import DIFFERENCE_NOISE, STOP_WORDS, fold
@@ -33,7 +34,7 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """2 * LCS / (sum of lengths) of two strings; two empty ones are alike."""
     for a, b in batches:
