@@ -14,7 +14,8 @@ have no size bound. Two ways of dealing are offered:
   times, which is exact for the same reason.
 * ``sketch`` (for radii too wide for blocks): a document joins the shards of its least
   distinct shingle hashes. Documents of Jaccard similarity j share none of k least hashes
-  with a probability of about (1 - j)**k.
+  with a probability of about (1 - j)**k. A shard over SHARD_LIMIT is dealt again by sampled
+  bits (see :func:`cells`).
 
 Shards give the links that connect them, at most one less than they have members, and
 connected components join them up.
@@ -22,6 +23,7 @@ connected components join them up.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .graph import components
 
 SEED = 42
 SHARD_LIMIT = 256
+#: A shard over the limit is cut by sampled bits into cells of about CELL members.
+CELL, CELL_MISS = 16, 0.02
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -207,16 +211,51 @@ def block_shards(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> Da
     return done
 
 
-def sketch_shards(prints: DataFrame, keys: int, limit: int = SHARD_LIMIT) -> DataFrame:
+def cells(members: int, radius: int, bits: int) -> np.ndarray:
+    """(tables, bits of a table): places of the bits that cut a shard of so many members into cells of about CELL.
+
+    There are so many tables that two fingerprints at the radius itself share no cell with a
+    probability of CELL_MISS at most; nearer ones miss far more rarely.
+    """
+    width = min(32, max(4, math.ceil(math.log2(max(members, 1) / CELL))))
+    tables = math.ceil(math.log(CELL_MISS) / math.log(1 - (1 - radius / bits) ** width))
+    rng = np.random.default_rng(width)
+    return np.stack([rng.permutation(bits)[:width] for _ in range(tables)])
+
+
+def _deal_cells(rows: DataFrame, radius: int) -> DataFrame:
+    """(key, fp, rep) for rows (key, fp, rep, _n): a key for each table of :func:`cells` of a shard of _n members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                fps = batch.column(1).to_pylist()
+                for (key, n), where in pd.Series(range(len(fps))).groupby([batch.column(0).to_pandas(), batch.column(3).to_pandas()]):
+                    mine = [fps[i] for i in where]
+                    bits = np.unpackbits(np.frombuffer(b"".join(mine), dtype=np.uint8).reshape(len(mine), -1), axis=1)
+                    if n not in places:
+                        places[n] = cells(n, radius, bits.shape[1])
+                    picked = np.packbits(bits[:, places[n]], axis=2)
+                    keys = [xxhash.xxh64_intdigest(c.tobytes(), (int(key) + t * 0x9E3779B97F4A7C15) & (2**64 - 1)) for row in picked for t, c in enumerate(row)]
+                    times = len(places[n])
+                    reps = np.repeat(batch.column(2).to_numpy()[where.to_numpy()], times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array([f for f in mine for _ in range(times)], pa.binary()), pa.array(reps, pa.int64())], ["key", "fp", "rep"])
+
+    return rows.select("key", "fp", "rep", "_n").mapInArrow(run, "key long, fp binary, rep long")
+
+
+def sketch_shards(prints: DataFrame, keys: int, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
     """(key, fp, rep) for prints (fp, rep, least): see ``sketch`` above.
 
-    `least` holds more hashes than `keys`; a shard over the limit, which holds a passage that
-    many documents share, is dealt again by pairs of its key with each other least hash.
+    A shard over the limit holds a passage that many documents share, or near copies. It is
+    dealt again by samples of its fingerprints' bits, or every member would meet every leader.
     """
-    rows = prints.select("fp", "rep", "least", F.explode(F.slice("least", 1, keys)).alias("key"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("key")
-    pairs = rows.join(hot, "key", "left_semi").withColumn("other", F.explode("least")).where("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "fp", "rep").distinct()
-    return rows.join(hot, "key", "left_anti").select("key", "fp", "rep").unionByName(pairs)
+    rows = prints.select("fp", "rep", F.explode(F.slice("least", 1, keys)).alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    met = stage(rows.join(counts, "key").select("key", "fp", "rep", "_n"), "sketch-shards")
+    return met.where(F.col("_n") <= limit).select("key", "fp", "rep").unionByName(_deal_cells(met.where(F.col("_n") > limit), radius))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, keys: int = 0, limit: int = SHARD_LIMIT) -> DataFrame:
@@ -230,11 +269,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty table, and other columns are not looked at. Equal fingerprints are one
     node, whatever their number.
     """
-    least = 2 * keys
-    made = fingerprints(F.col(text_col), width, lanes, least)
+    made = fingerprints(F.col(text_col), width, lanes, keys)
     slim = stage(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), made.alias("m")).select("id", F.col("m.fp").alias("fp"), F.col("m.least").alias("least")), "prints")
     prints = stage(slim.groupBy("fp").agg(F.min("id").alias("rep"), *([F.min_by("least", "id").alias("least")] if keys else [])), "distinct-prints")
-    members = sketch_shards(prints, keys, limit) if keys else block_shards(prints, radius, limit)
+    members = sketch_shards(prints, keys, radius, limit) if keys else block_shards(prints, radius, limit)
     # rows that share an id but not a text have several fingerprints: their representatives are linked too
     own = slim.select("id", "fp").distinct().join(prints.select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     shared = own.join(slim.select("id", "fp").distinct().groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("u")), "u", "left_semi")
