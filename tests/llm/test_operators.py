@@ -180,3 +180,26 @@ def test_fuzzy_lines(spark):
     rows = [(1, base + "\nshort"), (2, base.upper() + "!\nother line that is long enough to count"), (3, None), (4, "")]
     got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (2, []), 2: (2, [0]), 3: (1, []), 4: (1, [])}
+
+
+def test_near_duplicates_sharing_a_passage(spark):
+    """Over-full shards: a passage in all documents neither joins them nor hides the near copies."""
+    passage = " ".join(f"common{k}" for k in range(30))
+    rows = []
+    for d in range(60):
+        own = [f"d{d}w{k}" for k in range(80)]
+        rows += [(2 * d, f"{' '.join(own)} {passage}"), (2 * d + 1, f"{' '.join(own[:-1])} other {passage}")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, lanes=4, radius=42, keys=6, limit=4)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
+def test_line_hash_counts_every_word_pair(spark):
+    """One piece, its bounds, and several pieces against plain counting."""
+    lines = [" ".join(f"w{k * k % 97}" for k in range(n)) for n in (1, 2, 3, 5, 18, 127, 128, 129, 130, 400)]
+    frame = spark.createDataFrame(list(enumerate(lines)), "at long, norm string")
+    got = {r["at"]: r["x"] for r in line_dedup.with_line_hash(frame, "norm", "x").collect()}
+    parts = [(at, *((w[i : i + 2] if len(w) > 1 else [w[0], None]))) for at, line in enumerate(lines) for w in [line.split()] for i in range(max(1, len(w) - 1))]
+    pairs = spark.createDataFrame(parts, "at long, a string, b string").selectExpr("at", "if(b is null, xxhash64(a), xxhash64(a, b)) h").collect()
+    for at in got:
+        hashes = [r["h"] for r in pairs if r["at"] == at]
+        assert got[at] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))

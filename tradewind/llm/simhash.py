@@ -14,8 +14,8 @@ have no size bound. Two ways of dealing are offered:
   times, which is exact for the same reason.
 * ``sketch`` (for radii too wide for blocks): a document joins the shards of its least
   distinct shingle hashes. Documents of Jaccard similarity j share none of k least hashes
-  with a probability of about (1 - j)**k. A shard over SHARD_LIMIT is dealt again by sampled
-  bits (see :func:`cells`).
+  with a probability of about (1 - j)**k. The members of shards over SHARD_LIMIT
+  are dealt by sampled bits instead (see :func:`cells`).
 
 Shards give the links that connect them, at most one less than they have members, and
 connected components join them up.
@@ -38,8 +38,8 @@ from .graph import components
 
 SEED = 42
 SHARD_LIMIT = 256
-#: A shard over the limit is cut by sampled bits into cells of about CELL members.
-CELL, CELL_MISS = 16, 0.02
+#: Members of shards over the limit are cut by sampled bits into cells of about CELL.
+CELL, CELL_MISS = 64, 0.02
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -212,7 +212,7 @@ def block_shards(prints: DataFrame, radius: int, limit: int = SHARD_LIMIT) -> Da
 
 
 def cells(members: int, radius: int, bits: int) -> np.ndarray:
-    """(tables, bits of a table): places of the bits that cut a shard of so many members into cells of about CELL.
+    """(tables, bits of a table): places of the bits that cut so many fingerprints into cells of about CELL.
 
     There are so many tables that two fingerprints at the radius itself share no cell with a
     probability of CELL_MISS at most; nearer ones miss far more rarely.
@@ -223,39 +223,38 @@ def cells(members: int, radius: int, bits: int) -> np.ndarray:
     return np.stack([rng.permutation(bits)[:width] for _ in range(tables)])
 
 
-def _deal_cells(rows: DataFrame, radius: int) -> DataFrame:
-    """(key, fp, rep) for rows (key, fp, rep, _n): a key for each table of :func:`cells` of a shard of _n members."""
+def _deal_cells(rows: DataFrame, places: np.ndarray) -> DataFrame:
+    """(key, fp, rep) for rows (fp, rep): a row for each table of `places`, keyed by the table and its bits."""
+    tables, width = places.shape
+    powers, salt = 1 << np.arange(width, dtype=np.uint64), np.arange(tables, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[int, np.ndarray] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                fps = batch.column(1).to_pylist()
-                for (key, n), where in pd.Series(range(len(fps))).groupby([batch.column(0).to_pandas(), batch.column(3).to_pandas()]):
-                    mine = [fps[i] for i in where]
-                    bits = np.unpackbits(np.frombuffer(b"".join(mine), dtype=np.uint8).reshape(len(mine), -1), axis=1)
-                    if n not in places:
-                        places[n] = cells(n, radius, bits.shape[1])
-                    picked = np.packbits(bits[:, places[n]], axis=2)
-                    keys = [xxhash.xxh64_intdigest(c.tobytes(), (int(key) + t * 0x9E3779B97F4A7C15) & (2**64 - 1)) for row in picked for t, c in enumerate(row)]
-                    times = len(places[n])
-                    reps = np.repeat(batch.column(2).to_numpy()[where.to_numpy()], times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array([f for f in mine for _ in range(times)], pa.binary()), pa.array(reps, pa.int64())], ["key", "fp", "rep"])
-
-    return rows.select("key", "fp", "rep", "_n").mapInArrow(run, "key long, fp binary, rep long")
+            for at in range(0, whole.num_rows, 1024):
+                fps, reps = whole.slice(at, 1024).columns
+                bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), dtype=np.uint8).reshape(len(fps), -1), axis=1)
+                # no least hash is likely to be as small as these keys, and a clash would add a candidate, not lose one
+                keys = ((bits[:, places] * powers).sum(axis=2, dtype=np.uint64) | salt).reshape(-1)
+                each = pa.array(np.repeat(np.arange(len(fps)), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), fps.take(each), reps.take(each)], ["key", "fp", "rep"])
+
+    return rows.select("fp", "rep").mapInArrow(run, "key long, fp binary, rep long")
 
 
 def sketch_shards(prints: DataFrame, keys: int, radius: int, limit: int = SHARD_LIMIT) -> DataFrame:
     """(key, fp, rep) for prints (fp, rep, least): see ``sketch`` above.
 
-    A shard over the limit holds a passage that many documents share, or near copies. It is
-    dealt again by samples of its fingerprints' bits, or every member would meet every leader.
+    A shard over the limit holds a passage that many documents share, or near copies. Its
+    members are dealt by samples of their fingerprints' bits instead, once each however many
+    such shards they are in, or every member would meet every leader.
     """
     rows = prints.select("fp", "rep", F.explode(F.slice("least", 1, keys)).alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     met = stage(rows.join(counts, "key").select("key", "fp", "rep", "_n"), "sketch-shards")
-    return met.where(F.col("_n") <= limit).select("key", "fp", "rep").unionByName(_deal_cells(met.where(F.col("_n") > limit), radius))
+    cool = met.where(F.col("_n") <= limit).select("key", "fp", "rep")
+    hot = met.where(F.col("_n") > limit).groupBy("rep").agg(F.first("fp").alias("fp"))
+    size, width = hot.agg(F.count("*"), F.max(F.octet_length("fp"))).first()
+    return cool.unionByName(_deal_cells(hot, cells(size, radius, 8 * width))) if size else cool
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, keys: int = 0, limit: int = SHARD_LIMIT) -> DataFrame:
