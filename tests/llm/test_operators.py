@@ -203,3 +203,37 @@ def test_line_hash_counts_every_word_pair(spark):
     for at in got:
         hashes = [r["h"] for r in pairs if r["at"] == at]
         assert got[at] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, q in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
+    return row[-1]
+
+
+def test_line_links_lose_none(spark, texts):
+    """Every link between classes, those of one hash and those beside their head included."""
+    lines = {"ab cd " * n + "ab" for n in (4, 5, 6, 7, 9, 14, 15, 30)} | {"cd ab " * n + "cd" for n in (4, 5, 9, 10)}
+    lines |= {" ".join(re.findall(r"[^\W_]+", y.lower())) for x in texts.values() for y in (x or "").split("\n")}
+    rows = [(k, y) for k, y in enumerate(sorted(lines)) if 20 <= len(y) <= 400]
+    frame = line_dedup.with_line_hash(spark.createDataFrame(rows, "c long, norm string"), "norm", "x").cache()
+    keyed = [(r["c"], r["norm"], r["x"] & (2**64 - 1)) for r in frame.collect()]
+    hashes, root = np.array([x for _, _, x in keyed], dtype=np.uint64), {c: c for c, _, _ in keyed}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for i, (c, s, x) in enumerate(keyed):
+        for j in np.flatnonzero(np.bitwise_count(hashes[i + 1 :] ^ np.uint64(x)) <= 3) + i + 1:
+            d, t, _ = keyed[j]
+            if _edits(s, t) <= int(max(len(s), len(t)) * 0.2 + 1e-9):
+                a, b = find(c), find(d)
+                root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in line_dedup.line_links(frame, 0.8).collect()}
+    assert {c: got.get(c, c) for c in root} == {c: find(c) for c in root}
+    assert sum(c != find(c) for c in root) > 5
