@@ -234,6 +234,6 @@ def test_line_links_lose_none(spark, texts):
             if _edits(s, t) <= int(max(len(s), len(t)) * 0.2 + 1e-9):
                 a, b = find(c), find(d)
                 root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in line_dedup.line_links(frame, 0.8).collect()}
+    got = {r["node"]: r["component"] for r in line_dedup.line_links(frame.selectExpr("c", "x", "length(norm) len"), frame.select("c", "norm"), 0.8).collect()}
     assert {c: got.get(c, c) for c in root} == {c: find(c) for c in root}
     assert sum(c != find(c) for c in root) > 5
