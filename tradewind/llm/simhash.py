@@ -102,35 +102,21 @@ class BKTree:
         self.children.append({})
         return len(self.values) - 1
 
-    def search(self, value: int, radius: int, first: bool = False) -> list[int]:
-        """The places of all values within the radius; with `first`, of one at most."""
+    def search(self, value: int, radius: int) -> list[int]:
+        """The places of all values within the radius."""
         found, todo = [], [0] if self.values else []
         while todo:
             at = todo.pop()
             d = (value ^ self.values[at]).bit_count()
             if d <= radius:
                 found.append(at)
-                if first:
-                    return found
             todo += [c for e, c in self.children[at].items() if d - radius <= e <= d + radius]
         return found
 
 
-def shard_links(values: list[int], radius: int, leaders: bool) -> list[tuple[int, int]]:
-    """Links (as places in `values`) that connect what the radius connects.
-
-    With `leaders`, a value links to the first leader found and becomes one where there is none.
-    """
+def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links (as places in `values`) that connect what the radius connects."""
     tree, links = BKTree(), []
-    if leaders:
-        where: list[int] = []
-        for i, v in enumerate(values):
-            hit = tree.search(v, radius, first=True)
-            if hit:
-                links.append((where[hit[0]], i))
-            elif tree.add(v) == len(where):
-                where.append(i)
-        return links
     parent = list(range(len(values)))
 
     def root(x: int) -> int:
@@ -150,7 +136,7 @@ def shard_links(values: list[int], radius: int, leaders: bool) -> list[tuple[int
     return links
 
 
-def _link_shards(members: DataFrame, radius: int, leaders: bool) -> DataFrame:
+def _link_shards(members: DataFrame, radius: int) -> DataFrame:
     """(u, v) for members (key long, fp binary, rep long), a BK-tree per key."""
     keys = members.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     full = members.join(keys, "key").select("key", "fp", "rep")
@@ -160,7 +146,7 @@ def _link_shards(members: DataFrame, radius: int, leaders: bool) -> DataFrame:
         key, values, reps = None, [], []
 
         def close() -> list[tuple[int, int]]:
-            return [(reps[a], reps[b]) for a, b in shard_links(values, radius, leaders)] if len(values) > 1 else []
+            return [(reps[a], reps[b]) for a, b in shard_links(values, radius)] if len(values) > 1 else []
 
         def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
@@ -262,8 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least id that links reach, through fingerprints that differ in at
     most `radius` bits. With `keys` 0 and one lane this is exact; with `keys`, candidates come
-    from shards of that many least shingle hashes, and each links to the first leader that is
-    within the radius. A text without words, or null, has fingerprint zero and links like any
+    from shards of that many least shingle hashes, and all within the radius link. A text without words, or null, has fingerprint zero and links like any
     other. Rows that share an id share a component; a null id counts as -1. An empty table
     gives an empty table, and other columns are not looked at. Equal fingerprints are one
     node, whatever their number.
@@ -275,6 +260,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows that share an id but not a text have several fingerprints: their representatives are linked too
     own = slim.select("id", "fp").distinct().join(prints.select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     shared = own.join(slim.select("id", "fp").distinct().groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("u")), "u", "left_semi")
-    linked = components(_link_shards(members, radius, bool(keys)).unionByName(shared))
+    linked = components(_link_shards(members, radius).unionByName(shared))
     named = prints.select("fp", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return slim.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
