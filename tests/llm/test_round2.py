@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from tradewind.llm import simhash
 
 
@@ -22,3 +23,26 @@ def test_edited_copies_join_whatever_their_order(spark):
         rows += [(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, lanes=4, radius=42, keys=6)
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, i - i % 100) for i, _ in rows}
+
+
+def _pairs_of_similarity(low, high, first):
+    """(id, text), (id + 1, text): 40 pairs of 300-word texts whose five-word runs have a Jaccard similarity in [low, high)."""
+    rng = random.Random(first)
+    rows = []
+    while len(rows) < 80:
+        base = [f"p{first + len(rows)}w{k}" for k in range(300)]
+        copy = list(base)
+        for k in rng.sample(range(300), rng.randint(4, 12)):
+            copy[k] = f"x{first + len(rows)}x{k}"
+        a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (base, copy))
+        if low <= len(a & b) / len(a | b) < high:
+            rows += [(first + len(rows), " ".join(base)), (first + len(rows) + 1, " ".join(copy))]
+    return rows
+
+
+def test_near_copies_are_those_of_shingle_similarity(spark):
+    """Pairs just over 0.8 are found and pairs just under it are left alone."""
+    over, under = _pairs_of_similarity(0.8, 0.83, 0), _pairs_of_similarity(0.72, 0.8, 1000)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in over + under], "doc_id long, text string, lang string, source string, n_chars int")
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == {i for i, _ in over if i % 2 == 0} | {i for i, _ in under}

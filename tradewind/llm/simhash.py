@@ -18,11 +18,13 @@ have no size bound. Two ways of dealing are offered:
   are dealt by sampled bits instead (see :func:`cells`).
 
 Shards give the links that connect them, at most one less than they have members, and
-connected components join them up.
+connected components join them up. :func:`near_copies` takes what is within the radius for
+candidates only and counts the shingles of both documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,6 +246,165 @@ def sketch_shards(prints: DataFrame, keys: int, radius: int, limit: int = SHARD_
     return cool.unionByName(_deal_cells(hot, cells(size, radius, 8 * width))) if size else cool
 
 
+# ---------------------------------------------------------------- confirmed by their shingles
+
+
+#: Sets under this many shingles have too few votes for the radius to hold; sizes decide alone.
+FEW_SHINGLES = 32
+#: A shard with up to so many pairs a member gives all of them; a larger one the nearest first.
+PAIRS_EACH = 4
+
+
+def _sketch(docs: DataFrame, width: int, lanes: int, keys: int) -> DataFrame:
+    """(file, row, id, rep, n, fp, least) for docs (file, row, id, text), of the set of shingles; rep stands for the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rep, n, fps, least = [], [], [], []
+                for x in batch.column(3):
+                    h = np.unique(shingle_hashes(x.as_py(), width))
+                    rep.append(int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "big", signed=True))
+                    n.append(len(h))
+                    fps.append(fingerprint(h, lanes))
+                    least.append(h[:keys].view(np.int64))
+                made = [pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(least, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["file", "row", "id", "rep", "n", "fp", "least"])
+
+    return docs.select("file", "row", "id", "text").mapInArrow(run, "file long, row long, id long, rep long, n int, fp binary, least array<long>")
+
+
+def _pairs_in(key: int, fps: list[bytes], reps: list[int], sizes: list[int], comps: list[int] | None, radius: int, similarity: float) -> list[tuple[int, int, int, bool]]:
+    """(key, u, v, open): pairs of a shard within the radius whose sizes fit.
+
+    Without components, all of them or, where there are more than PAIRS_EACH a member, the two
+    nearest of each, which leaves the shard open. With components, all that are in different ones.
+    """
+    bits = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(fps), -1)
+    n, of = np.array(sizes), None if comps is None else np.array(comps)
+    out, near, total = [], [], 0
+    step = max(1, 2_000_000 // (len(fps) * bits.shape[1]))
+    for a in range(0, len(fps), step):
+        mine = np.arange(a, min(a + step, len(fps)))
+        far = np.bitwise_count(bits[mine, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
+        low, high = np.minimum(n[mine, None], n), np.maximum(n[mine, None], n)
+        fit = ((far <= radius) | (low < FEW_SHINGLES)) & (low >= similarity * high - 1e-9)
+        fit[np.arange(len(mine)), mine] = False
+        if of is not None:
+            fit &= of[mine, None] != of
+        else:
+            far[~fit] = 9999
+            for _ in range(2):
+                best = far.argmin(axis=1)
+                good = far[np.arange(len(mine)), best] < 9999
+                near += zip(mine[good].tolist(), best[good].tolist(), strict=True)
+                far[np.arange(len(mine)), best] = 9999
+        fit &= mine[:, None] < np.arange(len(fps))
+        total += int(fit.sum())
+        if of is not None or total <= PAIRS_EACH * len(fps):
+            i, j = np.nonzero(fit)
+            out += zip((i + a).tolist(), j.tolist(), strict=True)
+    left = of is None and total > PAIRS_EACH * len(fps)
+    return [(key, min(reps[i], reps[j]), max(reps[i], reps[j]), left) for i, j in (near if left else out)]
+
+
+def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(key, u, v, open) for members (key, fp, rep, n) or (key, fp, rep, n, component); see :func:`_pairs_in`."""
+    told = "component" in members.columns
+    parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps, reps, sizes, comps = None, [], [], [], []
+        found: list[tuple[int, int, int, bool]] = []
+
+        def close() -> None:
+            if len(fps) > 1:
+                found.extend(_pairs_in(key, fps, reps, sizes, comps if told else None, radius, similarity))
+
+        def out() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["key", "u", "v", "open"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            for k, fp, rep, n, *comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    close()
+                    key, fps, reps, sizes, comps = k, [], [], [], []
+                fps.append(fp)
+                reps.append(rep)
+                sizes.append(n)
+                comps += comp
+            yield out()
+        close()
+        yield out()
+
+    columns = ["key", "fp", "rep", "n", *(["component"] if told else [])]
+    return members.select(*columns).repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "key long, u long, v long, open boolean")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of sets with a Jaccard similarity of `similarity` or more; `texts` (rep, text) has each set once."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingle_hashes(x, width)).view(np.int64) for x in batch])
+
+    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "copy-wanted")
+    sets = stage(texts.join(wanted, "rep", "left_semi").select("rep", shingles("text").alias("h")), "copy-shingles")
+    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("h").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def with_place(docs: DataFrame) -> DataFrame:
+    """`docs` with (file, row), which tell its rows apart and are the same in every scan of the same files."""
+    place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:  # not rows of a table as it is written
+        return stage(docs, "placed").select("*", *place)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 4, radius: int = 56, keys: int = 6, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
+    """(file, row, component): each row of `docs`, which :func:`with_place` made, with the group of near copies it is in, and `first`.
+
+    A link joins texts whose sets of shingles have a Jaccard similarity of `similarity` or more,
+    counted exactly; components are those of all links among the candidates. Candidates are the
+    pairs of a sketch shard within the radius. Texts without words, or null, are one set. `first`
+    is true for the row of the least id in each group, null ids last; among rows of equal id for
+    the first in place.
+    """
+    slim = stage(_sketch(docs.select("file", "row", F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, lanes, keys), "prints")
+    at = F.struct("file", "row")
+    nodes = stage(slim.groupBy("rep").agg(F.min(at).alias("at"), F.min_by("fp", at).alias("fp"), F.min_by("least", at).alias("least"), F.min("n").alias("n")), "distinct-prints")
+    places = nodes.select("rep", F.col("at.file").alias("file"), F.col("at.row").alias("row"))
+    members = sketch_shards(nodes, keys, radius, limit).join(nodes.select("rep", "n"), "rep")
+    texts = docs.select("file", "row", F.col(text_col).cast("string").alias("text"))
+
+    def check(found: DataFrame) -> DataFrame:
+        pairs = stage(found.select("u", "v").distinct(), "copy-pairs")
+        asked = stage(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(places, "rep"), "copy-places")
+        return stage(_confirmed(pairs, texts.join(asked, ["file", "row"]).select("rep", "text"), width, similarity), "copy-links")
+
+    near = stage(_shard_pairs(members, radius, similarity), "copy-near")
+    links = check(near)
+    linked = components(links)
+    # of shards that gave their nearest pairs only: what these have not joined
+    unsettled = near.where("open").select("key").distinct()
+    rest = members.join(unsettled, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = stage(_shard_pairs(rest, radius, similarity), "copy-near")
+    if not more.isEmpty():
+        linked = components(links.unionByName(check(more)))
+    named = slim.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("file", "row", "id", F.coalesce("component", "rep").alias("component"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
+    kept = named.groupBy("component").agg(F.min(order).alias("keep"))
+    return named.join(kept, "component").select("file", "row", "component", ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, lanes: int = 1, keys: int = 0, limit: int = SHARD_LIMIT) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of `docs`.
 
