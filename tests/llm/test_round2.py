@@ -46,3 +46,10 @@ def test_near_copies_are_those_of_shingle_similarity(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in over + under], "doc_id long, text string, lang string, source string, n_chars int")
     left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert left == {i for i, _ in over if i % 2 == 0} | {i for i, _ in under}
+
+
+def test_cells_miss_few_pairs():
+    """Pairs at the radius share no cell with a probability of 1e-4 at most."""
+    for members in (300, 10_000, 1_000_000):
+        tables, width = simhash.cells(members, 56, 256).shape
+        assert (1 - (1 - 56 / 256) ** width) ** tables <= 1e-4
