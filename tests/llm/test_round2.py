@@ -53,3 +53,22 @@ def test_cells_miss_few_pairs():
     for members in (300, 10_000, 1_000_000):
         tables, width = simhash.cells(members, 56, 256).shape
         assert (1 - (1 - 56 / 256) ** width) ** tables <= 1e-4
+
+
+def test_near_copies_under_repeated_and_null_ids(spark):
+    """Copies that share an id, or have none, leave one row each."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("1", a), ("1", b), ("7", None), ("None", c)]
+
+
+def test_contaminated_rows_without_an_id_go(spark, tmp_path):
+    """Of rows that share an id, or have none, only those with a passage of the benchmark go."""
+    item = " ".join(f"q{k}" for k in range(12))
+    spark.createDataFrame([("i1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "clean"), (1, f"a {item}"), (None, f"b {item}"), (None, "also clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == [("1", "clean"), ("None", "also clean")]
