@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tradewind.llm import simhash
+from tradewind.llm import decontaminate, simhash
 
 
 def test_edited_copies_join_whatever_their_order(spark):
@@ -72,3 +72,11 @@ def test_contaminated_rows_without_an_id_go(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
     left = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.text) for r in left) == [("1", "clean"), ("None", "also clean")]
+
+
+def test_benchmark_items_without_an_id_are_searched(spark):
+    passage = " ".join(f"q{k}" for k in range(12))
+    items = spark.createDataFrame([(None, passage), ("b", passage + " more words"), (None, "z1 z2 z3")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "some z1 z2 z3"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {1: (12, 1, True), 2: (3, 0, True), 3: (0, 0, False)}

@@ -140,7 +140,7 @@ class Windows:
         for item, text in items:
             ids = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in split_words(text)]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(str(item))
+                found.setdefault(tuple(ids[i : i + window]), set()).update([] if item is None else [str(item)])
         self.patterns = [np.array(p, dtype=np.int64) for p in found]
         self.owners = list(found.values())
         self.shortest = min(map(len, self.patterns), default=0)
@@ -190,7 +190,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Per row of `docs`: its id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word, word after the last).
 
     A window is `window` consecutive words of an item, or all words of a shorter one; an item
-    without words has none. Null texts have no words. Each row counts for itself, repeated or
+    without words has none. Windows of items with a null id are hits like any others, for n_hit, contaminated
+    and spans; having no id, such items count neither in n_items nor in the digest. Null texts have no words. Each row counts for itself, repeated or
     not; an empty benchmark leaves everything clean; an empty table gives an empty table.
     Nothing is shuffled, so frequent passages gather nowhere. The benchmark is the query set:
     its size is measured, and beyond BLOCK_BYTES it is searched for in blocks, one after the
@@ -203,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     asked = []
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        asked.append(spark.sparkContext.broadcast(sorted((r.item, r.text or "") for r in some.collect() if r.item is not None)))  # of BLOCK_BYTES
+        asked.append(spark.sparkContext.broadcast(sorted(((r.item, r.text or "") for r in some.collect()), key=lambda x: (x[0] or "", x[1]))))  # of BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = [Windows(asked[0].value, window)] if blocks == 1 else None
