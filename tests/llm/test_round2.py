@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tradewind.llm import decontaminate, simhash
+from tradewind.llm import decontaminate, line_dedup, simhash
 
 
 def test_edited_copies_join_whatever_their_order(spark):
@@ -80,3 +80,18 @@ def test_benchmark_items_without_an_id_are_searched(spark):
     docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "some z1 z2 z3"), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.find_leaks(docs, items).collect()}
     assert got == {1: (12, 1, True), 2: (3, 0, True), 3: (0, 0, False)}
+
+
+def test_lines_with_changed_letters_go(spark):
+    """One changed letter in a line of a few words, and one in twelve letters of a longer one."""
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)) for n in (4, 6, 9, 14, 22, 40) for _ in range(10)]
+    copies = []
+    for line in lines:
+        letters = list(line)
+        for k in rng.sample([i for i, x in enumerate(line) if x != " "], max(1, len(line) // 12 if len(line) > 60 else 1)):
+            letters[k] = "z"
+        copies.append("".join(letters))
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copies))], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.report(docs).collect()}
+    assert got[1] == [] and len(got[2]) >= 0.95 * len(lines)
