@@ -95,3 +95,8 @@ def test_lines_with_changed_letters_go(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copies))], "doc_id long, text string")
     got = {r.doc_id: r.removed for r in line_dedup.report(docs).collect()}
     assert got[1] == [] and len(got[2]) >= 0.95 * len(lines)
+
+
+def test_short_equal_lines_go(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved\n\nok\nok!"), (2, "all rights reserved.\n--\nal rights reserved")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.report(docs).collect()} == {1: [3], 2: [0]}
