@@ -135,8 +135,26 @@ def test_simhash(spark, texts, odd):
 
 def test_token_codes():
     ranks = np.array([0, 255, 256, 65535, 65536, 1 << 24, 7], dtype=np.uint32)
-    control, data = tokens.pack(ranks)
-    assert (tokens.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), len(ranks)) == ranks).all()
+    for counts in ([7], [0, 1, 4, 0, 2], [3, 4, 0]):
+        n = np.array(counts)
+        control, data, controls, sizes = tokens.pack(ranks, n)
+        assert (tokens.unpack(control, data, n) == ranks).all()
+        assert controls.tolist() == [(x + 3) // 4 for x in counts] and sizes.sum() == len(data)
+
+
+def test_token_pieces_give_the_ids_of_whole_texts(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), tokens.PieceTokenizer(path)
+    odd = ["", "a", " a", "a ", "a  b", "\n\nx  y\tz", "don't stop  'tis we'll", "x <|endoftext|> y", "<|endoftext|>", "日本語 テキスト です", "naïve Größe — 3.5% of $5", "a\u00a0b c", "\x1c x \x85 y", "  ", "a\r\n b", "😀 😀😀 ok"]
+    some = odd + list(texts.values())
+    for _ in range(2):  # the second time every piece is known
+        ids, n = own.encode(some)
+        ends = np.cumsum(n)
+        for t, e, k in zip(some, ends, n, strict=True):
+            assert ids[e - k : e].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark, texts):
