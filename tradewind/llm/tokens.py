@@ -40,7 +40,7 @@ WIDTHS = np.array([[(b >> s & 3) + 1 for s in (0, 2, 4, 6)] for b in range(256)]
 #: A file is closed at the end of the document that fills it.
 FILE_TOKENS = 4_000_000
 #: Pieces whose ids one Python worker remembers.
-CACHE = 1_000_000
+CACHE = 1_500_000
 #: Documents that are handled as one array.
 BATCH = 512
 #: Pairs of blanks that make a text one to be cut with care, and other blanks that may.
@@ -128,11 +128,13 @@ class PieceTokenizer:
         self.by_piece = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and told.get("normalizer") is None and all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
         self.plain = self.by_piece and model["type"] == "BPE" and not model.get("dropout")
         self.marks = [t["content"] for t in told["added_tokens"]]
+        self.part_numbers, self.parts = _Numbers(), _Runs()
         self.clear()
 
     def clear(self) -> None:
         self.numbers, self.pieces = (_Numbers(), _Numbers()), (_Runs(), _Runs())  # of the first pieces of texts, and of the others
-        self.part_numbers, self.parts = _Numbers(), _Runs()
+        if len(self.part_numbers) > CACHE:
+            self.part_numbers, self.parts = _Numbers(), _Runs()
 
     def _learn(self, k: int) -> None:
         fresh, self.numbers[k].fresh = self.numbers[k].fresh, []
