@@ -1,53 +1,62 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Word level: a restaurant per context, where a context is the class of the word before
-(one of CONTEXTS hashed endings, or the beginning of a text); their common parent is the
-restaurant of words without context, whose base measure spells the word. Letter level:
-restaurants of the two bytes before, then of the one byte before, then of none, over the
-uniform distribution of bytes.
-
-Customers are seated by Gibbs sampling: sweep after sweep the customers of each dish are
-taken out and seated again given all other tables. The number of customers and tables of
-a restaurant, which couples its dishes, is the one of the sweep before (it changes little
-within a sweep), so dishes can be seated in parallel and a sweep exchanges only the totals
-of the contexts. Random numbers are a function of seed, sweep and word, so a lost task
-repeats its seating, and any sweep can be made again from the counts and those totals.
-Predictive probabilities are averaged over the sweeps after burn-in.
-
-Data flow: words are counted per block of documents, and one shuffle by word brings
-together the counts of a word and the blocks that ask for it. That table, in the shared
-folder, is all that sweeps read. The answers go back by block to the documents.
+Every distinct word has a restaurant whose customers are the words that follow it, and the
+beginnings of texts have one more; their common parent is the restaurant of words without
+context. Its base measure gives one half to the event of a word never learnt from, and the
+other half to the words learnt from in equal parts.
+
+Seating is sampled by Gibbs. In a sweep the customers of each dish leave and are seated
+again one by one, each at a new table with probability w / (w + i - d t), where i are
+seated at t tables and w is (concentration + d * tables of the restaurant) * the parent's
+probability. The dishes of a restaurant take turns in TURNS groups, and each turn sees the
+tables as the turn before has left them. What other tasks hold (the parent's probabilities,
+and the rest of a restaurant that is cut into slices) is as the sweep before has left it.
+Random numbers are a function of seed, sweep and part, so a lost task repeats its seating.
+Predictive probabilities are averaged over the sweeps after burn-in; a context's share for
+its parent and the parent's probability are averaged each by itself.
+
+Data flow. Texts are tokenized once and kept as blocks of block-local word numbers, in files
+of the shared folder. A block asks for its words, by hash, in the part of the vocabulary
+that holds them, and for its pairs of neighbouring words in the part of the restaurants;
+what it asks for carries its counts. Parts are files too. All that one block, or part, has
+to say to another part travels as one row, so rows are few, and no row is a word. Frequent
+contexts are cut into slices by the word that follows, so that no part gets more than its
+share. Words are told apart by 64-bit hashes; as followers in `score` by the upper 40 bits.
 """
 
 from __future__ import annotations
 
-import math
+import json
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from . import files
+from .common import new_path, stage
 
-CONTEXTS = 31
-SWEEPS, BURN_IN = 4, 2
-#: Discounts and concentrations of the context level, the word level and the letter levels.
-D_CONTEXT, T_CONTEXT = 0.8, 5.0
+SWEEPS, BURN_IN = 6, 2
+#: Groups of dishes that are seated in turn.
+TURNS = 8
+#: Discounts and concentrations of the contexts and of their parent.
+D_CONTEXT, T_CONTEXT = 0.8, 2.0
 D_WORD, T_WORD = 0.7, 10.0
-D_BYTE, T_BYTE = 0.5, 1.0
-#: About so many bytes of text make a block.
-BLOCK_BYTES = 12_000_000
-#: Blocks that one row of the word table names.
-ASKERS = 2048
-_PAIR = np.dtype([("ctx", "u1"), ("n", "<u4")])
+#: Tokens of a block, about.
+BLOCK_TOKENS = 4_000_000
 END = b""
-#: Of sums of probabilities that are exchanged as integers.
-_UNIT = 10**15
+#: The key of the context at the beginning of a text.
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
+#: A context over this share of a part is cut into slices.
+SLICE = 4
+_SHIFT = np.uint64(24)
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93))
+_ROW = "kind int, dest long, origin long, data binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,456 +64,549 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def class_of(word: bytes) -> int:
-    """1 to CONTEXTS by the last three bytes; 0 is the beginning of a text."""
-    return 1 + xxhash.xxh32_intdigest(word[-3:]) % CONTEXTS
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-# ---------------------------------------------------------------- seating
+# ---------------------------------------------------------------- arrays as bytes
+
+
+def dump(*arrays: np.ndarray, packed: bool = False) -> bytes:
+    """Arrays as bytes; `packed` for files, while rows are compressed by Spark."""
+    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    body = pa.compress(raw, codec="zstd", asbytes=True) if packed else raw
+    return struct.pack("<IQ?", len(head), len(raw), packed) + head + body
+
+
+def load(data: bytes) -> list[np.ndarray]:
+    n, size, packed = struct.unpack_from("<IQ?", data)
+    at = struct.calcsize("<IQ?")
+    told, body = json.loads(data[at : at + n]), memoryview(data)[at + n :]
+    raw = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if packed and size else body
+    out, at = [], 0
+    for kind, count in told:
+        out.append(np.frombuffer(raw, dtype=kind, count=count, offset=at))
+        at += out[-1].nbytes
+    return out
+
+
+def _five(x: np.ndarray) -> np.ndarray:
+    """The lower five bytes of 64-bit integers."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].reshape(-1)
+
+
+def _unfive(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["kind", "dest", "origin", "data"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(dest, [(kind, origin, data)]) of rows that stand together by dest."""
+
+    def each() -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)
 
+    for dest, group in groupby(each(), key=lambda r: r[1]):
+        yield dest, [(r[0], r[2], r[3]) for r in group]
 
-def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
-    """Numbers in (0, 1) from 64-bit seeds and a step (splitmix64)."""
-    with np.errstate(over="ignore"):
-        z = seed + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
+def _to_dest(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.select("kind", "dest", "origin", "data").repartition(parts, "dest").sortWithinPartitions("dest", "kind", "origin")
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, seed: np.ndarray) -> np.ndarray:
-    """Tables after seating `customers` of each dish one by one.
 
-    With i seated at t tables the next one opens a table with probability
-    weight / (weight + i - discount * t), where weight is (concentration + discount * tables
-    of the restaurant) * the parent's probability of the dish. The first 16 are seated one by
-    one; then blocks of an eighth of those seated are, with the probability held within a
-    block and the number of new tables drawn from the normal approximation of its binomial.
+def _save(uri: str, *arrays: np.ndarray) -> None:
+    files.write_whole(uri, dump(*arrays, packed=True), str(TaskContext.get().taskAttemptId()))
+
+
+def _read(uri: str) -> list[np.ndarray]:
+    return load(files.read_whole(uri))
+
+
+# ---------------------------------------------------------------- seating
+
+
+def seat(customers: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables after seating the `customers` of each dish one by one, with w = base + slope * tables of the dish.
+
+    The customers that sit down until one opens a table are drawn at once: as long as i - d t
+    grows by joining only, their number is geometric with a chance of Beta(w, i - d t).
     """
     tables = (customers > 0).astype(np.int64)
     live = np.flatnonzero(customers > 1)
-    seated, step = 1, 0
-    while len(live):
-        block = 1 if seated < 16 else seated // 8
-        size = np.minimum(block, customers[live] - seated)
-        w = weight[live]
-        p = w / (w + seated + (size - 1) / 2 - discount * tables[live])
-        u = _uniform(seed[live], step)
-        if block == 1:
-            new = (u < p).astype(np.int64)
-        else:
-            v = _uniform(seed[live], step + 1_000_000)
-            normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
-            rare = size * p < 4  # then the count is drawn by its first two terms
-            none = np.exp(size * np.log1p(-np.minimum(p, 0.999999)))
-            few = (u > none).astype(np.int64) + (u > none * (1 + size * p / (1 - np.minimum(p, 0.999999))))
-            new = np.where(rare, few, np.clip(np.rint(size * p + normal * np.sqrt(size * p * (1 - p))), 0, size)).astype(np.int64)
-        tables[live] += np.minimum(new, size)
-        seated += block
-        step += 1
-        live = live[customers[live] > seated]
+    seated = np.ones(len(live))
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        while len(live):
+            t = tables[live]
+            chance = rng.beta(np.maximum(base[live] + slope[live] * t, 1e-300), seated - discount * t)
+            joined = np.where(chance > 0, np.floor(np.log(rng.random(len(live))) / np.log1p(-chance)), np.inf)
+            seated = seated + np.where(chance >= 1, 0, joined) + 1
+            tables[live] += seated <= customers[live]
+            more = seated < customers[live]
+            live, seated = live[more], seated[more]
     return tables
 
 
-# ---------------------------------------------------------------- letters
+def sweep_restaurants(u: np.ndarray, n: np.ndarray, tables: np.ndarray, total: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, total) after a sweep over dishes with `n` customers in restaurants `u` of `total` tables; u is sorted."""
+    tables, total = tables.copy(), total.copy()
+    first = np.searchsorted(u, u)
+    turn = (np.arange(len(u)) - first) % TURNS
+    for k in range(TURNS):
+        mine = np.flatnonzero(turn == k)
+        rest = total[u[mine]] - tables[mine]
+        new = seat(n[mine], (T_CONTEXT + D_CONTEXT * rest) * p[mine], D_CONTEXT * p[mine], D_CONTEXT, rng)
+        total = total + np.bincount(u[mine], weights=new - tables[mine], minlength=len(total))
+        tables[mine] = new
+    return tables, total
+
+
+def sweep_root(n: np.ndarray, tables: np.ndarray, total: float, h: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of the parent's dishes after a sweep; `total` are the tables of all its dishes."""
+    tables = tables.copy()
+    for k in range(TURNS):
+        rest = total - tables[k::TURNS]
+        new = seat(n[k::TURNS], (T_WORD + D_WORD * rest) * h, np.full(len(rest), D_WORD * h), D_WORD, rng)
+        total += float((new - tables[k::TURNS]).sum())
+        tables[k::TURNS] = new
+    return tables
 
 
-@dataclass
-class Letters:
-    """Averaged predictive distribution of a byte after two bytes.
+# ---------------------------------------------------------------- blocks
 
-    Per sample: codes (b1 << 16 | b2 << 8 | b3) that occur with their discounted share, the
-    share left to the parent per pair, and the parent's distribution per byte.
-    """
 
-    codes: np.ndarray
-    share: np.ndarray
-    back: list[np.ndarray]
-    parent: list[np.ndarray]
-
-    def table(self) -> np.ndarray:
-        """log10 P(b3 | b1, b2) for all 2**24 codes."""
-        out = np.zeros((65536, 256), dtype=np.float32)
-        for back, parent in zip(self.back, self.parent, strict=True):
-            for b1 in range(256):
-                out[b1 * 256 : b1 * 256 + 256] += (back[b1 * 256 : b1 * 256 + 256, None] * parent).astype(np.float32)
-        out = out.reshape(-1) / len(self.back)
-        out[self.codes] += self.share.astype(np.float32)
-        return np.log10(out)
-
-
-def fit_letters(codes: np.ndarray, counts: np.ndarray, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 5) -> Letters:
-    """The letter levels from counts of byte triples: at most 2**24, whatever the corpus."""
-    order = np.argsort(codes)
-    codes, counts = codes[order].astype(np.int64), counts[order].astype(np.int64)
-    pair, low = codes >> 8, codes & 0xFFFF
-    low_codes, to_low = np.unique(low, return_inverse=True)
-    letter, to_letter = np.unique(low_codes & 0xFF, return_inverse=True)
-    sums = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
-    t3, t2, t1 = np.ones(len(codes)), np.ones(len(low_codes)), np.ones(len(letter))
-    share, backs, parents = np.zeros(len(codes)), [], []
-    for s in range(sweeps + 1):
-        c2, c1 = sums(to_low, t3, len(low_codes)), np.zeros(len(letter))
-        c1 = sums(to_letter, t2, len(letter))
-        p1 = np.full(256, (T_BYTE + D_BYTE * t1.sum()) / (T_BYTE + c1.sum()) / 256)
-        p1[letter] += (c1 - D_BYTE * t1) / (T_BYTE + c1.sum())
-        ctx2 = low_codes >> 8
-        n2, k2 = sums(ctx2, c2, 256), sums(ctx2, t2, 256)
-        p2 = ((T_BYTE + D_BYTE * k2) / (T_BYTE + n2))[:, None] * p1[None, :]
-        p2[ctx2, low_codes & 0xFF] += (c2 - D_BYTE * t2) / (T_BYTE + n2[ctx2])
-        n3, k3 = sums(pair, counts, 65536), sums(pair, t3, 65536)
-        if s > burn_in or s == sweeps:
-            backs.append((T_BYTE + D_BYTE * k3) / (T_BYTE + n3))
-            parents.append(p2)
-            share += (counts - D_BYTE * t3) / (T_BYTE + n3[pair])
-        if s == sweeps:
-            break
-        own = lambda x, k: x.astype(np.uint64) * np.uint64(2654435761) + np.uint64(seed * 1000 + s * 10 + k)
-        t3 = seat(counts, (T_BYTE + D_BYTE * k3[pair]) * p2[low >> 8, low & 0xFF], D_BYTE, own(codes, 1)).astype(float)
-        c2 = sums(to_low, t3, len(low_codes))
-        t2 = seat(c2.astype(np.int64), (T_BYTE + D_BYTE * k2[ctx2]) * p1[low_codes & 0xFF], D_BYTE, own(low_codes, 2)).astype(float)
-        c1 = sums(to_letter, t2, len(letter))
-        t1 = seat(c1.astype(np.int64), np.full(len(letter), (T_BYTE + D_BYTE * t1.sum()) / 256), D_BYTE, own(letter, 3)).astype(float)
-    return Letters(codes, share / len(backs), backs, parents)
-
-
-def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, ends) of the byte triples that spell the words, each with two blanks before and one after."""
-    data = np.frombuffer(b"  " + b"   ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
-    code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
-    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1  # its bytes and one blank
-    start = np.concatenate(([0], np.cumsum(length + 2)[:-1]))
-    keep = np.ones(len(code), dtype=bool)
-    gaps = start[1:] - 2
-    keep[gaps] = False
-    keep[gaps + 1] = False
-    return code[keep], np.cumsum(length)
-
-
-def spelled(words: list[bytes], table: np.ndarray) -> np.ndarray:
-    """log10 probability of each word by the letter level."""
-    if not words:
-        return np.empty(0)
-    code, ends = triples(words)
-    total = np.concatenate(([0.0], np.cumsum(table[code], dtype=np.float64)))
-    return total[ends] - total[np.concatenate(([0], ends[:-1]))]
-
-
-# ---------------------------------------------------------------- words
-
-
-@dataclass
-class Totals:
-    """Per sweep: tables per context, customers and tables without context. customers: per context, of the corpus."""
-
-    customers: np.ndarray
-    tables: list[np.ndarray]
-    root: list[tuple[float, float]]
-
-
-@dataclass
-class Seating:
-    """Entries (row, ctx, n) of some words with their sweeps so far."""
-
-    row: np.ndarray
-    ctx: np.ndarray
-    n: np.ndarray
-    tables: np.ndarray
-    root_customers: np.ndarray
-    root_tables: np.ndarray
-
-
-def _predict(s: Seating, base: np.ndarray | float, root: tuple[float, float]) -> np.ndarray:
-    """P(word) without context."""
-    customers, tables = root
-    return (s.root_customers - D_WORD * s.root_tables + (T_WORD + D_WORD * tables) * base) / (T_WORD + customers)
-
-
-def chain(words: list[bytes], row: np.ndarray, ctx: np.ndarray, n: np.ndarray, base: np.ndarray, totals: Totals, seed: int) -> Iterator[Seating]:
-    """The seating after 0, 1, ... sweeps, as far as the totals of the sweep before are known."""
-    size = len(words)
-    at = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=size)
-    per = lambda x: np.bincount(row, weights=x, minlength=size).astype(np.int64)
-    one = np.ones(len(n), dtype=np.int64)
-    state = Seating(row, ctx, n, one, per(one), (per(one) > 0).astype(np.int64))
-    yield state
-    for s in range(len(totals.tables)):
-        p = _predict(state, base, totals.root[s])
+class _Index(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _write_blocks(folder: str):
+    """(id, held, text) to (part = -1, uri, n = rows to learn from) per block of this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        index, ids, held, sizes, toks, size = _Index(), [], [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, index), dtype=np.uint64, count=len(index))
+            all_ = np.concatenate(toks)
+            uri = f"{folder}/block-{task}-{made}"
+            low, high = (all_ & 0xFFFF).astype(np.uint16), (all_ >> 16).astype(np.uint16)
+            _save(uri, np.array(ids, dtype=np.int64), np.array(held, dtype=np.uint8), np.array(sizes, dtype=np.int64), low, high, keys)
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(held) - sum(held)], pa.int64())], ["uri", "n"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for i, h, text in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
+                    words = tokens(text)
+                    toks.append(np.fromiter(map(index.__getitem__, words), dtype=np.uint32, count=len(words)))
+                    ids.append(i)
+                    held.append(h)
+                    sizes.append(len(words))
+                    size += len(words)
+                    if size >= BLOCK_TOKENS:
+                        yield close()
+                        made += 1
+                        index, ids, held, sizes, toks, size = _Index(), [], [], [], [], 0
+        if ids:
+            yield close()
+
+    return run
+
+
+class Block:
+    """Rows of a block; its words are numbered in the order of their keys."""
+
+    def __init__(self, uri: str) -> None:
+        self.ids, self.held, self.sizes, low, high, keys = _read(uri)
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), dtype=np.int64)
+        rank[order] = np.arange(len(keys))
+        self.keys = keys[order]
+        self.toks = rank[low.astype(np.uint32) | high.astype(np.uint32) << np.uint32(16)]
+        self.learnt = np.repeat(self.held == 0, self.sizes)
+
+    def words(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the words in the order of their parts, where parts begin)."""
+        part = (self.keys >> _SHIFT) % np.uint64(parts)
+        return _by_part(part, parts)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, word, number of the pair of each token) of the distinct pairs; the last context is BEGIN."""
+        n = len(self.keys)
+        before = np.empty(len(self.toks), dtype=np.int64)
+        before[1:] = self.toks[:-1]
+        before[np.cumsum(self.sizes) - self.sizes] = n
+        code, number = np.unique(before * (n + 1) + self.toks, return_inverse=True)
+        return code // (n + 1), code % (n + 1), number
+
+    def pair_parts(self, u: np.ndarray, w: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the pairs in the order of their parts, where parts begin)."""
+        keys = np.append(self.keys, BEGIN)
+        slices = np.ones(len(keys), dtype=np.uint64)
+        if len(hot[0]):
+            at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+            slices = np.where(hot[0][at] == keys, hot[1][at], np.uint64(1))
         with np.errstate(over="ignore"):
-            own = at[row] + (ctx.astype(np.uint64) + np.uint64(1) + np.uint64(1000 * s)) * np.uint64(0xD6E8FEB86659FD93)
-            top = at + np.uint64(1000 * s + 999) * np.uint64(0xD6E8FEB86659FD93)
-        tables = seat(n, (T_CONTEXT + D_CONTEXT * totals.tables[s][ctx]) * p[row], D_CONTEXT, own)
-        customers = per(tables)
-        root = seat(customers, (T_WORD + D_WORD * totals.root[s][1]) * base, D_WORD, top)
-        state = Seating(row, ctx, n, tables, customers, root)
-        yield state
+            piece = (keys[w] >> _SHIFT) % slices[u]
+            part = (((keys[u] ^ piece * _MIX[0]) * _MIX[1]) >> np.uint64(32)) % np.uint64(parts)
+        return _by_part(part, parts)
 
 
-def _entries(trains: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pair = np.frombuffer(b"".join(trains), dtype=_PAIR)
-    row = np.repeat(np.arange(len(trains)), [len(t) // _PAIR.itemsize for t in trains])
-    return row, pair["ctx"].astype(np.int64), pair["n"].astype(np.int64)
+def _by_part(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    part = part.astype(np.uint16 if parts < 65536 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def block_column(docs: DataFrame, id_col: str) -> Column:
-    """The block of a row: its file split, cut by id where splits are long.
+def _ask_words(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = Block(uri)
+                n = np.bincount(b.toks[b.learnt], minlength=len(b.keys)).astype("<u4")
+                order, at = b.words(parts)
+                yield _rows([(0, p, number, dump(b.keys[order[at[p] : at[p + 1]]], n[order[at[p] : at[p + 1]]])) for p in range(parts) if at[p] < at[p + 1]])
 
-    A split is the unit that one task reads, so a block's words are gathered before the
-    first shuffle. It is the same in every scan of the same table.
-    """
-    conf = docs.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    width = docs.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf)
-    cuts = max(1, round(1.8 * width / BLOCK_BYTES / 2))
-    return F.hash(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64(F.col(id_col)), F.lit(cuts)))
+    return run
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
+def _ask_pairs(parts: int, hot: tuple[np.ndarray, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, uri in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = Block(uri)
+                u, w, pair = b.pairs()
+                n = np.bincount(pair[b.learnt], minlength=len(u))
+                order, at = b.pair_parts(u, w, hot, parts)
+                u, w, n, keys = u[order], b.keys[w[order]] >> _SHIFT, n[order], np.append(b.keys, BEGIN)
+                for p in range(parts):
+                    span = slice(at[p], at[p + 1])
+                    if at[p] == at[p + 1]:
+                        continue
+                    start = np.flatnonzero(np.diff(u[span], prepend=-1))
+                    many = np.flatnonzero(n[span] > 254)
+                    yield _rows([(0, p, number, dump(keys[u[span][start]], np.diff(start, append=at[p + 1] - at[p]).astype("<u4"), _five(w[span]), np.minimum(n[span], 255).astype(np.uint8), n[span][many].astype("<i8")))])
+
+    return run
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, held, text) to (word, block, ctxs, train): once per word and block of this task."""
-    names = ["word", "block", "ctxs", "train"]
-    store: dict[int, tuple[dict[bytes, int], list[np.ndarray], list[np.ndarray]]] = {}
-
-    def flush(block: int) -> Iterator[pa.RecordBatch]:
-        index, asked, counted = store.pop(block)
-        words = list(index)
-        both = np.unique(np.concatenate(asked))
-        keys, n = np.unique(np.concatenate(counted), return_counts=True) if counted else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-        pair = np.empty(len(keys), dtype=_PAIR)
-        pair["ctx"], pair["n"] = keys & 255, n
-        raw, ctxs = pair.tobytes(), (both & 255).astype(np.uint8).tobytes()
-        rows = np.arange(len(words) + 1)
-        a, b = np.searchsorted(both >> 8, rows), np.searchsorted(keys >> 8, rows) * _PAIR.itemsize
-        for at in range(0, len(words), 20_000):
-            span = range(at, min(at + 20_000, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(words[span.start : span.stop], pa.binary()), pa.array([block] * len(span), pa.int32()), pa.array([ctxs[a[i] : a[i + 1]] for i in span], pa.binary()), pa.array([raw[b[i] : b[i + 1]] for i in span], pa.binary())], names)
-
-    class Index(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = n = len(self)
-            return n
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            some = batch.slice(at, 256)
-            for block, held, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                if block not in store:
-                    store[block] = (Index(), [], [])
-                index, asked, counted = store[block]
-                key = keyed(tokens(text), index)
-                asked.append(np.unique(key))
-                if not held:
-                    counted.append(key)
-            for lists in store.values():
-                if len(lists[1]) > 4000:
-                    lists[1][:] = [np.unique(np.concatenate(lists[1]))]
-    for block in list(store):
-        yield from flush(block)
-
-
-def keyed(toks: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    """word number << 8 | context of each token."""
-    ids = np.fromiter(map(index.__getitem__, toks), dtype=np.int64, count=len(toks))
-    before = np.fromiter(map(_class, toks[:-1]), dtype=np.int64, count=len(toks) - 1)
-    return ids << 8 | np.concatenate(([0], before))
-
-
-class _Classes(dict):
-    """Classes by the last three bytes, of which there are few."""
-
-    def __missing__(self, tail: bytes) -> int:
-        self[tail] = c = class_of(tail)
-        return c
-
-
-_TAILS = _Classes()
-
-
-def _class(word: bytes) -> int:
-    return _TAILS[word[-3:]]
-
-
-def _join_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (word, block, ctxs, train) to (word, lead, total, train, blocks, sizes, ctxs), ASKERS blocks a row."""
-    names = ["word", "lead", "total", "train", "blocks", "sizes", "ctxs"]
-    word, trains, blocks, ctxs = None, [], [], []
-
-    def close(out: list[tuple]) -> None:
-        raw = b"".join(trains)
-        total = 0
-        if raw:
-            pair = np.frombuffer(raw, dtype=_PAIR)
-            n = np.bincount(pair["ctx"], weights=pair["n"]).astype(np.int64)
-            merged = np.empty(np.count_nonzero(n), dtype=_PAIR)
-            merged["ctx"], merged["n"] = np.flatnonzero(n), n[n > 0]
-            raw, total = merged.tobytes(), int(n.sum())
-        for at in range(0, len(blocks), ASKERS):
-            some = ctxs[at : at + ASKERS]
-            out.append((word, at == 0, total, raw, np.array(blocks[at : at + ASKERS], dtype="<i4").tobytes(), bytes(map(len, some)), b"".join(some)))
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-
-    out: list[tuple] = []
-    for batch in batches:
-        for w, b, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if w != word:
-                if blocks:
-                    close(out)
-                word, trains, blocks, ctxs = w, [], [], []
-            if t:
-                trains.append(t)
-            blocks.append(b)
-            ctxs.append(c)
-        if len(out) >= 5000:
-            yield batch_of(out)
+# ---------------------------------------------------------------- parts of the vocabulary
+
+
+def _merge_words(folder: str):
+    """Asks of blocks to files words-p: keys, counts, then the blocks and what each asks for; rows of (learnt tokens, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            asked = [load(data) for _, _, data in rows]
+            keys, place = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
+            sizes = np.array([len(a[0]) for a in asked], dtype=np.int64)
+            _save(f"{folder}/words-{part}", keys, n, np.array([r[1] for r in rows], dtype=np.int64), sizes, place.astype(np.uint32))
+            yield _rows([(0, part, -1, dump(np.array([n.sum(), np.count_nonzero(n)], dtype=np.int64)))])
+
+    return run
+
+
+def _hot_words(folder: str, limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                keys, n, *_ = _read(f"{folder}/words-{part}")
+                some = n >= limit
+                yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["key", "n"])
+
+    return run
+
+
+def _seat_words(folder: str, sweep: int, seed: int, h: float, tables_before: float | None):
+    """Tables that the contexts report, to the parent's seating; its customers less discounts go back to those who asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            out = []
+            told = [(origin, load(data)) for kind, origin, data in rows if kind == 0]
+            for kind, origin, data in rows:
+                if kind == 2:  # partial tables of a sliced context, on their way to the driver
+                    out.append((2, part, origin, data))
+            if not any(kind < 2 for kind, _, _ in rows):
+                yield _rows(out)
+                continue
+            link = f"{folder}/links-{part}"
+            if sweep == 0:
+                every = np.concatenate([x for _, a in told for x in (_unfive(a[0]), _unfive(a[2]))]) if told else np.empty(0, dtype=np.uint64)
+                names = np.unique(every)
+                single = np.zeros(len(names), dtype=np.int64)
+                for _, a in told:
+                    single[np.searchsorted(names, _unfive(a[0]))] += a[1]
+                asked = [np.searchsorted(names, _unfive(a[2])).astype(np.uint32) for _, a in told]
+                counts = [a[3] for _, a in told]
+                origins, sizes = np.array([o for o, _ in told], dtype=np.int64), np.array([len(a) for a in asked], dtype=np.int64)
+                _save(link, names, single, origins, sizes, np.concatenate([*asked, np.empty(0, dtype=np.uint32)]))
+                tables = np.ones(len(names), dtype=np.int64)
+                total = float(len(names)) if tables_before is None else tables_before
+            else:
+                names, single, origins, sizes, flat = _read(link)
+                asked = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+                by_origin = {o: a[0] for o, a in told}
+                counts = [by_origin[o] for o in origins.tolist() if o in by_origin]
+                asked = [a for o, a in zip(origins.tolist(), asked, strict=True) if o in by_origin]
+                origins = [o for o in origins.tolist() if o in by_origin]
+                tables, total = _read(f"{folder}/root-{sweep - 1}-{part}")[0], tables_before
+            customers = single.copy()
+            for a, t in zip(asked, counts, strict=True):
+                customers[a] += t
+            new = sweep_root(customers, tables, total, h, np.random.default_rng([seed, sweep, part, 1]))
+            left = (customers - D_WORD * new).astype("<f8")
+            _save(f"{folder}/root-{sweep}-{part}", new, left)
+            out += [(1, o, part, dump(left[a])) for o, a in zip(origins, asked, strict=True) if len(a)]
+            out.append((3, part, -1, dump(np.array([customers.sum(), new.sum()], dtype=np.int64))))
+            yield _rows([(k, int(d), int(o), x) for k, d, o, x in out])
+
+    return run
+
+
+# ---------------------------------------------------------------- parts of the restaurants
+
+
+def _merge_pairs(folder: str, parts: int):
+    """Asks of blocks to files pairs-p (restaurants and dishes) and asks-p; rows for the vocabulary: (single dishes, others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            asked = [load(data) for _, _, data in rows]
+            contexts, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            if len(contexts) >= 1 << 24:
+                raise ValueError("a part holds over 2**24 contexts; raise spark.sql.shuffle.partitions")
+            per = np.concatenate([a[1] for a in asked])
+            n = []
+            for a in asked:
+                x = a[3].astype(np.int64)
+                x[x == 255] = a[4]
+                n.append(x)
+            code = np.repeat(at.astype(np.uint64), per) << np.uint64(40) | _unfive(np.concatenate([a[2] for a in asked]))
+            code, place = np.unique(code, return_inverse=True)
+            n = np.bincount(place, weights=np.concatenate(n), minlength=len(code)).astype(np.int64)
+            u, w = (code >> np.uint64(40)).astype(np.int64), code & np.uint64((1 << 40) - 1)
+            multi, single = np.flatnonzero(n > 1), np.flatnonzero(n == 1)
+            per_u = np.bincount(u, weights=n, minlength=len(contexts)).astype(np.int64)
+            alone = np.bincount(u[single], minlength=len(contexts)).astype(np.int64)
+            goal = (w % np.uint64(parts)).astype(np.int64)
+            names = np.unique(w[multi])
+            name_goal = (names % np.uint64(parts)).astype(np.int64)
+            order, starts = _by_part(name_goal, parts)  # links stand by the part they go to
+            link = np.empty(len(names), dtype=np.uint32)
+            link[order] = np.arange(len(names))
+            _save(f"{folder}/pairs-{part}", contexts, per_u, alone, u[multi].astype(np.uint32), n[multi], link[np.searchsorted(names, w[multi])], starts.astype(np.int64))
+            _save(f"{folder}/asks-{part}", np.minimum(n, 2).astype(np.uint8), np.array([r[1] for r in rows], dtype=np.int64), np.array([len(a[0]) for a in asked], dtype=np.int64), np.array([len(a[3]) for a in asked], dtype=np.int64), at.astype(np.uint32), np.concatenate([np.diff(x, prepend=0) for x in np.split(place, np.cumsum([len(a[3]) for a in asked])[:-1])]).astype(np.uint32))
             out = []
-    if blocks:
-        close(out)
-    if out:
-        yield batch_of(out)
+            times = np.bincount(np.searchsorted(names, w[multi]), minlength=len(names)).astype("<u4")[order]
+            s_order, s_at = _by_part(goal[single], parts)
+            alone_w = w[single][s_order]
+            for p in range(parts):
+                one, m = np.unique(alone_w[s_at[p] : s_at[p + 1]], return_counts=True)
+                some = order[starts[p] : starts[p + 1]]
+                if len(one) or len(some):
+                    out.append((0, p, part, dump(_five(one), m.astype("<u4"), _five(names[some]), times[starts[p] : starts[p + 1]])))
+            out.append((4, part, -1, b""))
+            yield _rows(out)
 
+    return run
+
+
+def _seat_pairs(folder: str, sweep: int, seed: int, root: tuple[float, float], h: float, hot: dict[int, float], sliced: np.ndarray):
+    """One sweep over the restaurants of a part; the tables of each word go to the vocabulary.
+
+    root: customers and tables of the parent. hot: tables of the sliced contexts, of all slices.
+    """
 
-_LETTERS: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            contexts, _, alone, u, n, link, starts = _read(f"{folder}/pairs-{part}")
+            left = [load(data)[0] for kind, _, data in rows if kind == 1]
+            u, link = u.astype(np.int64), link.astype(np.int64)
+            left = np.concatenate(left) if left else np.empty(0)
+            p = ((left + (T_WORD + D_WORD * root[1]) * h) / (T_WORD + root[0]))[link]
+            tables, summed, total_sum = (np.ones(len(u), dtype=np.int64), np.zeros(len(u)), np.zeros(len(contexts))) if sweep == 1 else _read(f"{folder}/seats-{sweep - 1}-{part}")
+            total = alone + np.bincount(u, weights=tables, minlength=len(contexts))
+            mine = np.flatnonzero(np.isin(contexts, sliced)) if len(sliced) else np.empty(0, dtype=np.int64)
+            other = np.zeros(len(contexts))
+            for i in mine.tolist():
+                other[i] = hot.get(int(contexts[i]), total[i]) - total[i]
+            new, total = sweep_restaurants(u, n, tables, total + other, p, np.random.default_rng([seed, sweep, part, 0]))
+            if sweep > BURN_IN:
+                summed, total_sum = summed + new, total_sum + total
+            _save(f"{folder}/seats-{sweep}-{part}", new.astype(np.int64), summed, total_sum)
+            each = np.bincount(link, weights=new, minlength=int(starts[-1])).astype("<u4")
+            out = [(0, k, part, dump(each[starts[k] : starts[k + 1]])) for k in range(len(starts) - 1) if starts[k] < starts[k + 1]]
+            out += [(2, part, int(contexts[i].view(np.int64)), struct.pack("<q", int(round(total[i] - other[i])))) for i in mine.tolist()]
+            yield _rows(out)
+
+    return run
+
+
+# ---------------------------------------------------------------- answers
+
+
+def _tell_words(folder: str, samples: list[int], roots: list[tuple[float, float]], h: float):
+    """Per block that asked: counts and averaged probabilities without context of its words, in the order it asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                keys, n, blocks, sizes, place = _read(f"{folder}/words-{part}")
+                p = np.zeros(len(keys))
+                names = _read(f"{folder}/links-{part}")[0]
+                at = np.minimum(np.searchsorted(names, keys >> _SHIFT), max(0, len(names) - 1))
+                for s in samples:
+                    customers, tables = roots[s]
+                    left = _read(f"{folder}/root-{s}-{part}")[1]
+                    p += (np.where(n > 0, left[at] if len(names) else 0, 0) + (T_WORD + D_WORD * tables) * h) / (T_WORD + customers) / len(samples)
+                for b, x in zip(blocks.tolist(), np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+                    yield _rows([(0, b, part, dump(n[x], p[x].astype("<f4")))])
 
+    return run
 
-def _table(letters) -> np.ndarray:
-    """The letter table of a broadcast model, kept by the worker."""
-    key = id(letters)
-    if key not in _LETTERS:
-        _LETTERS.clear()
-        _LETTERS[key] = letters.value.table()
-    return _LETTERS[key]
 
+def _tell_pairs(folder: str, samples: list[int], hot_customers: dict[int, int]):
+    """Per block that asked: customers and averaged tables of contexts, and customers less discounts of pairs."""
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 11, spell_unknown: bool = False) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                contexts, per_u, alone, u, n, _, _ = _read(f"{folder}/pairs-{part}")
+                kind, blocks, n_u, n_pairs, at, steps = _read(f"{folder}/asks-{part}")
+                _, summed, total = _read(f"{folder}/seats-{max(samples)}-{part}")
+                left = np.where(kind == 1, 1 - D_CONTEXT, 0.0)
+                left[kind == 2] = n - D_CONTEXT * summed / len(samples)
+                customers = per_u.copy()
+                for i in np.flatnonzero(np.isin(contexts, np.array(list(hot_customers), dtype=np.uint64))).tolist():
+                    customers[i] = hot_customers[int(contexts[i])]
+                back = (T_CONTEXT + D_CONTEXT * total / len(samples)) / (T_CONTEXT + customers)
+                for b, x, d in zip(blocks.tolist(), np.split(at, np.cumsum(n_u)[:-1]), np.split(steps, np.cumsum(n_pairs)[:-1]), strict=True):
+                    yield _rows([(1, b, part, dump(customers[x], back[x].astype("<f4"), left[np.cumsum(d, dtype=np.uint32)].astype("<f4")))])
+
+    return run
+
+
+def _score(parts: int, hot: tuple[np.ndarray, np.ndarray], n: int, v: int, unknown: float):
+    """Answers to (id, ...) per row of each block; its file is named by a row of kind -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches):
+            b = Block(next(data for kind, _, data in rows if kind == -1).decode())
+            count, p = np.zeros(len(b.keys), dtype=np.int64), np.zeros(len(b.keys))
+            order, at = b.words(parts)
+            for kind, part, data in rows:
+                if kind == 0:
+                    count[order[at[part] : at[part + 1]]], p[order[at[part] : at[part + 1]]] = load(data)
+            u, w, pair = b.pairs()
+            order, at = b.pair_parts(u, w, hot, parts)
+            left, back, customers = np.zeros(len(u)), np.ones(len(u)), np.zeros(len(u))
+            for kind, part, data in rows:
+                if kind == 1:
+                    span = order[at[part] : at[part + 1]]
+                    c, share, x = load(data)
+                    of = np.cumsum(np.diff(u[span], prepend=-1) != 0) - 1
+                    left[span], back[span], customers[span] = x, share[of], c[of]
+            log = np.log10(left / (T_CONTEXT + customers) + back * np.where(count > 0, p, unknown)[w])[pair]
+            base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))[b.toks]
+            ends = np.cumsum(b.sizes)
+            sums = lambda x: (lambda t: t[ends] - t[ends - b.sizes])(np.concatenate(([0], np.cumsum(x))))  # noqa: E731, B023
+            starts = ends - b.sizes
+            known = sums((count > 0)[b.toks].astype(np.int64))
+            score, plain = np.add.reduceat(log, starts), np.add.reduceat(base, starts)
+            columns = [pa.array(b.ids), pa.array(b.held == 1), pa.array(b.sizes), pa.array(known), pa.array(np.full(len(b.ids), n)), pa.array(plain), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, sweeps: int = SWEEPS, seed: int = 11) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Rows for which `held` is true are not learnt from. Scores are log10 probabilities of the
     whole text, words and end: `base_score` by smoothed word frequencies, `score` by the
-    model. A null text is empty: its end only. Each row counts and is scored for itself,
-    repeated or not; a null id counts as -1, and as the text '' for the split. An empty table gives an empty table;
-    other columns are not looked at. In `score`, as in `base_score`, the words never learnt from
-    are one event, with all the probability that the letter level gives to spellings outside the
-    vocabulary; with `spell_unknown` each is spelled instead. Without any row to learn from, all
-    words are unknown.
+    model, and `perplexity` is that of the model per token. In both the words never learnt
+    from are one event. A null text is empty: its end only. Each row counts and is scored for
+    itself, repeated or not; a null id counts as -1, and as the text '' for the split. An
+    empty table gives an empty table; other columns are not looked at. Without any row to
+    learn from all words are unknown, with a probability of one.
     """
+    if sweeps <= BURN_IN:
+        raise ValueError("no sweep after burn-in")
     spark = docs.sparkSession
     held = held_out(F.col(id_col)) if held is None else held
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), held.alias("held"), F.col(text_col).cast("string").alias("text"))
-    if not docs.inputFiles():
-        slim = stage(slim, "lm-docs")
-    blocked = slim.withColumn("block", block_column(slim, "id"))
+    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    asked = blocked.select("block", "held", "text").mapInArrow(_count_words, "word binary, block int, ctxs binary, train binary")
-    words = asked.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_join_words, "word binary, lead boolean, total long, train binary, blocks binary, sizes binary, ctxs binary")
-    words = stage(words, "lm-words")
-    known = words.where("lead and total > 0")
-    n, v = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            code, count = np.unique(triples(batch.column(0).to_pylist())[0], return_counts=True) if batch.num_rows else ([], [])
-            for k, m in zip(code.tolist() if len(code) else [], count.tolist() if len(code) else [], strict=True):
-                total[k] = total.get(k, 0) + m
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["code", "n"])
-
-    rows = known.select("word").mapInArrow(spell, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # byte triples: a bounded alphabet
-    letters = spark.sparkContext.broadcast(fit_letters(np.array([r.code for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64), sweeps, burn_in, seed))
-
-    totals = Totals(np.zeros(CONTEXTS + 1), [], [])
-    for _ in range(sweeps + 1):
-        sent = totals
-
-        def sweep(batches: Iterator[pa.RecordBatch], sent: Totals = sent) -> Iterator[pa.RecordBatch]:
-            table = _table(letters)
-            customers, tables = np.zeros(CONTEXTS + 1, dtype=np.int64), np.zeros(CONTEXTS + 1, dtype=np.int64)
-            root, spelling = np.zeros(2, dtype=np.int64), 0.0
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                base = 10.0 ** spelled(names, table)
-                spelling += float(base.sum())
-                row, ctx, count = _entries(batch.column(1).to_pylist())
-                for state in chain(names, row, ctx, count, base, sent, seed):
-                    pass
-                customers += np.bincount(ctx, weights=count, minlength=CONTEXTS + 1).astype(np.int64)
-                tables += np.bincount(ctx, weights=state.tables, minlength=CONTEXTS + 1).astype(np.int64)
-                root += (int(state.root_customers.sum()), int(state.root_tables.sum()))
-            keys = [*range(CONTEXTS + 1), -1, -2]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([*customers.tolist(), int(root[0]), int(spelling * _UNIT)], pa.int64()), pa.array([*tables.tolist(), int(root[1]), 0], pa.int64())], ["ctx", "n", "t"])
-
-        got = {r.ctx: (r.n, r.t) for r in known.select("word", "train").mapInArrow(sweep, "ctx int, n long, t long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
-        at = [got.get(c, (0, 0)) for c in range(CONTEXTS + 1)]
-        totals = Totals(np.array([float(a) for a, _ in at]), [*totals.tables, np.array([float(b) for _, b in at])], [*totals.root, tuple(map(float, got.get(-1, (0, 0))))])
-
-    final = totals
-    rest = math.log10(max(1e-9, 1 - got.get(-2, (0, 0))[0] / _UNIT))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(letters)
-        earlier = Totals(final.customers, final.tables[:-1], final.root[:-1])
-        names = ["block", "word", "total", "ctxs", "logs"]
-        for batch in batches:
-            words_, lead, total, trains, blocks, sizes, ctxs = (c.to_pylist() for c in batch.columns)
-            del lead
-            spell_ = spelled(words_, table)
-            base = 10.0**spell_
-            row, ctx, n_ = _entries(trains)
-            # P = seen + open * base; a word without customers keeps its spelling's logarithm, which may be tiny
-            seen, open_ = np.zeros((len(words_), CONTEXTS + 1)), np.zeros(CONTEXTS + 1)
-            used = 0
-            for s, state in enumerate(chain(words_, row, ctx, n_, base, earlier, seed)):
-                if s <= burn_in and s < len(final.tables) - 1:
-                    continue
-                back = (T_CONTEXT + D_CONTEXT * final.tables[s]) / (T_CONTEXT + final.customers)
-                seen += _predict(state, 0.0, final.root[s])[:, None] * back
-                seen[row, ctx] += (state.n - D_CONTEXT * state.tables) / (T_CONTEXT + final.customers[ctx])
-                open_ += back * (T_WORD + D_WORD * final.root[s][1]) / (T_WORD + final.root[s][0])
-                used += 1
-            seen, open_ = seen / used, open_ / used
-            with np.errstate(divide="ignore"):
-                logs = np.where(seen > 0, np.log10(seen + open_ * base[:, None]), np.log10(open_) + (spell_[:, None] if spell_unknown else rest)).astype("<f4")
-            out: list[tuple] = []
-            for i, w in enumerate(words_):
-                at = 0
-                need = np.frombuffer(ctxs[i], dtype=np.uint8)
-                mine = logs[i, need].tobytes()
-                for b, k in zip(np.frombuffer(blocks[i], dtype="<i4").tolist(), sizes[i], strict=True):
-                    out.append((b, w, total[i], ctxs[i][at : at + k], mine[4 * at : 4 * (at + k)]))
-                    at += k
-            for at in range(0, len(out), 20_000):
-                some = out[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names)
-
-    answers = words.mapInArrow(answer, "block int, word binary, total long, ctxs binary, logs binary")
-
-    def score(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names, sizes = told["word"].tolist(), told["ctxs"].map(len).to_numpy(dtype=np.int64)
-        index = {bytes(w): i for i, w in enumerate(names)}
-        totals_ = told["total"].to_numpy(dtype=np.int64)
-        base = np.log10((totals_ + 0.5) / (n + 0.5 * (v + 1)))
-        keys = np.repeat(np.arange(len(names)), sizes) << 8 | np.frombuffer(b"".join(told["ctxs"]), dtype=np.uint8)
-        order = np.argsort(keys)
-        keys, logs = keys[order], np.frombuffer(b"".join(told["logs"]), dtype="<f4")[order]
-        out = []
-        for i, h, text in zip(texts["id"], texts["held"], texts["text"], strict=True):
-            toks = tokens(text)
-            key = keyed(toks, index)
-            ids = key >> 8
-            got = logs[np.searchsorted(keys, key)]
-            out.append((i, h, len(toks), int((totals_[ids] > 0).sum()), n, float(base[ids].sum()), float(got.sum(dtype=np.float64))))
-        return pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
+    folder = new_path(spark, "lm")
+
+    blocks = stage(slim.mapInArrow(_write_blocks(folder), "uri string, n long"), "lm-blocks")
+    blocks = blocks.withColumn("block", F.xxhash64("uri"))
+    spread = blocks.select("block", "uri").repartition(parts, "block")
+    rows_learnt = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    words = stage(_to_dest(spread.mapInArrow(_ask_words(parts), _ROW), parts).mapInArrow(_merge_words(folder), _ROW), "lm-words")
+    counted = [load(r.data)[0] for r in words.select("data").collect()]  # two numbers a part
+    n, v = (int(sum(int(c[k]) for c in counted)) for k in (0, 1))
+    word_parts = words.select(F.col("dest").alias("part"))
+
+    limit = max(1.0, n / (SLICE * parts))
+    often = word_parts.repartition(parts, "part").mapInArrow(_hot_words(folder, limit), "key long, n long").collect()  # SLICE * parts at most
+    customers = {r.key & (1 << 64) - 1: r.n for r in often if r.key & (1 << 64) - 1 != xxhash.xxh64_intdigest(END)}
+    if rows_learnt >= limit:
+        customers[int(BEGIN)] = rows_learnt
+    sliced = np.array(sorted(customers), dtype=np.uint64)
+    hot = (sliced, np.array([min(parts, -(-customers[int(k)] // max(1, int(limit)))) for k in sliced], dtype=np.uint64))
+
+    told = stage(_to_dest(spread.mapInArrow(_ask_pairs(parts, hot), _ROW), parts).mapInArrow(_merge_pairs(folder, parts), _ROW), "lm-told")
+    pair_parts = told.where("kind = 4").select(F.col("dest").alias("part"))
+    everyone = lambda frame: frame.select(F.lit(-1).alias("kind"), F.col("part").alias("dest"), F.lit(-1).cast("long").alias("origin"), F.lit(b"").alias("data"))
+
+    h = 0.5 / max(1, v)
+    ours = everyone(word_parts)
+    state = stage(_to_dest(told.where("kind = 0").unionByName(ours), parts).mapInArrow(_seat_words(folder, 0, seed, h, float(v)), _ROW), "lm-root")
+
+    def totals(frame: DataFrame) -> tuple[tuple[float, float], dict[int, float]]:
+        got = frame.where("kind in (2, 3)").select("kind", "origin", "data").collect()  # a row a part and slice
+        both = [load(r.data)[0] for r in got if r.kind == 3]
+        tables: dict[int, float] = {}
+        for r in got:
+            if r.kind == 2:
+                key = r.origin & (1 << 64) - 1
+                tables[key] = tables.get(key, 0) + struct.unpack("<q", r.data)[0]
+        return (float(sum(int(b[0]) for b in both)), float(sum(int(b[1]) for b in both))), tables
+
+    roots, tables = [], {}
+    for s in range(1, sweeps + 1):
+        root, found = totals(state)
+        roots.append(root)
+        tables = found or tables
+        seated = _to_dest(state.where("kind = 1").unionByName(everyone(pair_parts)), parts).mapInArrow(_seat_pairs(folder, s, seed, root, h, tables, sliced), _ROW)
+        state = stage(_to_dest(seated.unionByName(ours), parts).mapInArrow(_seat_words(folder, s, seed, h, root[1]), _ROW), "lm-root")
+    roots.append(totals(state)[0])
+
+    samples = list(range(BURN_IN + 1, sweeps + 1))
+    unknown = float(np.mean([(T_WORD + D_WORD * roots[s][1]) / (T_WORD + roots[s][0]) for s in samples])) * (0.5 if v else 1.0)
+    from_words = word_parts.repartition(parts, "part").mapInArrow(_tell_words(folder, samples, roots, h), _ROW)
+    from_pairs = pair_parts.repartition(parts, "part").mapInArrow(_tell_pairs(folder, samples, customers), _ROW)
+    named = blocks.select(F.lit(-1).alias("kind"), F.col("block").alias("dest"), F.lit(-1).cast("long").alias("origin"), F.col("uri").cast("binary").alias("data"))
+    answers = _to_dest(from_words.unionByName(from_pairs).unionByName(named), parts)
     report = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, report).withColumnRenamed("id", id_col)
+    scored = answers.mapInArrow(_score(parts, hot, n, v, unknown), report)
+    return scored.withColumn("perplexity", perplexity(F.col("score"), F.col("n_tokens"))).withColumnRenamed("id", id_col)
 
 
-def perplexity(score: float, n_tokens: int) -> float:
-    """Per token, from a log10 probability."""
-    return math.pow(10.0, -score / n_tokens) if n_tokens else math.nan
+def perplexity(score: Column, n_tokens: Column) -> Column:
+    """Per token, from a log10 probability; of a corpus, from the sums of both."""
+    return F.pow(F.lit(10.0), -score / F.nullif(n_tokens, F.lit(0)))
