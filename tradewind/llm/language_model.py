@@ -27,6 +27,7 @@ share. Words are told apart by 64-bit hashes; as followers in `score` by the upp
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections.abc import Iterator
 from itertools import groupby
@@ -43,12 +44,16 @@ from .common import new_path, stage
 
 SWEEPS, BURN_IN = 6, 2
 #: Groups of dishes that are seated in turn.
-TURNS = 8
+TURNS = 2
 #: Discounts and concentrations of the contexts and of their parent.
 D_CONTEXT, T_CONTEXT = 0.8, 2.0
 D_WORD, T_WORD = 0.7, 10.0
 #: Tokens of a block, about.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
+#: Tokens of the corpus for which there is a part of the vocabulary and of the restaurants.
+PART_TOKENS = 2_500_000
+#: So few dishes are seated one after the other, which is the same but faster.
+FEW = 12
 END = b""
 #: The key of the context at the beginning of a text.
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +149,7 @@ def seat(customers: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: f
     live = np.flatnonzero(customers > 1)
     seated = np.ones(len(live))
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        while len(live):
+        while len(live) > FEW:
             t = tables[live]
             chance = rng.beta(np.maximum(base[live] + slope[live] * t, 1e-300), seated - discount * t)
             joined = np.where(chance > 0, np.floor(np.log(rng.random(len(live))) / np.log1p(-chance)), np.inf)
@@ -152,6 +157,16 @@ def seat(customers: np.ndarray, base: np.ndarray, slope: np.ndarray, discount: f
             tables[live] += seated <= customers[live]
             more = seated < customers[live]
             live, seated = live[more], seated[more]
+    beta, uniform = rng.beta, rng.random
+    for k, i in zip(live.tolist(), seated.tolist(), strict=True):
+        t, most, b, s = int(tables[k]), int(customers[k]), float(base[k]), float(slope[k])
+        while i < most:
+            chance = beta(max(b + s * t, 1e-300), i - discount * t)
+            if chance <= 0:
+                break
+            i += 1 + (math.floor(math.log(uniform() or 1e-300) / math.log1p(-chance)) if chance < 1 else 0)
+            t += i <= most
+        tables[k] = t
     return tables
 
 
@@ -190,7 +205,7 @@ class _Index(dict):
 
 
 def _write_blocks(folder: str):
-    """(id, held, text) to (part = -1, uri, n = rows to learn from) per block of this task."""
+    """(id, held, text) to (uri, rows to learn from, tokens) per block of this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -202,7 +217,7 @@ def _write_blocks(folder: str):
             uri = f"{folder}/block-{task}-{made}"
             low, high = (all_ & 0xFFFF).astype(np.uint16), (all_ >> 16).astype(np.uint16)
             _save(uri, np.array(ids, dtype=np.int64), np.array(held, dtype=np.uint8), np.array(sizes, dtype=np.int64), low, high, keys)
-            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(held) - sum(held)], pa.int64())], ["uri", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(held) - sum(held)], pa.int64()), pa.array([size], pa.int64())], ["uri", "n", "tokens"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -548,13 +563,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     held = held_out(F.col(id_col)) if held is None else held
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("string").alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = new_path(spark, "lm")
 
-    blocks = stage(slim.mapInArrow(_write_blocks(folder), "uri string, n long"), "lm-blocks")
+    blocks = stage(slim.mapInArrow(_write_blocks(folder), "uri string, n long, tokens long"), "lm-blocks")
     blocks = blocks.withColumn("block", F.xxhash64("uri"))
-    spread = blocks.select("block", "uri").repartition(parts, "block")
-    rows_learnt = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows_learnt, size, number = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    parts = 1 + size // PART_TOKENS
+    spread = blocks.select("block", "uri").repartition(max(1, number), "block")
 
     words = stage(_to_dest(spread.mapInArrow(_ask_words(parts), _ROW), parts).mapInArrow(_merge_words(folder), _ROW), "lm-words")
     counted = [load(r.data)[0] for r in words.select("data").collect()]  # two numbers a part
@@ -601,7 +616,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from_words = word_parts.repartition(parts, "part").mapInArrow(_tell_words(folder, samples, roots, h), _ROW)
     from_pairs = pair_parts.repartition(parts, "part").mapInArrow(_tell_pairs(folder, samples, customers), _ROW)
     named = blocks.select(F.lit(-1).alias("kind"), F.col("block").alias("dest"), F.lit(-1).cast("long").alias("origin"), F.col("uri").cast("binary").alias("data"))
-    answers = _to_dest(from_words.unionByName(from_pairs).unionByName(named), parts)
+    answers = _to_dest(from_words.unionByName(from_pairs).unionByName(named), max(1, number))
     report = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = answers.mapInArrow(_score(parts, hot, n, v, unknown), report)
     return scored.withColumn("perplexity", perplexity(F.col("score"), F.col("n_tokens"))).withColumnRenamed("id", id_col)
