@@ -7,7 +7,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -211,47 +213,56 @@ def test_near_duplicates_sharing_a_passage(spark):
     assert {(r.doc_id, r.component_id) for r in found.collect()} == {(d, d - d % 2) for d, _ in rows}
 
 
-def test_line_hash_counts_every_word_pair(spark):
-    """One piece, its bounds, and several pieces against plain counting."""
-    lines = [" ".join(f"w{k * k % 97}" for k in range(n)) for n in (1, 2, 3, 5, 18, 127, 128, 129, 130, 400)]
-    frame = spark.createDataFrame(list(enumerate(lines)), "at long, norm string")
-    got = {r["at"]: r["x"] for r in line_dedup.with_line_hash(frame, "norm", "x").collect()}
-    parts = [(at, *((w[i : i + 2] if len(w) > 1 else [w[0], None]))) for at, line in enumerate(lines) for w in [line.split()] for i in range(max(1, len(w) - 1))]
-    pairs = spark.createDataFrame(parts, "at long, a string, b string").selectExpr("at", "if(b is null, xxhash64(a), xxhash64(a, b)) h").collect()
-    for at in got:
-        hashes = [r["h"] for r in pairs if r["at"] == at]
-        assert got[at] & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, p in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, q in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != q))
-    return row[-1]
-
-
-def test_line_links_lose_none(spark, texts):
-    """Every link between classes, those of one hash and those beside their head included."""
-    lines = {"ab cd " * n + "ab" for n in (4, 5, 6, 7, 9, 14, 15, 30)} | {"cd ab " * n + "cd" for n in (4, 5, 9, 10)}
-    lines |= {" ".join(re.findall(r"[^\W_]+", y.lower())) for x in texts.values() for y in (x or "").split("\n")}
-    rows = [(k, y) for k, y in enumerate(sorted(lines)) if 20 <= len(y) <= 400]
-    frame = line_dedup.with_line_hash(spark.createDataFrame(rows, "c long, norm string"), "norm", "x").cache()
-    keyed = [(r["c"], r["norm"], r["x"] & (2**64 - 1)) for r in frame.collect()]
-    hashes, root = np.array([x for _, _, x in keyed], dtype=np.uint64), {c: c for c, _, _ in keyed}
-
-    def find(c):
-        while root[c] != c:
-            c = root[c]
-        return c
-
-    for i, (c, s, x) in enumerate(keyed):
-        for j in np.flatnonzero(np.bitwise_count(hashes[i + 1 :] ^ np.uint64(x)) <= 3) + i + 1:
-            d, t, _ = keyed[j]
-            if _edits(s, t) <= int(max(len(s), len(t)) * 0.2 + 1e-9):
-                a, b = find(c), find(d)
-                root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in line_dedup.line_links(frame.selectExpr("c", "x", "length(norm) len"), frame.select("c", "norm"), 0.8).collect()}
-    assert {c: got.get(c, c) for c in root} == {c: find(c) for c in root}
-    assert sum(c != find(c) for c in root) > 5
+def _close_pairs(lines: list[str], similarity: float = 0.8) -> list[tuple[int, int]]:
+    """All pairs of lines of that edit similarity: by length and counts of letter pairs, both of which bound edits, then by DuckDB."""
+    lines = sorted(lines, key=len)
+    size = np.array([len(x) for x in lines])
+    counts = np.zeros((len(lines), 256), dtype=np.int16)
+    for i, x in enumerate(lines):
+        np.add.at(counts[i], [zlib.crc32(x[k : k + 2].encode()) % 256 for k in range(len(x) - 1)], 1)
+    some = []
+    for i in range(len(lines)):
+        stop = np.searchsorted(size, size[i] / similarity + 1e-9, side="right")
+        far = np.abs(counts[i + 1 : stop] - counts[i]).sum(axis=1)
+        some += [(i, i + 1 + int(k)) for k in np.flatnonzero(far <= 4 * np.floor(size[i + 1 : stop] * (1 - similarity) + 1e-9))]
+    frame = pd.DataFrame([(i, j, lines[i], lines[j]) for i, j in some], columns=["i", "j", "s", "t"])  # noqa: F841
+    found = duckdb.sql("select i, j from frame where levenshtein(s, t) <= floor(0.2 * greatest(length(s), length(t)) + 1e-9)").fetchall()
+    return [(lines[i], lines[j]) for i, j in found]
+
+
+def test_line_links_find_close_lines(spark, texts):
+    """Brute force over all pairs, which knows nothing of sketches."""
+    lines = {regex.sub(r"[^\p{L}\p{N}]+", " ", y.lower()).strip() for x in texts.values() for y in (x or "").split("\n")}
+    lines = sorted(y for y in lines if 20 <= len(y) <= 2000)
+    pairs = _close_pairs(lines)
+    assert len(pairs) > 30
+    frame = spark.createDataFrame(list(enumerate(lines)), "c long, norm string").withColumn("sk", line_dedup.sketches(F.col("norm")))
+    got = {(lines[r.a], lines[r.b]) for r in line_dedup.candidates(frame.selectExpr("c", "length(norm) len", "sk"), 0.8).collect()}
+    both = sum((a, b) in got or (b, a) in got for a, b in pairs)
+    assert both >= 0.95 * len(pairs)
+    at = {y: k for k, y in enumerate(lines)}
+    linked = {r["node"]: r["component"] for r in line_dedup.line_links(frame.selectExpr("c", "length(norm) len", "sk"), frame.select("c", "norm"), 0.8).collect()}
+    joined = sum(linked.get(at[a], at[a]) == linked.get(at[b], at[b]) for a, b in pairs)
+    assert joined >= 0.95 * len(pairs)
+    close = {at[x] for p in pairs for x in p}
+    assert set(linked) <= close  # no line goes that has no like
+
+
+def test_copies_in_large_groups_are_joined(spark):
+    """Blocks that more classes share than are compared each with each."""
+    base = [f"word{k:03d}" for k in range(60)]
+    lines = [" ".join([*base[: k % 55], f"other{k}", *base[k % 55 + 1 :]]) for k in range(150)]
+    lines += [" ".join(["common", "words", "ahead", *(f"u{k}x{j}" for j in range(20))]) for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.report(docs).collect() if r.removed}
+    assert gone == set(range(1, 150))
+
+
+def test_report_and_dropped_lines(spark):
+    docs = spark.createDataFrame([(1, "A b\n\nc"), (2, "a B!\nnew\nc."), (None, "c\n--"), (3, None), (4, "")], "doc_id long, text string").selectExpr("*", "1 as id", "2 as c", "'x' as norm")
+    told = line_dedup.report(docs)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in told.collect()}
+    assert got == {None: (2, 0, []), 1: (3, 1, [2]), 2: (3, 2, [0, 2]), 3: (1, 0, []), 4: (1, 0, [])}
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(docs.where("doc_id is not null"), told).collect()}
+    assert kept == {1: "A b\n", 2: "new", 3: None, 4: ""}
+    assert line_dedup.report(docs.limit(0)).collect() == []

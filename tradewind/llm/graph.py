@@ -10,21 +10,26 @@ from .common import stage
 _MAX_ROUNDS = 60
 
 
-def _minima(arcs: DataFrame) -> DataFrame:
-    """Per source the least node among it and its targets."""
-    return arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the least neighbour of each node that has a lesser one."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    """Each node's greater neighbours are joined to its least neighbour, or to itself if it is less.
+
+    Edges (u, v) have u > v, so a hub that is the least of its neighbours is not looked up by
+    any row but its own edges', which Spark can split: nothing is gathered per node.
+    """
+    low = _least(edges).select(F.col("u").alias("v"), "m")
+    return edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = _minima(down)
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    """Each node's lesser neighbours and the node itself are joined to the least of them."""
+    low = _least(edges)
+    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
