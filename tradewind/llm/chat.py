@@ -8,7 +8,7 @@ conversation. What is left is rendered to one text each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -17,6 +17,14 @@ from .common import stage
 CHUNK = 4096
 
 
+def _conv() -> Column:
+    return F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("id"))
+
+
+def _turn() -> Column:
+    return F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))
+
+
 def prefix_hashes(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(conv, chunk, turn, pos, last, h1, h2, x1, x2): pos numbers a conversation's turns from 1,
     h1 and h2 are 2 x 64 bits over its first pos turns.
@@ -43,14 +51,15 @@ def collapse(conversations: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, D
 
     Turns are ordered by turn, ties by content; a row repeated exactly within its
     conversation counts once; a null role or text counts as empty; rows without conv_id
-    belong to one conversation, null. Of equal conversations the least id stays, and
+    belong to one conversation, null, which comes after all others; a null turn comes before
+    all others. conv is a struct (none, id). Of equal conversations the least id stays, and
     n_copies says how many there were.
     """
     rows = conversations.select(
-        F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
+        _conv().alias("conv"), _turn().alias("turn"),
         F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("x1"),
         F.xxhash64(F.lit(7), F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))).alias("x2"),
-    ).distinct().withColumn("conv", F.coalesce(F.col("conv"), F.lit(-1).cast("long"))).withColumn("chunk", F.floor(F.col("turn") / chunk))
+    ).distinct().withColumn("chunk", F.floor(F.col("turn") / chunk))
     hashed = stage(prefix_hashes(rows, chunk), "chat-hashes")
     ends = hashed.where("pos = last").groupBy("pos", "h1", "h2").agg(F.min("conv").alias("conv"), F.count("*").alias("n_copies"))
     inner = hashed.where("pos < last").select("pos", "h1", "h2").distinct()
@@ -67,11 +76,11 @@ def render(conversations: DataFrame, begin: str = "<|im_start|>", end: str = "<|
     kept, hashed = collapse(conversations, chunk)
     kept = stage(kept, "chat-kept")
     said = conversations.select(
-        F.coalesce("conv_id", F.lit(-1).cast("long")).alias("conv"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
+        _conv().alias("conv"), _turn().alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     said = said.withColumn("x1", F.xxhash64("role", "text")).withColumn("x2", F.xxhash64(F.lit(7), "text", "role")).join(kept, "conv", "left_semi").dropDuplicates(["conv", "turn", "x1", "x2"])
     line = F.concat(F.lit(begin), "role", F.lit("\n"), "text", F.lit(end + "\n"))
     texts = said.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "x1", "x2", line.alias("line")))).alias("lines"))
     text = F.array_join(F.transform("lines", lambda x: x["line"]), "")
-    return kept.join(texts.select("conv", text.alias("rendered")), "conv").select(F.when(F.col("conv") != -1, F.col("conv")).alias("conv_id"), "n_turns", "n_copies", "rendered")
+    return kept.join(texts.select("conv", text.alias("rendered")), "conv").select(F.when(~F.col("conv.none"), F.col("conv.id")).alias("conv_id"), "n_turns", "n_copies", "rendered")

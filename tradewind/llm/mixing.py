@@ -83,6 +83,8 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     The rows themselves are then kept by comparing their hash with the leaf's last one, a
     join with a table of leaves, so texts are not shuffled.
     """
+    if clash := [c for c in docs.columns if c.startswith(prefix)]:
+        raise ValueError(f"columns begin with {prefix}: {clash}")
     names = [prefix + x for x in levels]
     node = {prefix + k: F.coalesce(c.cast("string"), F.lit("(none)")) for k, c in levels.items()}
     tagged = docs.withColumns(node)

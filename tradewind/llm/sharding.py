@@ -36,6 +36,8 @@ def stratified_shards(docs: DataFrame, stratum: Column, shards: int, seed: int =
     """
     s, b, h, r, n, q = (prefix + x for x in "sbhrnq")
     div = lambda x, y: F.call_function("div", x, y)
+    if clash := [c for c in docs.columns if c.startswith(prefix)]:
+        raise ValueError(f"columns begin with {prefix}: {clash}")
     tagged = docs.drop("shard", "slot").withColumn(s, F.coalesce(stratum.cast("string"), F.lit("(none)"))).withColumn(h, seeded_hash(F.lit(str(seed)), F.col(id_col).cast("string")))
     total = docs.select(F.lit(1).alias("one")).count()
     bits = bucket_bits(total)
@@ -52,8 +54,10 @@ def stratified_shards(docs: DataFrame, stratum: Column, shards: int, seed: int =
 
     # ranks below (2 n c / cells - 1) / 2 lie in buckets before c
     below = lambda c: F.greatest(F.lit(0).cast("long"), div(2 * F.col(n) * c + cells - 1, F.lit(2 * cells)))
-    grid = sizes.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-    held = grid.groupBy(b).agg(F.sum(below(F.col(b) + 1) - below(F.col(b))).alias(n))
+    every = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
+    grid = sizes.where(F.col(n) >= cells).withColumn(b, every(F.lit(cells - 1).cast("long"))).select(b, (below(F.col(b) + 1) - below(F.col(b))).alias(n))
+    few = sizes.where(F.col(n) < cells).withColumn(r, every(F.col(n) - 1)).select(div((2 * F.col(r) + 1) * cells, 2 * F.col(n)).alias(b), F.lit(1).cast("long").alias(n))  # a source's rows, where it has fewer than cells
+    held = grid.unionByName(few).groupBy(b).agg(F.sum(n).alias(n))
     cell_starts = _starts(held, [], b, n, h).select(b, h)
     place = F.row_number().over(Window.partitionBy(b).orderBy(F.col(q), F.col(s), *order))
     placed = ranked.withColumn(r, place).join(cell_starts, b).withColumn(r, F.col(r) - 1 + F.col(h))

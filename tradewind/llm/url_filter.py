@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-#: Rules that one shipped index may hold; more are refused rather than shipped to every executor.
+#: Rules that one shipped index may hold; more are joined, see :func:`join_rules`.
 MAX_RULES = 4_000_000
 _BLOCK, _ALLOW = 0, 1
 
@@ -63,7 +63,7 @@ class DigestArray:
 
     def __init__(self, paths: Sequence[str]) -> None:
         """Maps the files of PARTS into memory."""
-        self.keys, self.verdicts, self.ends, self.text, self.lengths = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 4096 else None) for p in paths)
+        self.keys, self.verdicts, self.ends, self.text, self.lengths = (np.load(p, mmap_mode="r" if os.path.getsize(p) > 128 else None) for p in paths)  # an empty array cannot be mapped
 
     @staticmethod
     def write(rules: Sequence[Rule], folder: str, tag: str) -> list[str]:
@@ -116,7 +116,7 @@ class DigestArray:
         for j in np.flatnonzero(found >= 0):
             i, k = owner[j], int(found[j])
             size = int(self.ends[k + 1] - self.ends[k])
-            if i not in best or size > int(self.ends[best[i] + 1] - self.ends[best[i]]):
+            if i not in best or size > int(self.ends[best[i] + 1] - self.ends[best[i]]):  # longer hosts are tried first
                 best[i] = k
         rule = [self.string(best[i]).decode("utf-8", "surrogatepass") if i in best else None for i in range(len(hosts))]
         return rule, ["block" if i in best and self.verdicts[best[i]] == _BLOCK else "allow" for i in range(len(hosts))]
@@ -133,11 +133,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -
     A rule fits its host and all subdomains if the path begins with the rule's path. A null
     url, or one without ://, has an empty host and path, fits no rule and is allowed.
     Repeated rows are judged alike; columns host, path, rule and verdict are replaced; an
-    empty table gives an empty table. The index is shipped to every executor as files and
-    mapped there, so its size is bounded: over MAX_RULES rules raise a ValueError.
+    empty table gives an empty table. Of fitting rules of equal length the one with the longer
+    host counts. The index is shipped to every executor as files and mapped there, so its
+    size is bounded: more than MAX_RULES rules are joined with the urls instead.
     """
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; one index holds {MAX_RULES}")
+        return join_rules(pages, pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string"), url_col)
     tag = f"urlrules-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="urlrules-")  # executors fetch the files from the driver when they first need them
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -153,3 +154,22 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -
 
     out = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col))).withColumn("_judged", judged("host", "path"))
     return out.withColumn("rule", F.col("_judged.rule")).withColumn("verdict", F.col("_judged.verdict")).drop("_judged")
+
+
+def join_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
+    """:func:`filter_urls` for any number of `rules` (host, path, verdict), which are joined by their strings and not shipped.
+
+    Each distinct host and path is looked up under every tail of the host and every length
+    of path that a rule has; of rules with the same string the greater verdict counts.
+    """
+    known = rules.groupBy(F.concat("host", "path").alias("_text")).agg(F.max("verdict").alias("_verdict"), F.max(F.length("path")).alias("_path"))
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))
+    out = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
+    asked = out.where("host <> ''").select("host", "path").distinct().crossJoin(F.broadcast(lengths))  # one row
+    labels = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    fits = F.filter("_lengths", lambda n: n <= F.length("path"))
+    tried = asked.select("host", "path", F.explode(tails).alias("_tail"), fits.alias("_n")).select("host", "path", "_tail", F.explode("_n").alias("_n"))
+    tried = tried.withColumn("_text", F.concat("_tail", F.substr("path", F.lit(1), F.col("_n")))).join(known, "_text").where("_n = _path")
+    best = tried.groupBy("host", "path").agg(F.max_by(F.struct(F.col("_text").alias("rule"), F.col("_verdict").alias("verdict")), F.struct(F.length("_text"), F.length("_tail"))).alias("_b"))
+    return out.join(best, ["host", "path"], "left").withColumn("rule", F.col("_b.rule")).withColumn("verdict", F.coalesce("_b.verdict", F.lit("allow"))).drop("_b")
