@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import STOP_WORDS, fold, strip_accents
+from .text import STOP_WORDS, norm_brand, strip_accents
 
 # Units by what they measure, with the amount of base units (ml, g, pieces).
 UNITS = {
@@ -24,11 +24,13 @@ UNITS = {
 COUNTED_NOUNS = ["αστερων", "αστερια", "αστερι", "φρουτα", "φρουτων", "δημητριακα", "λαχανικα", "βοτανα", "γευσεις", "στρωσεις", "φυλλα"]
 
 _ANY_UNIT = "|".join(re.escape(u) for u in sorted((u for us in UNITS.values() for u in us), key=len, reverse=True))
+# What the quantities of a name look like. A shade is no number before the beginning of a unit
+# ("35 κ..." is none, but "12,50%" has the shade 12); a dimension needs a blank or the end after it ("6x330 ml" has one, "6x330ml" has none).
 _FLAGS, _NUM = "(?iu)(?U)", r"\d+(?:[.,]\d+)?"
 SIZE = rf"{_FLAGS}({_NUM})\s*({_ANY_UNIT})\b"
 MULTIPACK = rf"{_FLAGS}(\d+)\s*[x×]\s*({_NUM})\s*({_ANY_UNIT})\b"
 PROMO = rf"{_FLAGS}\b(\d+)\s*\+\s*(\d+)\b"
-NUMBERED = rf"{_FLAGS}\b(?:no|ν[οο])\s*[.:]?\s*(\d+)\b"
+NUMBERED = rf"{_FLAGS}\b(?:no|νο)\s*[.:]?\s*(\d+)\b"
 SPF = rf"{_FLAGS}\bspf\s*(\d+)\b"
 PERCENT = rf"{_FLAGS}({_NUM})\s*%"
 SHADE = rf"{_FLAGS}\b(\d{{2,3}})\b(?!\s*(?:%|{_ANY_UNIT}|[x×]))"
@@ -80,7 +82,7 @@ def signature(name: Column) -> Column:
     shades = F.array_distinct(F.transform(_all(text, SHADE, 1), lambda x: x.cast("int")))
     shades = F.sort_array(F.filter(shades, lambda x: ~x.cast("double").eqNullSafe(size["amount"])))
     percents = F.sort_array(F.transform(_all(text, PERCENT, 1), _double))
-    nouns = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.try_element_at(_all(text, rf"{_FLAGS}\b(\d+)\s+{n}\b", 1), F.lit(-1))) for n in COUNTED_NOUNS]))
+    nouns = F.map_from_entries(F.array(*[F.struct(F.lit(n), F.try_element_at(_all(text, rf"{_FLAGS}\b(\d+)\s+{n}\b", 1), F.lit(-1)).cast("int")) for n in COUNTED_NOUNS]))
     some = lambda a: F.when(F.size(a) > 0, a)
     return F.struct(
         size.alias("size"), _pair(text, PROMO).alias("promo"), F.array_max(F.transform(F.filter(_sizes(text), lambda s: s["dim"] == "pc"), lambda s: s["amount"])).alias("pieces"),
@@ -109,7 +111,7 @@ def name_tokens(name: Column) -> Column:
 
 def core_tokens(name: Column, brand: Column) -> Column:
     """`name_tokens` without the brand's, unless nothing would be left."""
-    mine = F.split(F.regexp_replace(fold(brand), r"[^a-z0-9α-ω ]", " "), " +")
+    mine = F.split(norm_brand(brand), " ")
     left = F.filter(name_tokens(name), lambda t: ~F.array_contains(mine, t))
     return F.when(F.size(left) > 0, left).otherwise(name_tokens(name))
 
@@ -119,4 +121,4 @@ def match_key(name: Column, brand: Column) -> Column:
     size = F.coalesce(F.concat(sig["size"]["dim"], F.lit(":"), sig["size"]["amount"].cast("string")), F.lit("none"))
     bulk = sig["size"]["dim"].isin("vol", "mass")
     promo = F.coalesce(F.array_join(sig["promo"], "+"), F.lit(""))
-    return F.concat_ws("|", F.array_join(core_tokens(name, brand), " "), fold(brand), size, F.concat_ws("/", promo, F.coalesce(sig["no"].cast("string"), F.lit("")), F.when(bulk, F.coalesce(sig["pieces"].cast("string"), F.lit(""))).otherwise(F.lit(""))))
+    return F.concat_ws("|", F.array_join(core_tokens(name, brand), " "), norm_brand(brand), size, F.concat_ws("/", promo, F.coalesce(sig["no"].cast("string"), F.lit("")), F.when(bulk, F.coalesce(sig["pieces"].cast("string"), F.lit(""))).otherwise(F.lit(""))))

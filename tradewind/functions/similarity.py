@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .quantity import core_tokens, signature, signatures_conflict
-from .text import DIFFERENCE_NOISE, STOP_WORDS, fold
+from .text import DIFFERENCE_NOISE, STOP_WORDS, norm_brand
 
 PREFILTER, SUGGEST, AUTO_BLOCK = 0.45, 0.72, 0.92
 
@@ -49,7 +49,7 @@ def variant_difference(a: Column, b: Column) -> Column:
 
 def profile(products: DataFrame) -> DataFrame:
     """`products` (name, brand, ...) with tokens, core, folded_brand and sig, computed once before pairing."""
-    return products.withColumns({"tokens": core_tokens(F.col("name"), F.col("brand")), "folded_brand": fold(F.col("brand")), "sig": signature(F.col("name"))}).withColumn("core", F.array_join("tokens", " "))
+    return products.withColumns({"tokens": core_tokens(F.col("name"), F.col("brand")), "folded_brand": norm_brand(F.col("brand")), "sig": signature(F.col("name"))}).withColumn("core", F.array_join("tokens", " "))
 
 
 def score_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
@@ -61,12 +61,12 @@ def score_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     penalty = F.when(a["sig"]["size"].isNull() != b["sig"]["size"].isNull(), 0.15).otherwise(0.0) + F.least(F.lit(0.25), 0.13 * F.size(variant_difference(a["tokens"], b["tokens"])))
     brand = F.when((a["folded_brand"] == "") | (b["folded_brand"] == ""), 0.5).when(a["folded_brand"] == b["folded_brand"], 1.0).otherwise(0.0)
-    gated = pairs.withColumn("conflict", signatures_conflict(a["sig"], b["sig"])).withColumn("j", jaccard(a["tokens"], b["tokens"])).withColumn("fixed", 0.3 * brand - penalty)
+    gated = pairs.withColumn("_conflict", signatures_conflict(a["sig"], b["sig"])).withColumn("_jaccard", jaccard(a["tokens"], b["tokens"])).withColumn("_fixed", 0.3 * brand - penalty)
     if least > 0:
-        gated = gated.where(~F.col("conflict") & (0.7 * (0.5 * F.col("j") + 0.5) + F.col("fixed") >= least - 0.0005))
-    raw = 0.7 * (0.5 * F.col("j") + 0.5 * token_ratio(a["core"], b["core"])) + F.col("fixed")
-    scored = gated.withColumn("score", F.when(F.col("conflict"), 0.0).otherwise(F.greatest(F.lit(0.0), F.round(raw, 3))))
-    return scored.where(F.col("score") >= least).drop("conflict", "j", "fixed")
+        gated = gated.where(~F.col("_conflict") & (0.7 * (0.5 * F.col("_jaccard") + 0.5) + F.col("_fixed") >= least - 0.0005))
+    raw = 0.7 * (0.5 * F.col("_jaccard") + 0.5 * token_ratio(a["core"], b["core"])) + F.col("_fixed")
+    scored = gated.withColumn("score", F.when(F.col("_conflict"), 0.0).otherwise(F.greatest(F.lit(0.0), F.round(raw, 3))))
+    return scored.where(F.col("score") >= least).drop("_conflict", "_jaccard", "_fixed")
 
 
 def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
@@ -82,18 +82,25 @@ def _grams(n: int):
 
 
 def tfidf_pairs(texts: DataFrame, least: float = PREFILTER) -> DataFrame:
-    """(a, b, cosine), a < b, of texts (id, text) at or over `least`: an inverted-index join over grams.
+    """(a, b, cosine), a < b, of texts (id, text) with a cosine of TF-IDF vectors of `least` or more.
 
-    Exact: two texts with a positive cosine share a gram. Grams that all texts share add most
-    rows; AQE splits them.
+    Exact, by prefix filtering: the grams of a text stand in the order of their number of
+    texts, and its prefix ends where the rest of the vector is shorter than `least`. Of two
+    texts whose first common gram is in the rest of either one, the cosine is below `least`;
+    so only prefixes are joined, which leaves the most common grams out, and the pairs found
+    are computed in full.
     """
     grams = texts.select("id", F.explode(char_grams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
     total = texts.agg(F.count("*").alias("n"))
     weights = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norms, "id").select("id", "g", (F.col("w") / F.col("norm")).alias("w"))
+    whole = Window.partitionBy("id")
+    onward = whole.orderBy("df", "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    unit = weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(onward))
+    prefix = unit.where(F.col("rest") >= least * least - 1e-9).select("id", "g")
+    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "g").where("a < b").select("a", "b").distinct()
+    mine = unit.select(F.col("id").alias("a"), "g", F.col("w"))
     other = unit.select(F.col("id").alias("b"), "g", F.col("w").alias("v"))
-    return unit.withColumnRenamed("id", "a").join(other, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+    return pairs.join(mine, "a").join(other, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
 
 
 def token_blocks(names: DataFrame) -> DataFrame:

@@ -45,6 +45,11 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"(?U)\s+", " "))
 
 
+def norm_brand(c: Column) -> Column:
+    """`fold` with everything but letters a-z, α-ω and digits as one blank."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(c)), r"[^a-z0-9α-ω]+", " "))
+
+
 def product_key(shared_key: Column, name: Column, brand: Column) -> Column:
     return F.when(F.length(F.coalesce(shared_key, F.lit(""))) > 0, F.concat(F.lit("sku:"), shared_key)).otherwise(F.concat(F.lit("nb:"), fold(name), F.lit("|"), fold(brand)))
 
@@ -64,11 +69,32 @@ def strip_brand_prefix(name: Column, brand: Column) -> Column:
     return F.when(hit & (F.length(F.coalesce(rest, F.lit(""))) > 0), rest).otherwise(name)
 
 
-def number(c: Column) -> Column:
-    """The first figure of a price text as a double: '1.234,56' and '1234.56' alike; null without one."""
-    raw = F.regexp_extract(c, r"(\d[\d.,]*)", 1)
-    raw = F.when(F.contains(raw, F.lit(",")), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(raw)
-    return raw.try_cast("double")
+# What a figure looks like in the price texts of two shops.
+FIGURE = r"(\d{1,3}(?:\.\d{3})*,\d{1,2}|\d+,\d{1,2}|\d+)"
+FIGURE_WITH_POINT = r"(\d{1,3}(?:\.\d{3})*,\d{1,2}|\d+,\d{1,2}|\d+\.\d{1,2}|\d+)"
+
+
+def _comma_decimal(raw: Column) -> Column:
+    return F.when(F.contains(raw, F.lit(",")), F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(raw)
+
+
+def number(c: Column, pattern: str = FIGURE_WITH_POINT) -> Column:
+    """The first figure of a price text as a double, a comma being decimal; null without one."""
+    return _comma_decimal(F.regexp_extract(F.replace(c, F.lit("\u00a0"), F.lit(" ")), pattern, 1)).try_cast("double")
+
+
+def number_by_last(c: Column) -> Column:
+    """A whole figure as a double: of a comma and a point the later one is decimal; null if it is none."""
+    t = F.trim(c)
+    comma, point = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
+    thousands = F.when((comma > 0) & (point > 0) & (point < comma), F.replace(t, F.lit(","), F.lit("")))
+    return F.coalesce(thousands, _comma_decimal(t)).try_cast("double")
+
+
+def number_stripped(c: Column) -> Column:
+    """A price as a double, a comma being decimal; signs that are no figure go if it is none with them."""
+    t = _comma_decimal(F.trim(F.regexp_replace(F.trim(c), "[\u00a0€]", "")))
+    return F.coalesce(t.try_cast("double"), F.regexp_replace(t, r"[^0-9.]", "").try_cast("double"))
 
 
 def cents(c: Column) -> Column:
@@ -76,7 +102,12 @@ def cents(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
+# The words that reviewers use.
+APPROVE = ["merge", "approve", "yes", "y", "1", "true"]
+REJECT = ["reject", "no", "n", "0", "false", "notsame", "not_same"]
+
+
 def decision(c: Column) -> Column:
-    """approve, reject or skip from the words that reviewers use."""
+    """approve, reject or skip."""
     word = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return F.when(word.isin("merge", "approve", "yes", "y", "1", "true"), "approve").when(word.isin("reject", "no", "n", "0", "false", "notsame", "not_same"), "reject").otherwise("skip")
+    return F.when(word.isin(*APPROVE), "approve").when(word.isin(*REJECT), "reject").otherwise("skip")

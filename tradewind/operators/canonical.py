@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantity import match_key
 from ..functions.similarity import PREFILTER, SUGGEST, profile, score_pairs, tfidf_pairs
 from ..functions.text import decision
 
@@ -15,17 +16,48 @@ def exact_links(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("master", F.first("id").over(order)).where("id <> master").select(F.col("id").alias("dup"), "master")
 
 
-def roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(dup, master) with every chain followed to its end by pointer doubling; self-links and cycles end at their least id."""
-    now = links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("master"))
-    for _ in range(max_rounds):
-        up = now.select(F.col("dup").alias("master"), F.col("master").alias("next"))
-        step = now.join(up, "master", "left").select("dup", F.when(F.col("next") == F.col("dup"), F.least("dup", "master")).otherwise(F.coalesce("next", "master")).alias("next"), "master").checkpoint()
-        moved = step.where("next <> master").limit(1).count()
-        now = step.select("dup", F.col("next").alias("master")).where("dup <> master")
-        if not moved:
-            break
-    return now
+def roots(links: DataFrame) -> DataFrame:
+    """(dup, master) with every chain followed to its end; the members of a cycle, and chains into it, end at its least id.
+
+    Pointer doubling: after k rounds a pointer spans 2**k links, so as many rounds as the
+    number of links has bits reach every end. A pointer that still has a successor then lies
+    on a cycle that its path has been all around. Of several masters of one dup the least
+    counts; links to oneself are none. Each round is one join, kept by checkpoint().
+    """
+    now = links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("next")).withColumn("low", F.least("dup", "next")).checkpoint()
+
+    def onward(rows: DataFrame) -> DataFrame:
+        up = now.select(F.col("dup").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
+        return rows.join(up, "next", "left")
+
+    for _ in range(now.count().bit_length()):
+        now = onward(now).select("dup", F.coalesce("_next", "next").alias("next"), F.least("low", "_low").alias("low")).checkpoint()
+    return onward(now).select("dup", F.coalesce("_low", "next").alias("master")).where("dup <> master")
+
+
+def apply_links(products: DataFrame, links: DataFrame) -> DataFrame:
+    """`products` (id, canonical_id, ...) after merging along `links` (dup, master), all pointers at their roots.
+
+    A new link of a dup replaces its old pointer; a master that is itself a duplicate passes
+    the dup on, and the dup's own children follow it.
+    """
+    fresh = links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("master"))
+    kept = products.where("canonical_id is not null").select(F.col("id").alias("dup"), F.col("canonical_id").alias("master")).join(fresh.select("dup"), "dup", "left_anti")
+    ends = roots(kept.unionByName(fresh)).select(F.col("dup").alias("id"), F.col("master").alias("canonical_id"))
+    return products.drop("canonical_id").join(ends, "id", "left")
+
+
+def unmerge(products: DataFrame, ids: DataFrame) -> DataFrame:
+    """`products` with the products of `ids` (id) standing for themselves again."""
+    gone = ids.select("id", F.lit(True).alias("_gone")).distinct()
+    return products.join(gone, "id", "left").withColumn("canonical_id", F.when(F.col("_gone").isNull(), F.col("canonical_id"))).drop("_gone")
+
+
+def scan_exact(products: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(dup, master): canonical products of one match key, the master chosen by `preferred` (id), then the least id."""
+    keyed = products.where("canonical_id is null").select("id", match_key(F.col("name"), F.col("brand")).alias("key"))
+    mark = preferred.select("id", F.lit(True).alias("preferred")).distinct()
+    return exact_links(keyed.join(mark, "id", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False))))
 
 
 def candidates(products: DataFrame, least: float = SUGGEST, prefilter: float = PREFILTER) -> DataFrame:
@@ -54,27 +86,55 @@ def prune(queue: DataFrame, rescored: DataFrame, least: float = SUGGEST) -> Data
     return both.where(~pending | (F.coalesce("fresh", F.lit(0.0)) >= least)).withColumn("score", F.when(pending, F.col("fresh")).otherwise(F.col("score"))).drop("fresh")
 
 
+def review_queue(queue: DataFrame, products: DataFrame, limit: int = 200) -> DataFrame:
+    """Pending candidates with both products' names and brands, best score first, ties by pair."""
+    side = lambda s: products.select(F.col("id").alias(f"product_{s}"), F.col("name").alias(f"name_{s}"), F.col("brand").alias(f"brand_{s}"))
+    rows = queue.where("status = 'pending'").join(side("a"), "product_a").join(side("b"), "product_b")
+    return rows.select("candidate_id", "score", "product_a", "name_a", "brand_a", "product_b", "name_b", "brand_b").orderBy(F.desc("score"), "candidate_id").limit(limit)
+
+
+def resolve(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queue, links) after `answers` (candidate_id, approve boolean, into): approved pairs are linked.
+
+    The master is `into` if it is one of the two, else product_a. An unknown candidate changes nothing.
+    """
+    told = answers.groupBy("candidate_id").agg(F.max_by("approve", F.coalesce("into", F.lit(-1))).alias("approve"), F.max("into").alias("into"))
+    both = queue.join(told, "candidate_id", "left")
+    status = F.when(F.col("approve"), "approved").when(~F.col("approve"), "rejected").otherwise(F.col("status"))
+    a, b = F.col("product_a"), F.col("product_b")
+    master = F.when(F.col("into").isin(a, b), F.col("into")).otherwise(a)
+    links = both.where("approve and product_a <> product_b").select((a + b - master).alias("dup"), master.alias("master"))
+    return both.withColumn("status", status).select(*queue.columns), links
+
+
 def import_decisions(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """`decisions` (candidate_id, decision) against `queue` (candidate_id, product_a, product_b): outcome and link.
 
     outcome is merged, rejected, skipped or missing; a merge links the greater id to the lesser.
     """
     judged = decisions.withColumn("d", decision(F.col("decision"))).join(queue, "candidate_id", "left")
-    outcome = F.when(F.col("d") == "skip", "skipped").when(F.col("product_a").isNull(), "missing").when(F.col("d") == "approve", "merged").otherwise("rejected")
+    outcome = F.when((F.col("d") == "skip") | F.col("candidate_id").isNull(), "skipped").when(F.col("product_a").isNull(), "missing").when(F.col("d") == "approve", "merged").otherwise("rejected")
     merged = (outcome == "merged") & (F.col("product_a") != F.col("product_b"))
     return judged.select("candidate_id", outcome.alias("outcome"), F.when(merged, F.greatest("product_a", "product_b")).alias("dup"), F.when(merged, F.least("product_a", "product_b")).alias("master"))
 
 
+def decision_counts(imported: DataFrame) -> DataFrame:
+    """One row: merged, rejected, skipped, missing."""
+    return imported.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("merged", "rejected", "skipped", "missing")])
+
+
 def merge_above(queue: DataFrame, threshold: float, preferred: DataFrame) -> DataFrame:
-    """(dup, master) for pending candidates at or over `threshold`, clamped to [0.8, 1]: the side in `preferred` (id) wins, then the lesser id."""
+    """(dup, master) for pending candidates at or over `threshold`, clamped to [0.8, 1].
+
+    product_b wins if it alone is in `preferred` (id); else the lesser id does.
+    """
     level = min(1.0, max(0.8, threshold))
-    hot = queue.where((F.col("status") == "pending") & (F.col("score") >= level))
-    mark = lambda side: preferred.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_pref"))
+    hot = queue.where((F.col("status") == "pending") & (F.col("score") >= level) & (F.col("product_a") != F.col("product_b")))
+    mark = lambda side: preferred.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_pref")).distinct()
     both = hot.join(mark("product_a"), "product_a", "left").join(mark("product_b"), "product_b", "left")
     b_wins = F.coalesce("product_b_pref", F.lit(False)) & ~F.coalesce("product_a_pref", F.lit(False))
-    a_wins = F.coalesce("product_a_pref", F.lit(False)) & ~F.coalesce("product_b_pref", F.lit(False))
-    master = F.when(b_wins, F.col("product_b")).when(a_wins, F.col("product_a")).otherwise(F.least("product_a", "product_b"))
-    return both.where("product_a <> product_b").select((F.col("product_a") + F.col("product_b") - master).alias("dup"), master.alias("master"))
+    master = F.when(b_wins, F.col("product_b")).otherwise(F.least("product_a", "product_b"))
+    return both.select((F.col("product_a") + F.col("product_b") - master).alias("dup"), master.alias("master"))
 
 
 def export_candidates(queue: DataFrame, products: DataFrame, obs: DataFrame, status: str | None = None) -> DataFrame:

@@ -56,16 +56,28 @@ def retailers(obs: DataFrame) -> DataFrame:
     return obs.select(*OFFER).distinct().groupBy("retailer").agg(F.count("*").alias("n_offers"))
 
 
+def product_info(products: DataFrame, product_id: int) -> DataFrame:
+    """The row of one product, none if there is no such."""
+    return products.where(F.col("id") == product_id)
+
+
 def multi_chain(products: DataFrame, obs: DataFrame) -> DataFrame:
     """Groups that more than one retailer offers."""
-    offers = obs.select(*OFFER).distinct().join(with_master(products).select(F.col("id").alias("product_id"), "master"), "product_id")
-    return offers.groupBy("master").agg(F.count_distinct("retailer").alias("n_retailers")).where("n_retailers > 1")
+    return _multi_chain(products, obs.groupBy(*OFFER).agg(F.count("*").alias("n")))
+
+
+def _multi_chain(products: DataFrame, offers: DataFrame) -> DataFrame:
+    named = offers.join(with_master(products).select(F.col("id").alias("product_id"), "master"), "product_id")
+    return named.groupBy("master").agg(F.count_distinct("retailer").alias("n_retailers")).where("n_retailers > 1")
 
 
 def stats(products: DataFrame, obs: DataFrame) -> DataFrame:
-    """One row: canonical products, offers, observations, retailers, groups at more than one retailer."""
-    one = obs.agg(F.count("*").alias("observations"), F.count_distinct("retailer").alias("retailers"))
-    offers = obs.select(*OFFER).distinct().agg(F.count("*").alias("offers"))
+    """One row: canonical products, offers, observations, retailers, groups at more than one retailer.
+
+    Observations are read once, into their number per offer; all else is counted from these.
+    """
+    offers = obs.groupBy(*OFFER).agg(F.count("*").alias("n"))
+    one = offers.agg(F.count("*").alias("offers"), F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.count_distinct("retailer").alias("retailers"))
     masters = products.where("canonical_id is null").agg(F.count("*").alias("products"))
-    groups = multi_chain(products, obs).agg(F.count("*").alias("multi_chain"))
-    return masters.crossJoin(F.broadcast(offers)).crossJoin(F.broadcast(one)).crossJoin(F.broadcast(groups))  # rows of one each
+    groups = _multi_chain(products, offers).agg(F.count("*").alias("multi_chain"))
+    return masters.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(groups))  # rows of one each

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantity import extract_size
+from ..functions.similarity import AUTO_BLOCK, profile, score_pairs
+from ..functions.text import product_key
+from .timeseries import latest
 
 
 def fold_products(rows: DataFrame, at: str = "observed_at") -> DataFrame:
@@ -43,11 +47,63 @@ def shared_skus(rows: DataFrame) -> DataFrame:
 def replay(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snapshot rows to (harvested, counts): rows without name, retailer or price are skipped; the name is the key."""
     name = F.coalesce("product", "name") if "name" in rows.columns else F.col("product")
-    ok = (F.coalesce(name, F.lit("")) != "") & (F.coalesce("retailer", F.lit("")) != "") & F.col("price").isNotNull()
-    counts = rows.agg(F.count_if(ok).alias("ingested"), F.count_if(~ok).alias("skipped"))
+    ok = (F.trim(F.coalesce(name, F.lit(""))) != "") & (F.trim(F.coalesce("retailer", F.lit(""))) != "") & F.col("price").isNotNull()
+    counts = rows.agg(F.count_if(ok).alias("ingested"), F.count_if(~ok).alias("skipped"), F.lit(0).cast("long").alias("errors"))  # a fold has no row that fails
     return rows.where(ok).withColumn("product_key", F.concat(F.lit("sku:"), name)), counts
 
 
+def upsert_rows(products: DataFrame, offers: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, offers) after harvested `rows`: both folds over what is stored and what is new, sizes filled in once.
+
+    `rows`: name, brand, category, image_url, retailer, sku, url, shared_key, observed_at.
+    Stored products have product_key, name, brand, category, image_url, first_seen, last_seen,
+    size_dim, size_value; stored offers product_key, retailer, sku, url, first_seen, last_seen.
+    A stored row counts as observed when last seen, so an older harvest changes no newer value.
+    """
+    keyed = rows.withColumn("product_key", product_key(F.col("shared_key"), F.col("name"), F.col("brand")))
+    kept = ["product_key", "name", "brand", "category", "image_url"]
+    both = products.select(*kept, F.col("last_seen").alias("observed_at"), F.col("first_seen").alias("_first")).unionByName(keyed.select(*kept, "observed_at", F.col("observed_at").alias("_first")))
+    folded = fold_products(both).drop("first_seen").join(both.groupBy("product_key").agg(F.min("_first").alias("first_seen")), "product_key")
+    sized = backfill_size(folded.join(products.select("product_key", "size_dim", "size_value"), "product_key", "left"))
+    mine = ["product_key", "retailer", "sku", "url"]
+    seen = offers.select(*mine, F.col("last_seen").alias("observed_at"), F.col("first_seen").alias("_first")).unionByName(keyed.select(*mine, "observed_at", F.col("observed_at").alias("_first")))
+    sold = fold_offers(seen).drop("first_seen").join(seen.groupBy("product_key", "retailer").agg(F.min("_first").alias("first_seen")), ["product_key", "retailer"])
+    return sized, sold
+
+
+def record_prices(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """`history` with observations `rows` (offer_id, observed_at, price, list_price, unit_price, unit, in_stock boolean) appended; in_stock becomes 1 or 0."""
+    return history.unionByName(rows.withColumn("in_stock", F.col("in_stock").cast("int")), allowMissingColumns=True)
+
+
+def block_duplicates(fresh: DataFrame, products: DataFrame, least: float = AUTO_BLOCK) -> DataFrame:
+    """(dup, master): new products (id, name, brand, category) that score `least` or more with a stored canonical product of their category.
+
+    Without a common token the score is 0.65 at most, so a new product meets the stored ones of
+    its category that share one, or like it have none; a null category is one of its own.
+    """
+    tokens = lambda frame: profile(frame).withColumn("_k", F.explode(F.when(F.size("tokens") > 0, F.array_distinct("tokens")).otherwise(F.array(F.lit("")))))
+    side = F.struct("tokens", "core", "folded_brand", "sig")
+    new = tokens(fresh.select("id", "name", "brand", "category")).select(F.col("id").alias("product_a"), side.alias("a"), "category", "_k")
+    old = tokens(products.where("canonical_id is null").select("id", "name", "brand", "category")).select(F.col("id").alias("product_b"), side.alias("b"), F.col("category").alias("_c"), F.col("_k").alias("_j"))
+    met = new.join(old, (F.col("_k") == F.col("_j")) & F.col("category").eqNullSafe(F.col("_c")) & (F.col("product_a") != F.col("product_b")))
+    pairs = met.groupBy("product_a", "product_b").agg(F.first("a").alias("a"), F.first("b").alias("b"))
+    scored = score_pairs(pairs, least).select(F.col("product_a").alias("id"), F.col("product_b").alias("candidate"), "score")
+    return best_match(fresh.select("id"), scored, least).where("master is not null").select(F.col("id").alias("dup"), "master")
+
+
+def merge_sources(frames: Sequence[DataFrame]) -> DataFrame:
+    """The newest rows of each source's offers, put together: what is replayed when sources are merged. Sources may lack columns."""
+    newest = [latest(f, ("product_key", "retailer")) for f in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), newest)
+
+
+def copy_with_ids(offers: DataFrame, history: DataFrame, target: DataFrame, key: Sequence[str] = ("product_key", "retailer")) -> DataFrame:
+    """`history` under the offer ids of `target` (id, key...), matched to `offers` (id, key...) by key; what has no match stays behind."""
+    ids = offers.select(F.col("id").alias("offer_id"), *key).join(target.select(F.col("id").alias("_new"), *key), list(key)).select("offer_id", "_new")
+    return history.join(ids, "offer_id").withColumn("offer_id", F.col("_new")).drop("_new")
+
+
 def best_match(rows: DataFrame, scored: DataFrame, least: float = 0.92) -> DataFrame:
     """(id, master): per new row the best scored (id, candidate, score) at or over `least`, ties to the least candidate."""
     best = scored.where(F.col("score") >= least).groupBy("id").agg(F.max_by("candidate", F.struct("score", -F.col("candidate"))).alias("master"))

@@ -2,17 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cents
+from .timeseries import history_map
 
 
 def overview(lists: DataFrame, items: DataFrame, user_id: int | None) -> DataFrame:
-    """Lists of one owner (null: lists without owner) and their item counts."""
+    """Lists of one owner (null: lists without owner) and their item counts, newest first, without a time last."""
     mine = lists.where(F.col("user_id").eqNullSafe(F.lit(user_id).cast("long")))
     counts = items.groupBy("list_id").agg(F.count("*").alias("n"))
-    return mine.join(counts, mine.id == counts.list_id, "left").select("id", "user_id", "updated_at", F.coalesce("n", F.lit(0)).alias("n_items"))
+    out = mine.join(counts, mine.id == counts.list_id, "left").select(*lists.columns, F.coalesce("n", F.lit(0)).alias("n_items"))
+    return out.orderBy(F.desc_nulls_last("updated_at"), "id")
+
+
+def owned_items(lists: DataFrame, items: DataFrame, user_id: int | None) -> DataFrame:
+    """Items on lists of one owner (null: on lists without owner)."""
+    mine = lists.where(F.col("user_id").eqNullSafe(F.lit(user_id).cast("long"))).select(F.col("id").alias("list_id"))
+    return items.join(mine, "list_id", "left_semi")
+
+
+def item_history(items: DataFrame, obs: DataFrame) -> DataFrame:
+    """The price history map of each item's product: `items` (product_id, ...) with history, null if nothing was observed."""
+    wanted = items.select("product_id").distinct()
+    return items.join(history_map(obs.join(wanted, "product_id", "left_semi")), "product_id", "left")
+
+
+def upsert_users(users: DataFrame, logins: DataFrame) -> DataFrame:
+    """`users` (subject, email, name, created_at) after `logins` (subject, email, name, at): the newest known email and name, the first time."""
+    old = users.select("subject", "email", "name", F.col("created_at").alias("at"))
+    known = lambda c: F.expr(f"max_by({c}, struct(at, {c})) filter (where {c} is not null)").alias(c)
+    return old.unionByName(logins.select("subject", "email", "name", "at")).groupBy("subject").agg(known("email"), known("name"), F.min("at").alias("created_at"))
+
+
+def apply_events(lists: DataFrame, items: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, items) after `events` (at, kind, list_id, item_id, user_id, name, product_id, qty).
+
+    Kinds: create, rename and delete a list; add and remove an item. Of a list's names the
+    newest counts, a deleted list goes with its items, and an item that is removed after it
+    was added goes. Lists have (id, user_id, name, updated_at), items (id, list_id, product_id, name, qty, added_at).
+    """
+    made = events.where("kind = 'create'").select(F.col("list_id").alias("id"), "user_id", "name", F.col("at").alias("updated_at"))
+    named = events.where("kind = 'rename'").groupBy(F.col("list_id").alias("id")).agg(F.max_by("name", "at").alias("_name"))
+    touched = events.groupBy(F.col("list_id").alias("id")).agg(F.max("at").alias("_at"))
+    dead = events.where("kind = 'delete'").select(F.col("list_id").alias("id")).distinct()
+    all_ = lists.select("id", "user_id", "name", "updated_at").unionByName(made).join(dead, "id", "left_anti").join(named, "id", "left").join(touched, "id", "left")
+    now = all_.select("id", "user_id", F.coalesce("_name", "name").alias("name"), F.greatest("updated_at", "_at").alias("updated_at"))
+    added = events.where("kind = 'add'").select(F.col("item_id").alias("id"), "list_id", "product_id", F.coalesce("name", F.lit("(item)")).alias("name"), F.coalesce("qty", F.lit(1)).alias("qty"), F.col("at").alias("added_at"))
+    gone = events.where("kind = 'remove'").select(F.col("item_id").alias("id")).distinct()
+    kept = items.select("id", "list_id", "product_id", "name", "qty", "added_at").unionByName(added).join(gone, "id", "left_anti").join(now.select(F.col("id").alias("list_id")), "list_id", "left_semi")
+    return now, kept.select("id", "list_id", "product_id", "name", "qty", "added_at")
 
 
 def review(items: DataFrame, offers: DataFrame) -> DataFrame:
@@ -26,8 +66,9 @@ def review(items: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def cheapest(offers: DataFrame) -> DataFrame:
-    order = Window.partitionBy("product_id").orderBy("price", "retailer")
-    return offers.where("price is not null").withColumn("_r", F.row_number().over(order)).where("_r = 1").select("product_id", F.col("retailer").alias("best_retailer"), F.col("price").alias("best_price"))
+    """(product_id, best_retailer, best_price): the least price, ties to the least retailer."""
+    best = offers.where("price is not null").groupBy("product_id").agg(F.min(F.struct("price", "retailer")).alias("m"))
+    return best.select("product_id", F.col("m.retailer").alias("best_retailer"), F.col("m.price").alias("best_price"))
 
 
 def plan(items: DataFrame, offers: DataFrame) -> DataFrame:

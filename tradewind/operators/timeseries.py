@@ -25,25 +25,44 @@ def now_of(obs: DataFrame) -> DataFrame:
     return obs.agg(F.max("observed_at").alias("now"))
 
 
+def offer_changes(obs: DataFrame, days: int) -> DataFrame:
+    """(product_id, retailer, old, new, pct, observed_at): the newest price of each offer against its price `days` before the newest observation of all.
+
+    Baseline: the newest observation at or before the cutoff, if its price is over 0. Where
+    several observations share a time, the change is between their extremes, for no other
+    pair of theirs can be larger. One aggregation by offer, combined before the shuffle.
+    """
+    cut = obs.join(F.broadcast(now_of(obs)), how="cross").withColumn("past", F.col("observed_at") <= F.col("now") - F.expr(f"interval {int(days)} days"))
+    price, above = F.col("price"), F.when(F.col("price") > 0, F.col("price"))
+    top = lambda p, sign, when=None: F.max(F.struct("observed_at", (sign * p).alias("p")) if when is None else F.when(when, F.struct("observed_at", (sign * p).alias("p"))))
+    ends = cut.groupBy(*OFFER).agg(top(price, 1).alias("n1"), top(price, -1).alias("n2"), top(above, 1, F.col("past")).alias("o1"), top(above, -1, F.col("past")).alias("o2"))
+    pairs = ends.select(*OFFER, F.col("n1.observed_at").alias("observed_at"), F.explode(F.array(F.col("n1.p"), -F.col("n2.p"))).alias("new"), F.array(F.col("o1.p"), -F.col("o2.p")).alias("_o"))
+    pairs = pairs.select(*OFFER, "observed_at", "new", F.explode("_o").alias("old")).where("old is not null and new is not null and old <> new")
+    return pairs.withColumn("pct", (F.col("new") - F.col("old")) / F.col("old") * 100)
+
+
 def biggest_changes(obs: DataFrame, products: DataFrame, days: int = 30, limit: int | None = 40, product_ids: Sequence[int] | None = None) -> DataFrame:
     """Per product its offer with the largest change since `days` before the newest observation.
 
-    Baseline: the newest observation at or before the cutoff. Ties of |pct| go to the least
-    retailer, then to the newer, dearer price. An empty list of products means all.
+    Ties of |pct| go to the least retailer, then to the dearer price. Prices and change have
+    two places and pct one; the order is by the rounded |pct|. An empty list of products means all.
     """
     rows = obs.where(F.col("product_id").isin(list(product_ids))) if product_ids else obs
-    cut = rows.join(F.broadcast(now_of(obs)), how="cross").withColumn("cutoff", F.col("now") - F.expr(f"interval {int(days)} days")).drop("now")
-    by = Window.partitionBy(*OFFER)
-    both = cut.withColumn("_at", F.max("observed_at").over(by)).withColumn("_then", F.max(F.when(F.col("observed_at") <= F.col("cutoff"), F.col("observed_at"))).over(by))
-    new = both.where("observed_at = _at").select(*OFFER, "observed_at", F.col("price").alias("new"))
-    old = both.where("observed_at = _then").select(*OFFER, F.col("price").alias("old"))
-    moved = new.join(old, OFFER).where("old is not null and new is not null and old > 0 and old <> new").withColumn("pct", (F.col("new") - F.col("old")) / F.col("old") * 100)
-    order = Window.partitionBy("product_id").orderBy(F.desc(F.abs("pct")), "retailer", F.desc("new"), F.desc("old"))
-    best = moved.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    out = best.join(products.select(F.col("id").alias("product_id"), "name", "brand", "category"), "product_id").select("product_id", "name", "brand", "category", "retailer", "old", "new", (F.col("new") - F.col("old")).alias("change"), "pct", "observed_at")
+    order = F.struct(-F.abs("pct"), "retailer", -F.col("new"), -F.col("old"))
+    best = offer_changes(rows, days).groupBy("product_id").agg(F.min_by(F.struct("retailer", "old", "new", "pct", "observed_at"), order).alias("m")).select("product_id", "m.*")
+    tenth = lambda c: F.floor(c * 10 + 0.5) / 10
+    named = best.join(products.select(F.col("id").alias("product_id"), "name", "brand", "category"), "product_id")
+    out = named.select("product_id", "name", "brand", "category", "retailer", cents(F.col("old")).alias("old"), cents(F.col("new")).alias("new"), cents(F.col("new") - F.col("old")).alias("change"), tenth(F.col("pct")).alias("pct"), "observed_at")
     return out if limit is None else out.orderBy(F.desc(F.abs("pct")), "product_id").limit(limit)
 
 
+def movers(changes: DataFrame, limit: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(up, down) of :func:`biggest_changes`: the 2 * limit largest, split by sign, at most `limit` of each."""
+    top = changes.orderBy(F.desc(F.abs("pct")), "product_id").limit(2 * limit)
+    pick = lambda where: top.where(where).orderBy(F.desc(F.abs("pct")), "product_id").limit(limit)
+    return pick("pct > 0"), pick("pct < 0")
+
+
 def price_history(obs: DataFrame, product_id: int, retailer: str) -> DataFrame:
     return obs.where((F.col("product_id") == product_id) & (F.col("retailer") == retailer)).select("observed_at", "price", "list_price", "in_stock")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import views as v
 from ..functions.quantity import extract_size, name_tokens
 from ..functions.similarity import token_blocks
-from ..functions.text import decision
 from ..operators import canonical, catalog, ingest, lists, quality, snapshot, timeseries
 from ..sources import extract
 from ..streaming import prices
@@ -45,8 +44,13 @@ def _changes_sql(days: int) -> str:
     return f""", cut AS (SELECT max(observed_at) - INTERVAL {days} DAY AS c FROM obs),
 old AS (SELECT product_id, retailer, price AS old FROM (SELECT *, rank() OVER (PARTITION BY product_id, retailer ORDER BY observed_at DESC) AS r FROM obs, cut WHERE observed_at <= c) WHERE r = 1),
 moved AS (SELECT l.product_id, l.retailer, old, price AS new, observed_at, (price - old) / old * 100 AS pct FROM latest l JOIN old USING (product_id, retailer) WHERE old > 0 AND old <> price),
-top AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY abs(pct) DESC, retailer, new DESC, old DESC) AS r FROM moved)
-SELECT product_id, name, brand, category, retailer, old, new, new - old AS change, pct, observed_at FROM top JOIN products ON id = product_id WHERE r = 1"""
+top AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY abs(pct) DESC, retailer, new DESC, old DESC) AS r FROM moved),
+changes AS (SELECT product_id, name, brand, category, retailer, floor(old * 100 + 0.5) / 100 AS old, floor(new * 100 + 0.5) / 100 AS new, floor((new - old) * 100 + 0.5) / 100 AS change, floor(pct * 10 + 0.5) / 10 AS pct, observed_at FROM top JOIN products ON id = product_id WHERE r = 1)
+SELECT * FROM changes"""
+
+
+def _movers_sql(sign: str) -> str:
+    return _changes_sql(365).replace("SELECT * FROM changes", f", first AS (SELECT * FROM changes ORDER BY abs(pct) DESC, product_id LIMIT 80) SELECT * FROM first WHERE pct {sign} 0 ORDER BY abs(pct) DESC, product_id LIMIT 40")
 
 
 @_add("latest_prices", "SELECT product_id, retailer, observed_at, price, list_price, in_stock FROM latest")
@@ -74,17 +78,17 @@ def _(s, d):
     return timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None)
 
 
-@_add("movers_up", _changes_sql(365) + " AND pct > 0 ORDER BY abs(pct) DESC, product_id LIMIT 40")
+@_add("movers_up", _movers_sql(">"))
 def _(s, d):
-    return timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None).where("pct > 0").orderBy(F.desc(F.abs("pct")), "product_id").limit(40)
+    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None))[0]
 
 
-@_add("movers_down", _changes_sql(365) + " AND pct < 0 ORDER BY abs(pct) DESC, product_id LIMIT 40")
+@_add("movers_down", _movers_sql("<"))
 def _(s, d):
-    return timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None).where("pct < 0").orderBy(F.desc(F.abs("pct")), "product_id").limit(40)
+    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None))[1]
 
 
-@_add("changes_for_products", _changes_sql(365) + " AND product_id IN (1, 2, 3, 5, 8, 13)")
+@_add("changes_for_products", _changes_sql(365) + " WHERE product_id IN (1, 2, 3, 5, 8, 13)")
 def _(s, d):
     rows = v.price_obs(s, d)
     few = [1, 2, 3, 5, 8, 13]
@@ -96,10 +100,15 @@ def _(s, d):
     return timeseries.price_history(v.price_obs(s, d), 7, "EUROPE")
 
 
-@_add("product_history", "SELECT product_id, retailer, count(*) AS n_points, min(observed_at) AS first_at, max(observed_at) AS last_at FROM obs GROUP BY ALL")
+@_add("product_history", "SELECT product_id, retailer, row_number() OVER (PARTITION BY product_id, retailer ORDER BY observed_at, price) - 1 AS at, observed_at, price FROM obs")
 def _(s, d):
     series = timeseries.history_map(v.price_obs(s, d)).select("product_id", F.explode("history").alias("retailer", "h"))
-    return series.select("product_id", "retailer", F.size("h").cast("long").alias("n_points"), F.get("h", F.lit(0))["observed_at"].alias("first_at"), F.element_at("h", -1)["observed_at"].alias("last_at"))
+    return series.select("product_id", "retailer", F.posexplode("h").alias("at", "x")).select("product_id", "retailer", F.col("at").cast("long").alias("at"), "x.observed_at", "x.price")
+
+
+@_add("product_info", "SELECT * FROM products WHERE id = 7")
+def _(s, d):
+    return catalog.product_info(v.products(s, d), 7)
 
 
 @_add("discount_pct", "SELECT product_id, retailer, observed_at, price, 100 * (list_price - price) / list_price AS discount_pct FROM obs WHERE list_price IS NOT NULL")
@@ -164,12 +173,17 @@ def _(s, d):
     return catalog.search(v.products(s, d), v.price_obs(s, d), in_stock_only=True, limit=100)
 
 
-@_add("product_offers", "SELECT master, product_id, retailer, price, observed_at FROM latest JOIN members USING (product_id)")
+@_add("product_offers", "SELECT product_id, retailer, price, observed_at FROM latest WHERE product_id IN (SELECT product_id FROM members WHERE master = (SELECT master FROM members WHERE product_id = 7)) ORDER BY price NULLS LAST, product_id, retailer")
+def _(s, d):
+    return catalog.product_offers(v.products(s, d), v.price_obs(s, d), 7).select("product_id", "retailer", "price", "observed_at")
+
+
+@_add("group_offers", "SELECT master, product_id, retailer, price, observed_at FROM latest JOIN members USING (product_id)")
 def _(s, d):
     return catalog.group_offers(v.products(s, d), v.price_obs(s, d)).select("master", "product_id", "retailer", "price", "observed_at")
 
 
-@_add("snapshot_rows", "SELECT name AS product, brand, category, retailer, price, list_price, in_stock, observed_at FROM latest JOIN products ON id = product_id")
+@_add("snapshot_rows", "SELECT name AS product, brand, category, retailer, price, list_price, in_stock, NULL::VARCHAR AS sku, NULL::VARCHAR AS url, observed_at FROM latest JOIN products ON id = product_id")
 def _(s, d):
     return snapshot.rows(timeseries.latest(v.price_obs(s, d)), v.products(s, d))
 
@@ -215,9 +229,86 @@ def _(s, d):
     return lists.revalue(_planned(s, d), timeseries.latest(v.price_obs(s, d)))
 
 
-@_add("list_totals", _PLANNED + " SELECT list_id, nullif(sum((planned_price * qty)::DECIMAL(18,4)) FILTER (best_price IS NOT NULL), 0)::DOUBLE AS planned_total, sum(store_changed::INT)::BIGINT AS n_store_changed FROM rev GROUP BY 1")
+@_add("list_totals", _PLANNED + ", sums AS (SELECT list_id, nullif(sum((planned_price * qty)::DECIMAL(18,4)) FILTER (best_price IS NOT NULL), 0) AS p, nullif(sum((best_price * qty)::DECIMAL(18,4)) FILTER (planned_price IS NOT NULL), 0) AS c, sum(store_changed::INT)::BIGINT AS n_store_changed FROM rev GROUP BY 1) SELECT list_id, p::DOUBLE AS planned_total, round(c::DOUBLE, 2) AS current_total, round((c - p)::DOUBLE, 2) AS delta, n_store_changed FROM sums")
+def _(s, d):
+    out = lists.totals(lists.revalue(_planned(s, d), timeseries.latest(v.price_obs(s, d))))
+    return out.select("list_id", F.col("planned_total").cast("double").alias("planned_total"), F.round(F.col("current_total").cast("double"), 2).alias("current_total"), F.round(F.col("delta").cast("double"), 2).alias("delta"), "n_store_changed")
+
+
+_ITEMS = """, it AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'item ' || (l_partkey % 9) AS name, l_shipmode AS category, l_quantity::INT AS qty, l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 = 1)"""
+
+
+@_add("list_sync", _ITEMS + """, want AS (SELECT CASE WHEN k % 20 = 1 THEN id END AS server_id, CASE WHEN k % 30 <> 1 THEN 'new ' || id END AS name, 'cat' AS category, CASE WHEN k % 40 <> 1 THEN 7 END AS qty FROM it WHERE k % 3 = 1),
+kept AS (SELECT * FROM it WHERE k % 7 <> 3)
+SELECT id, CASE WHEN server_id IS NULL THEN i.name ELSE coalesce(w.name, '(item)') END AS name, coalesce(w.category, i.category) AS category, CASE WHEN server_id IS NULL THEN i.qty ELSE coalesce(w.qty, 1) END AS qty FROM kept i LEFT JOIN want w ON server_id = id
+UNION ALL SELECT NULL, coalesce(name, '(item)'), category, coalesce(qty, 1) FROM want WHERE server_id IS NULL OR server_id NOT IN (SELECT id FROM kept)""")
+def _(s, d):
+    k = F.col("l_orderkey")
+    it = v.table(s, d, "lineitem").where(k % 10 == 1).select((k * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("item "), (F.col("l_partkey") % 9).cast("string")).alias("name"), F.col("l_shipmode").alias("category"), F.col("l_quantity").cast("int").alias("qty"), k.alias("k"))
+    want = it.where("k % 3 = 1").select(F.when(F.col("k") % 20 == 1, F.col("id")).alias("server_id"), F.when(F.col("k") % 30 != 1, F.concat(F.lit("new "), F.col("id").cast("string"))).alias("name"), F.lit("cat").alias("cat"), F.lit(None).cast("string").alias("category"), F.when(F.col("k") % 40 != 1, 7).alias("qty"))
+    return lists.sync(it.drop("k"), want, it.where("k % 7 = 3").select("id"))
+
+
+@_add("owned_items", "SELECT list_id, product_id, qty FROM items WHERE list_id IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)")
+def _(s, d):
+    return lists.owned_items(v.lists(s, d), v.list_items(s, d), 3).select("list_id", "product_id", "qty")
+
+
+@_add("list_item_history", "SELECT i.list_id, i.product_id, obs.retailer, count(*) AS n, max(obs.observed_at) AS last_at FROM (SELECT DISTINCT list_id, product_id FROM items WHERE list_id = 7) i JOIN obs USING (product_id) GROUP BY ALL")
+def _(s, d):
+    mine = v.list_items(s, d).where("list_id = 7").select("list_id", "product_id").distinct()
+    got = lists.item_history(mine, v.price_obs(s, d)).select("list_id", "product_id", F.explode("history").alias("retailer", "h"))
+    return got.select("list_id", "product_id", "retailer", F.size("h").cast("long").alias("n"), F.element_at("h", -1)["observed_at"].alias("last_at"))
+
+
+_QUEUE = """, queue AS (SELECT candidate_id, product_a, product_b, (candidate_id % 100)::DOUBLE / 100 AS score, CASE candidate_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status
+  FROM (SELECT 1 + o_orderkey % 101 AS product_a, 2 + o_orderkey % 101 + o_custkey % 7 AS product_b, min(o_orderkey) AS candidate_id FROM orders GROUP BY 1, 2))"""
+
+
+@_add("review_queue", _QUEUE + "SELECT candidate_id, score, product_a, a.name AS name_a, a.brand AS brand_a, product_b, b.name AS name_b, b.brand AS brand_b FROM queue JOIN products a ON a.id = product_a JOIN products b ON b.id = product_b WHERE status = 'pending' ORDER BY score DESC, candidate_id LIMIT 200")
+def _(s, d):
+    return canonical.review_queue(v.candidate_queue(s, d), v.products(s, d))
+
+
+@_add("candidate_resolve", _QUEUE + "SELECT candidate_id, product_a, product_b, score, CASE WHEN candidate_id % 3 = 0 THEN CASE WHEN candidate_id % 2 = 0 THEN 'approved' ELSE 'rejected' END ELSE status END AS status FROM queue")
+def _(s, d):
+    q = v.candidate_queue(s, d)
+    answers = q.where("candidate_id % 3 = 0").select("candidate_id", (F.col("candidate_id") % 2 == 0).alias("approve"), F.col("product_b").alias("into"))
+    return canonical.resolve(q, answers)[0]
+
+
+@_add("candidate_upsert", _QUEUE + ", fresh AS (SELECT product_a, product_b, max(score) AS f FROM (SELECT product_a, product_b, 0.5 AS score FROM queue WHERE candidate_id % 2 = 0 UNION ALL SELECT product_a + 1000, product_b + 1000, 0.25 FROM queue) GROUP BY 1, 2) SELECT coalesce(q.product_a, n.product_a) AS product_a, coalesce(q.product_b, n.product_b) AS product_b, CASE WHEN status IS NULL THEN f WHEN status = 'pending' THEN coalesce(f, score) ELSE score END::DOUBLE AS score, coalesce(status, 'pending') AS status FROM queue q FULL JOIN fresh n ON q.product_a = n.product_a AND q.product_b = n.product_b")
+def _(s, d):
+    q = v.candidate_queue(s, d)
+    found = q.where("candidate_id % 2 = 0").select(F.col("product_b").alias("product_a"), F.col("product_a").alias("product_b"), F.lit(0.5).cast("double").alias("score")).unionByName(q.select(F.col("product_a") + 1000, F.col("product_b") + 1000, F.lit(0.25).cast("double")).toDF("product_a", "product_b", "score"))
+    return canonical.upsert_candidates(q.drop("candidate_id"), found)
+
+
+@_add("candidate_prune", _QUEUE + "SELECT candidate_id, product_a, product_b, CASE WHEN status = 'pending' THEN score / 2 + 0.4 ELSE score END AS score, status FROM queue WHERE status <> 'pending' OR score / 2 + 0.4 >= 0.72")
+def _(s, d):
+    q = v.candidate_queue(s, d)
+    return canonical.prune(q, q.select("product_a", "product_b", (F.col("score") / 2 + F.lit(0.4)).alias("score")))
+
+
+@_add("candidate_export", _QUEUE + ", shops AS (SELECT product_id, string_agg(DISTINCT retailer, ',' ORDER BY retailer) AS r FROM obs GROUP BY 1) SELECT candidate_id, product_a, product_b, score, status, a.name AS name_a, b.name AS name_b, coalesce(x.r, '') AS retailers_a, coalesce(y.r, '') AS retailers_b, '' AS decision FROM queue JOIN products a ON a.id = product_a JOIN products b ON b.id = product_b LEFT JOIN shops x ON x.product_id = product_a LEFT JOIN shops y ON y.product_id = product_b WHERE status = 'approved'")
+def _(s, d):
+    return canonical.export_candidates(v.candidate_queue(s, d), v.products(s, d), v.price_obs(s, d), "approved").select("candidate_id", "product_a", "product_b", "score", "status", "name_a", "name_b", "retailers_a", "retailers_b", "decision")
+
+
+@_add("merge_all_above", _QUEUE + "SELECT product_a + product_b - m AS dup, m AS master FROM (SELECT *, CASE WHEN product_b % 3 = 0 AND product_a % 3 <> 0 THEN product_b ELSE product_a END AS m FROM queue WHERE status = 'pending' AND score >= 0.8)")
+def _(s, d):
+    return canonical.merge_above(v.candidate_queue(s, d), 0.5, v.products(s, d).where("id % 3 = 0").select("id"))
+
+
+@_add("canonical_roots", _QUEUE + "SELECT DISTINCT CASE WHEN id % 4 = 0 THEN id ELSE id END AS dup, 4 * (id // 4) AS master FROM products WHERE id % 4 <> 0 AND id > 4")
+def _(s, d):
+    p = v.products(s, d).where("id > 4 and id % 4 <> 0")  # chains of three: 4k+3 to 4k+2 to 4k+1 to 4k
+    return canonical.roots(p.select(F.col("id").alias("dup"), (F.col("id") - 1).alias("master")))
+
+
+@_add("score_histogram", _QUEUE + ", shops AS (SELECT product_id, list(DISTINCT retailer) AS r FROM obs GROUP BY 1), b AS (SELECT floor(score * 10 + 0.5) / 10 AS bin, coalesce(list_has_any(x.r, y.r), FALSE) AS same FROM queue LEFT JOIN shops x ON x.product_id = product_a LEFT JOIN shops y ON y.product_id = product_b) SELECT bin, count(*) AS n, count(*) FILTER (same) AS n_same, count(*) FILTER (NOT same) AS n_cross FROM b GROUP BY 1")
 def _(s, d):
-    return lists.totals(lists.revalue(_planned(s, d), timeseries.latest(v.price_obs(s, d)))).select("list_id", F.col("planned_total").cast("double").alias("planned_total"), "n_store_changed")
+    return quality.score_histogram(v.candidate_queue(s, d), v.price_obs(s, d))
 
 
 @_add("tier1_links", "SELECT id AS dup, canonical_id AS master FROM products WHERE canonical_id IS NOT NULL")
@@ -251,14 +342,18 @@ def _(s, d):
 
 @_add("purge_history", "SELECT product_id, retailer, observed_at, price FROM obs WHERE retailer <> 'ASIA'")
 def _(s, d):
-    obs = v.price_obs(s, d)
-    return obs.join(obs.select("retailer").distinct().where("retailer = 'ASIA'"), "retailer", "left_anti").select("product_id", "retailer", "observed_at", "price")
+    obs = v.price_obs(s, d).withColumn("offer_id", F.concat_ws("@", F.col("product_id").cast("string"), "retailer"))
+    offers = obs.select(F.col("offer_id").alias("id"), "retailer").distinct()
+    return ingest.purge(offers, obs, "ASIA")[1].select("product_id", "retailer", "observed_at", "price")
 
 
-@_add("decision_import", "SELECT doc_id AS candidate_id, CASE WHEN quality = 1 THEN 'approve' ELSE 'reject' END AS d FROM labels", raw=True)
+@_add("decision_import", _QUEUE + """, d AS (SELECT doc_id + 1 AS candidate_id, ['merge', ' Approve', 'YES', 'y', '1', 'true', 'reject', 'No', 'n ', '0', 'false', 'notsame', 'not_same', 'skip', '', 'later'][1 + doc_id % 16] AS w FROM labels)
+SELECT d.candidate_id, o AS outcome, CASE WHEN o = 'merged' THEN greatest(product_a, product_b) END AS dup, CASE WHEN o = 'merged' THEN least(product_a, product_b) END AS master
+FROM (SELECT d.*, product_a, product_b, CASE WHEN lower(trim(w)) NOT IN ('merge', 'approve', 'yes', 'y', '1', 'true', 'reject', 'no', 'n', '0', 'false', 'notsame', 'not_same') THEN 'skipped' WHEN product_a IS NULL THEN 'missing' WHEN lower(trim(w)) IN ('merge', 'approve', 'yes', 'y', '1', 'true') THEN 'merged' ELSE 'rejected' END AS o FROM d LEFT JOIN queue USING (candidate_id)) d""")
 def _(s, d):
-    rows = v.table(s, d, "labels")
-    return rows.select(F.col("doc_id").alias("candidate_id"), decision(F.when(F.col("quality") == 1, " Merge").otherwise("NO")).alias("d"))
+    words = F.array(*[F.lit(w) for w in ("merge", " Approve", "YES", "y", "1", "true", "reject", "No", "n ", "0", "false", "notsame", "not_same", "skip", "", "later")])
+    rows = v.table(s, d, "labels").select((F.col("doc_id") + 1).alias("candidate_id"), F.get(words, (F.col("doc_id") % 16).cast("int")).alias("decision"))
+    return canonical.import_decisions(v.candidate_queue(s, d), rows)
 
 
 @_add("price_mode", ", c AS (SELECT retailer, floor(price * 100 + 0.5) / 100 AS p, count(*) AS n FROM obs GROUP BY 1, 2) SELECT retailer, p AS modal_price, n AS modal_n FROM (SELECT *, row_number() OVER (PARTITION BY retailer ORDER BY n DESC, p) AS r FROM c) WHERE r = 1")
@@ -266,10 +361,14 @@ def _(s, d):
     return quality.price_mode(v.price_obs(s, d))
 
 
-@_add("quality_report", "SELECT retailer, count(*) AS n, count(price) AS priced, count(*) FILTER (NOT (price > 0 AND price < 1000)) AS odd FROM latest GROUP BY 1")
+@_add("quality_report", """, q AS (SELECT retailer, name, brand, category, price FROM latest JOIN products ON id = product_id),
+m AS (SELECT retailer, max(n) AS modal_n FROM (SELECT retailer, floor(price * 100 + 0.5) / 100 AS p, count(*) AS n FROM q GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT retailer, count(*) AS n, count(price) AS priced, count(*) FILTER (NOT (price > 0 AND price < 1000)) AS odd, count(*) FILTER (starts_with(lower(name), lower(brand))) AS leaks FROM q GROUP BY 1)
+SELECT retailer, n, priced, odd, leaks, modal_n, CASE WHEN priced = 0 OR leaks > 0.3 * n THEN 'FAIL' ELSE 'WARN' END AS status FROM c JOIN m USING (retailer) UNION ALL SELECT 'NOWHERE', 0, 0, 0, 0, NULL, 'FAIL' UNION ALL SELECT 'SHUT', 0, 0, 0, 0, NULL, 'BLOCKED'""")
 def _(s, d):
     rows = timeseries.latest(v.price_obs(s, d)).join(v.products(s, d).select(F.col("id").alias("product_id"), "name", "brand", "category"), "product_id").withColumn("image_url", F.lit(None).cast("string"))
-    return quality.gate(rows).select("retailer", "n", "priced", "odd")
+    sources = v.chains(s, d).select("retailer").unionByName(s.createDataFrame([("NOWHERE",), ("SHUT",)], "retailer string"))
+    return quality.gate(rows, sources, ["SHUT"]).select("retailer", "n", "priced", "odd", "leaks", "modal_n", "status")
 
 
 @_add("size_extract", "SELECT p_partkey AS id, 'vol' AS dim, p_size::DOUBLE AS amount FROM part", raw=True)
@@ -278,7 +377,9 @@ def _(s, d):
     return v.table(s, d, "part").select(F.col("p_partkey").alias("id"), size["dim"].alias("dim"), size["amount"].alias("amount"))
 
 
-@_add("token_blocking_pairs")
+@_add("token_blocking_pairs", """, w AS (SELECT id, unnest(string_split(lower(name), ' ')) AS t FROM products WHERE canonical_id IS NULL),
+k AS (SELECT id, t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(t) DESC, t) AS r FROM (SELECT DISTINCT id, t FROM w WHERE length(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'with', 'gia', 'apo'))) WHERE r <= 2)
+SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.t = y.t AND x.id < y.id""")
 def _(s, d):
     return token_blocks(v.products(s, d).where("canonical_id is null").select("id", name_tokens(F.col("name")).alias("tokens")))
 
@@ -318,9 +419,11 @@ def _(s, d):
     return prices.windowed(v.table(s, d, "events").withColumn("observed_at", F.col("ts")))
 
 
-@_add("sync_replay_counts", "SELECT count(*) AS ingested, 0::BIGINT AS skipped FROM latest")
+@_add("sync_replay_counts", ", r AS (SELECT product_id, retailer, CASE WHEN product_id % 5 = 0 THEN NULL WHEN product_id % 7 = 0 THEN ' ' ELSE name END AS n, CASE WHEN product_id % 11 <> 0 THEN price END AS price FROM latest JOIN products ON id = product_id) SELECT count(*) FILTER (trim(coalesce(n, '')) <> '' AND price IS NOT NULL) AS ingested, count(*) FILTER (NOT (trim(coalesce(n, '')) <> '' AND price IS NOT NULL)) AS skipped, 0::BIGINT AS errors FROM r")
 def _(s, d):
-    return ingest.replay(snapshot.rows(timeseries.latest(v.price_obs(s, d)), v.products(s, d)))[1]
+    rows = timeseries.latest(v.price_obs(s, d)).join(v.products(s, d).select(F.col("id").alias("product_id"), F.col("name").alias("product")), "product_id")
+    holes = F.when(F.col("product_id") % 5 == 0, None).when(F.col("product_id") % 7 == 0, " ").otherwise(F.col("product"))
+    return ingest.replay(rows.select("retailer", holes.alias("product"), F.when(F.col("product_id") % 11 != 0, F.col("price")).alias("price")))[1]
 
 
 def queries() -> dict[str, Query]:

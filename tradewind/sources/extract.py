@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,13 @@ _LD = re.compile(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*
 def availability(text: Column) -> Column:
     """1 in stock, 0 out of stock, null unknown."""
     t = F.lower(text)
-    return F.when(F.contains(t, F.lit("outofstock")) | F.contains(t, F.lit("soldout")), 0).when(F.contains(t, F.lit("instock")), 1)
+    has = lambda *words: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words])
+    return F.when(has("instock", "in_stock"), 1).when(has("outofstock", "out_of_stock", "soldout"), 0)
 
 
 def stock_rule(not_buyable: Column, available: Column, status: Column) -> Column:
-    return F.when(F.coalesce(not_buyable, F.lit(False)), 0).when(available > 0, 1).when(status == 0, 1).otherwise(0)
+    """1 or 0: what may not be bought is out of stock; else the number available decides, else a status of 0; null if nothing is known."""
+    return F.when(F.coalesce(not_buyable, F.lit(False)), 0).when(available.isNotNull(), (available > 0).cast("int")).when(status.isNotNull(), (status == 0).cast("int"))
 
 
 def list_price(price: Column, is_discount: Column, percent: Column) -> Column:

@@ -40,5 +40,15 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.nullif(F.col("o_custkey") % 10, F.lit(0)).alias("user_id"), F.col("o_orderdate").alias("updated_at"))
 
 
+def candidate_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(candidate_id, product_a, product_b, score, status): orders as pairs of parts, one for each pair."""
+    o = table(spark, sf_dir, "orders")
+    pairs = o.select((1 + F.col("o_orderkey") % 101).alias("product_a"), (1 + F.col("o_orderkey") % 101 + 1 + F.col("o_custkey") % 7).alias("product_b"), F.col("o_orderkey"))
+    one = pairs.groupBy("product_a", "product_b").agg(F.min("o_orderkey").alias("candidate_id"))
+    score = (F.col("candidate_id") % 100).cast("double") / 100
+    status = F.when(F.col("candidate_id") % 5 == 0, "approved").when(F.col("candidate_id") % 5 == 1, "rejected").otherwise("pending")
+    return one.select("candidate_id", "product_a", "product_b", score.alias("score"), status.alias("status"))
+
+
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("qty"), F.col("l_shipdate").alias("added_at"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("added_price"))
