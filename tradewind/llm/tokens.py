@@ -335,7 +335,7 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
     """
     spark = docs.sparkSession
     staged = new_path(spark, "token-ids")
-    encode_texts(docs, path, end_id, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))).write.option("compression", "zstd").parquet(staged)
+    encode_texts(docs, path, end_id, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))).write.option("compression", "snappy").parquet(staged)
     coded = spark.read.schema("id long, ids binary").parquet(staged)
     kind = id_type(path) if end_id < 65536 else "<u4"
     order = frequency_order(coded, kind)
