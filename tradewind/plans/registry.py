@@ -50,7 +50,7 @@ SELECT * FROM changes"""
 
 
 def _movers_sql(sign: str) -> str:
-    return _changes_sql(365).replace("SELECT * FROM changes", f", first AS (SELECT * FROM changes ORDER BY abs(pct) DESC, product_id LIMIT 80) SELECT * FROM first WHERE pct {sign} 0 ORDER BY abs(pct) DESC, product_id LIMIT 40")
+    return _changes_sql(365).replace("SELECT * FROM changes", f", first AS (SELECT * FROM changes ORDER BY abs(pct) DESC, product_id LIMIT 2000) SELECT * FROM first WHERE pct {sign} 0 ORDER BY abs(pct) DESC, product_id LIMIT 1000")
 
 
 @_add("latest_prices", "SELECT product_id, retailer, observed_at, price, list_price, in_stock FROM latest")
@@ -80,12 +80,12 @@ def _(s, d):
 
 @_add("movers_up", _movers_sql(">"))
 def _(s, d):
-    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None))[0]
+    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None), 1000)[0]
 
 
 @_add("movers_down", _movers_sql("<"))
 def _(s, d):
-    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None))[1]
+    return timeseries.movers(timeseries.biggest_changes(v.price_obs(s, d), v.products(s, d), 365, None), 1000)[1]
 
 
 @_add("changes_for_products", _changes_sql(365) + " WHERE product_id IN (1, 2, 3, 5, 8, 13)")
@@ -235,7 +235,7 @@ def _(s, d):
     return out.select("list_id", F.col("planned_total").cast("double").alias("planned_total"), F.round(F.col("current_total").cast("double"), 2).alias("current_total"), F.round(F.col("delta").cast("double"), 2).alias("delta"), "n_store_changed")
 
 
-_ITEMS = """, it AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'item ' || (l_partkey % 9) AS name, l_shipmode AS category, l_quantity::INT AS qty, l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 = 1)"""
+_ITEMS = """, it AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'item ' || (l_partkey % 9) AS name, l_returnflag AS category, l_quantity::INT AS qty, l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 = 1)"""
 
 
 @_add("list_sync", _ITEMS + """, want AS (SELECT CASE WHEN k % 20 = 1 THEN id END AS server_id, CASE WHEN k % 30 <> 1 THEN 'new ' || id END AS name, 'cat' AS category, CASE WHEN k % 40 <> 1 THEN 7 END AS qty FROM it WHERE k % 3 = 1),
@@ -244,7 +244,7 @@ SELECT id, CASE WHEN server_id IS NULL THEN i.name ELSE coalesce(w.name, '(item)
 UNION ALL SELECT NULL, coalesce(name, '(item)'), category, coalesce(qty, 1) FROM want WHERE server_id IS NULL OR server_id NOT IN (SELECT id FROM kept)""")
 def _(s, d):
     k = F.col("l_orderkey")
-    it = v.table(s, d, "lineitem").where(k % 10 == 1).select((k * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("item "), (F.col("l_partkey") % 9).cast("string")).alias("name"), F.col("l_shipmode").alias("category"), F.col("l_quantity").cast("int").alias("qty"), k.alias("k"))
+    it = v.table(s, d, "lineitem").where(k % 10 == 1).select((k * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("item "), (F.col("l_partkey") % 9).cast("string")).alias("name"), F.col("l_returnflag").alias("category"), F.col("l_quantity").cast("int").alias("qty"), k.alias("k"))
     want = it.where("k % 3 = 1").select(F.when(F.col("k") % 20 == 1, F.col("id")).alias("server_id"), F.when(F.col("k") % 30 != 1, F.concat(F.lit("new "), F.col("id").cast("string"))).alias("name"), F.lit("cat").alias("cat"), F.lit(None).cast("string").alias("category"), F.when(F.col("k") % 40 != 1, 7).alias("qty"))
     return lists.sync(it.drop("k"), want, it.where("k % 7 = 3").select("id"))
 
