@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.quantity import match_key
 from ..functions.similarity import PREFILTER, SUGGEST, profile, score_pairs, tfidf_pairs
 from ..functions.text import decision
+from ..session import kept
 
 
 def exact_links(keyed: DataFrame) -> DataFrame:
@@ -24,14 +25,14 @@ def roots(links: DataFrame) -> DataFrame:
     on a cycle that its path has been all around. Of several masters of one dup the least
     counts; links to oneself are none. Each round is one join, kept by checkpoint().
     """
-    now = links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("next")).withColumn("low", F.least("dup", "next")).checkpoint()
+    now = kept(links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("next")).withColumn("low", F.least("dup", "next")))
 
     def onward(rows: DataFrame) -> DataFrame:
         up = now.select(F.col("dup").alias("next"), F.col("next").alias("_next"), F.col("low").alias("_low"))
         return rows.join(up, "next", "left")
 
     for _ in range(now.count().bit_length()):
-        now = onward(now).select("dup", F.coalesce("_next", "next").alias("next"), F.least("low", "_low").alias("low")).checkpoint()
+        now = kept(onward(now).select("dup", F.coalesce("_next", "next").alias("next"), F.least("low", "_low").alias("low")))
     return onward(now).select("dup", F.coalesce("_low", "next").alias("master")).where("dup <> master")
 
 
@@ -42,8 +43,8 @@ def apply_links(products: DataFrame, links: DataFrame) -> DataFrame:
     the dup on, and the dup's own children follow it.
     """
     fresh = links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("master"))
-    kept = products.where("canonical_id is not null").select(F.col("id").alias("dup"), F.col("canonical_id").alias("master")).join(fresh.select("dup"), "dup", "left_anti")
-    ends = roots(kept.unionByName(fresh)).select(F.col("dup").alias("id"), F.col("master").alias("canonical_id"))
+    before = products.where("canonical_id is not null").select(F.col("id").alias("dup"), F.col("canonical_id").alias("master")).join(fresh.select("dup"), "dup", "left_anti")
+    ends = roots(before.unionByName(fresh)).select(F.col("dup").alias("id"), F.col("master").alias("canonical_id"))
     return products.drop("canonical_id").join(ends, "id", "left")
 
 

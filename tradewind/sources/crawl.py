@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import kept
+
 Fetch = Callable[[str], tuple[int, Mapping[str, str], bytes]]
 #: Bytes of a response that is still taken.
 RESPONSE_LIMIT = 50_000_000
@@ -126,10 +128,10 @@ def sitemap_pages(contents: DataFrame, roots: list[str], hint: str, limit: int |
     frontier = spark.createDataFrame([(r,) for r in roots], "url string").distinct()
     seen, pages = frontier, None
     while not frontier.isEmpty():
-        found = contents.select("url", "content").join(frontier, "url", "left_semi").select("content").mapInPandas(parse, "kind string, url string").checkpoint()
+        found = kept(contents.select("url", "content").join(frontier, "url", "left_semi").select("content").mapInPandas(parse, "kind string, url string"))
         some = found.where((F.col("kind") == "page") & F.col("url").rlike(hint)).select("url")
         pages = some if pages is None else pages.unionByName(some)
-        frontier = found.where("kind = 'sitemap'").select("url").distinct().join(seen, "url", "left_anti").checkpoint()
+        frontier = kept(found.where("kind = 'sitemap'").select("url").distinct().join(seen, "url", "left_anti"))
         seen = seen.unionByName(frontier)
     out = spark.createDataFrame([], "url string") if pages is None else pages.distinct()
     return out if limit is None else out.orderBy("url").limit(limit)
