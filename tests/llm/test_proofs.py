@@ -199,3 +199,11 @@ def test_odd_rows_of_token_files(spark, tmp_path):
     assert [r.doc_id for r in rows] == [-1, 1, 1, 2, 3] and [r.n_tokens for r in rows][-2:] == [1, 1]
     assert rows[-1].ids_crc32 == zlib.crc32(np.array([2], dtype="<u4").tobytes())
     assert tokens.read_back(tokens.write_files(docs.limit(0), f"file://{tmp_path}/e", path, 2)).collect() == []
+
+
+def test_staged_tables_can_be_cleared():
+    from types import SimpleNamespace
+
+    from tradewind.llm import common
+
+    assert common.staged_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "file:///shared/"}, sparkContext=SimpleNamespace(applicationId="app-1"))) == "file:///shared/tradewind-app-1"

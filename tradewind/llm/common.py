@@ -75,8 +75,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged_dir(spark: SparkSession) -> str:
+    """The folder of all that this application stages."""
+    return f"{shared_dir(spark)}/tradewind-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{staged_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all that this application has staged: to be called when the results are written, for results read from it."""
+    drop_path(spark, staged_dir(spark))
 
 
 def stage(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

@@ -40,7 +40,7 @@ WIDTHS = np.array([[(b >> s & 3) + 1 for s in (0, 2, 4, 6)] for b in range(256)]
 #: A file is closed at the end of the document that fills it.
 FILE_TOKENS = 4_000_000
 #: Pieces whose ids one Python worker remembers.
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: Documents that are handled as one array.
 BATCH = 512
 #: Pairs of blanks that make a text one to be cut with care, and other blanks that may.
@@ -291,35 +291,39 @@ def id_type(path: str) -> str:
 
 
 def encode_texts(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): each whole text's token ids with `end_id` after them, as integers of :func:`id_type`; null is empty."""
+    """(id, ids, counts): each whole text's token ids with `end_id` after them, as integers of :func:`id_type`; null is empty.
+
+    The last row of a task has null ids, and in counts how often each id occurred in the task.
+    """
     kind = id_type(path) if end_id < 65536 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok, total = tokenizer(path), np.zeros(end_id + 1, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 some = batch.slice(at, BATCH)
                 ids, n = tok.encode([t or "" for t in some.column(1).to_pylist()])
                 ended = np.insert(ids.astype(kind), np.cumsum(n), np.array(end_id, dtype=kind))
-                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), _binaries(ended, (n + 1) * ended.itemsize)], ["id", "ids"])
+                more = np.bincount(ended, minlength=len(total))
+                more[: len(total)] += total
+                total = more
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), _binaries(ended, (n + 1) * ended.itemsize), pa.nulls(len(some), pa.binary())], ["id", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["id", "ids", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, ids binary, counts binary")
 
 
-def frequency_order(coded: DataFrame, kind: str) -> np.ndarray:
-    """The ids that occur, most frequent first, ties by id. Counted over all documents; as long as the vocabulary at most."""
+def frequency_order(coded: DataFrame) -> np.ndarray:
+    """The ids that occur, most frequent first, ties by id, from the counts of all tasks; as long as the vocabulary at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = np.bincount(_flat(batch.column(0), kind)[0])
-            if len(some) > len(total):
-                total = np.pad(total, (0, len(some) - len(total)))
-            total[: len(some)] += some
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
-
-    counts = coded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            for x in batch.column(0):
+                n = np.frombuffer(x.as_py(), dtype="<i8")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["token", "n"])
+
+    counts = coded.where("counts is not null").select("counts").mapInArrow(spread, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sorted(counts.collect(), key=lambda r: (-r.n, r.token))
     return np.array([r.token for r in rows], dtype=np.uint32)
 
@@ -336,9 +340,10 @@ def write_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: st
     spark = docs.sparkSession
     staged = new_path(spark, "token-ids")
     encode_texts(docs, path, end_id, id_col, text_col).withColumn("id", F.coalesce("id", F.lit(-1).cast("long"))).write.option("compression", "snappy").parquet(staged)
-    coded = spark.read.schema("id long, ids binary").parquet(staged)
+    written = spark.read.schema("id long, ids binary, counts binary").parquet(staged)
     kind = id_type(path) if end_id < 65536 else "<u4"
-    order = frequency_order(coded, kind)
+    order = frequency_order(written)
+    coded = written.where("ids is not null").select("id", "ids")
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     ranks, orders = spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(order)  # as long as the vocabulary at most
