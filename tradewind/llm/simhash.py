@@ -309,18 +309,52 @@ def _pairs_in(key: int, fps: list[bytes], reps: list[int], sizes: list[int], com
     return [(key, min(reps[i], reps[j]), max(reps[i], reps[j]), left) for i, j in (near if left else out)]
 
 
+def _alike(pairs: list[tuple[int, int]], sets: list[np.ndarray], comps: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Those of `pairs` (places in `sets`) whose sets are similar, but for such as others have joined by then."""
+    root = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in pairs:
+        x, y = find(comps[i]), find(comps[j])
+        if x == y:
+            continue
+        a, b = sets[i], sets[j]
+        small, large = (a, b) if len(a) < len(b) else (b, a)
+        at = np.minimum(np.searchsorted(large, small), max(0, len(large) - 1))
+        shared = int((large[at] == small).sum()) if len(large) else 0
+        if shared >= similarity * (len(a) + len(b) - shared) - 1e-9:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
 def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(key, u, v, open) for members (key, fp, rep, n) or (key, fp, rep, n, component); see :func:`_pairs_in`."""
+    """(key, u, v, open) for members (key, fp, rep, n); see :func:`_pairs_in`.
+
+    With `component` and `sets` (the shingles' lower 32 bits) too, the pairs are compared in
+    the shard, and only those leave it that join components.
+    """
     told = "component" in members.columns
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, reps, sizes, comps = None, [], [], [], []
+        key, fps, reps, sizes, comps, sets = None, [], [], [], [], []
         found: list[tuple[int, int, int, bool]] = []
 
         def close() -> None:
-            if len(fps) > 1:
-                found.extend(_pairs_in(key, fps, reps, sizes, comps if told else None, radius, similarity))
+            if len(fps) < 2:
+                return
+            pairs = _pairs_in(key, fps, reps, sizes, comps if told else None, radius, similarity)
+            if told:
+                place = {r: k for k, r in enumerate(reps)}
+                close_ = _alike([(place[u], place[v]) for _, u, v, _ in pairs], sets, comps, similarity)
+                pairs = [(key, min(reps[i], reps[j]), max(reps[i], reps[j]), False) for i, j in close_]
+            found.extend(pairs)
 
         def out() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
@@ -328,23 +362,37 @@ def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFram
             found.clear()
             return made
 
-        for batch in batches:
-            for k, fp, rep, n, *comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    close()
-                    key, fps, reps, sizes, comps = k, [], [], [], []
-                fps.append(fp)
-                reps.append(rep)
-                sizes.append(n)
-                comps += comp
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for k, fp, rep, n, *more in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
+                    if k != key:
+                        close()
+                        key, fps, reps, sizes, comps, sets = k, [], [], [], [], []
+                    fps.append(fp)
+                    reps.append(rep)
+                    sizes.append(n)
+                    if told:
+                        comps.append(more[0])
+                        sets.append(np.frombuffer(more[1], dtype="<u4"))
             yield out()
         close()
         yield out()
 
-    columns = ["key", "fp", "rep", "n", *(["component"] if told else [])]
+    columns = ["key", "fp", "rep", "n", *(["component", "sets"] if told else [])]
     return members.select(*columns).repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "key long, u long, v long, open boolean")
 
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(rep, sets): the sorted lower 32 bits of the shingle hashes of (rep, text)."""
+
+    @F.pandas_udf("binary")
+    def low(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingle_hashes(x, width).astype("<u4")).tobytes() for x in batch])
+
+    return texts.select("rep", low("text").alias("sets"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of sets with a Jaccard similarity of `similarity` or more; `texts` (rep, text) has each set once."""
 
@@ -393,10 +441,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = stage(_shard_pairs(members, radius, similarity), "copy-near")
     links = check(near)
     linked = components(links)
-    # of shards that gave their nearest pairs only: what these have not joined
+    # of shards that gave their nearest pairs only: what these have not joined, compared within the shard
     unsettled = near.where("open").select("key").distinct()
     rest = members.join(unsettled, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = stage(_shard_pairs(rest, radius, similarity), "copy-near")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = stage(rest.join(mixed, "key", "left_semi"), "copy-rest")
+    asked = stage(rest.select("rep").distinct().join(places, "rep"), "copy-places")
+    sets = _sets(texts.join(asked, ["file", "row"]).select("rep", "text"), width)
+    more = stage(_shard_pairs(rest.join(sets, "rep"), radius, similarity - 0.01), "copy-near")
     if not more.isEmpty():
         linked = components(links.unionByName(check(more)))
     named = slim.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("file", "row", "id", F.coalesce("component", "rep").alias("component"))
