@@ -42,7 +42,7 @@ from .graph import components
 SEED = 42
 SHARD_LIMIT = 256
 #: Members of shards over the limit are cut by sampled bits into cells of about CELL.
-CELL, CELL_MISS = 64, 1e-4
+CELL, CELL_MISS = 512, 1e-4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
