@@ -40,7 +40,7 @@ WIDTHS = np.array([[(b >> s & 3) + 1 for s in (0, 2, 4, 6)] for b in range(256)]
 #: A file is closed at the end of the document that fills it.
 FILE_TOKENS = 4_000_000
 #: Pieces whose ids one Python worker remembers.
-CACHE = 1_000_000
+CACHE = 850_000
 #: Documents that are handled as one array.
 BATCH = 512
 #: Pairs of blanks that make a text one to be cut with care, and other blanks that may.
