@@ -83,13 +83,15 @@ def revalue(planned: DataFrame, offers: DataFrame) -> DataFrame:
 
 
 def totals(revalued: DataFrame) -> DataFrame:
-    """Per list the planned and current totals over items that have both prices (0 counts as none), and store changes."""
+    """Per list the planned and current totals over items that have both prices (0 counts as none), and store changes.
+
+    Money is summed in whole ten-thousandths, so that totals do not depend on the order of the rows.
+    """
     q = F.coalesce(F.nullif(F.col("qty"), F.lit(0)), F.lit(1))
     both = F.col("planned_price").isNotNull() & F.col("best_price").isNotNull()
-    money = lambda c: F.sum(F.when(both, (F.col(c) * q).cast("decimal(18,4)")))
-    zero = F.lit(0).cast("decimal(18,4)")
-    out = revalued.groupBy("list_id").agg(F.nullif(money("planned_price"), zero).alias("planned_total"), F.nullif(money("best_price"), zero).alias("current_total"), F.count_if("store_changed").alias("n_store_changed"))
-    return out.withColumn("delta", F.col("current_total") - F.col("planned_total"))
+    money = lambda c: F.nullif(F.sum(F.when(both, F.floor(F.col(c) * q * 10000 + 0.5))), F.lit(0).cast("long"))
+    sums = revalued.groupBy("list_id").agg(money("planned_price").alias("p"), money("best_price").alias("c"), F.count_if("store_changed").alias("n_store_changed"))
+    return sums.select("list_id", (F.col("p") / 10000).alias("planned_total"), (F.col("c") / 10000).alias("current_total"), "n_store_changed", ((F.col("c") - F.col("p")) / 10000).alias("delta"))
 
 
 def sync(items: DataFrame, payload: DataFrame, deleted: DataFrame) -> DataFrame:

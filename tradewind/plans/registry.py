@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import views as v
 from ..functions.quantity import extract_size, name_tokens
 from ..functions.similarity import token_blocks
+from ..functions.text import cents
 from ..operators import canonical, catalog, ingest, lists, quality, snapshot, timeseries
 from ..sources import extract
 from ..streaming import prices
@@ -229,10 +230,11 @@ def _(s, d):
     return lists.revalue(_planned(s, d), timeseries.latest(v.price_obs(s, d)))
 
 
-@_add("list_totals", _PLANNED + ", sums AS (SELECT list_id, nullif(sum((planned_price * qty)::DECIMAL(18,4)) FILTER (best_price IS NOT NULL), 0) AS p, nullif(sum((best_price * qty)::DECIMAL(18,4)) FILTER (planned_price IS NOT NULL), 0) AS c, sum(store_changed::INT)::BIGINT AS n_store_changed FROM rev GROUP BY 1) SELECT list_id, p::DOUBLE AS planned_total, round(c, 2)::DOUBLE AS current_total, round(c - p, 2)::DOUBLE AS delta, n_store_changed FROM sums")
+@_add("list_totals", _PLANNED + """, sums AS (SELECT list_id, nullif(sum(floor(planned_price * qty * 10000 + 0.5)::BIGINT) FILTER (best_price IS NOT NULL), 0) AS p, nullif(sum(floor(best_price * qty * 10000 + 0.5)::BIGINT) FILTER (planned_price IS NOT NULL), 0) AS c, sum(store_changed::INT)::BIGINT AS n_store_changed FROM rev GROUP BY 1)
+SELECT list_id, p / 10000 AS planned_total, floor(c / 10000 * 100 + 0.5) / 100 AS current_total, floor((c - p) / 10000 * 100 + 0.5) / 100 AS delta, n_store_changed FROM sums""")
 def _(s, d):
     out = lists.totals(lists.revalue(_planned(s, d), timeseries.latest(v.price_obs(s, d))))
-    return out.select("list_id", F.col("planned_total").cast("double").alias("planned_total"), F.round("current_total", 2).cast("double").alias("current_total"), F.round("delta", 2).cast("double").alias("delta"), "n_store_changed")
+    return out.select("list_id", "planned_total", cents(F.col("current_total")).alias("current_total"), cents(F.col("delta")).alias("delta"), "n_store_changed")
 
 
 _ITEMS = """, it AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'item ' || (l_partkey % 9) AS name, l_returnflag AS category, l_quantity::INT AS qty, l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 = 1)"""
