@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_dedup, mixing, quality, sharding, simhash, tokens, url_filter
-from .common import new_path, read_table, stage
+from . import chat, decontaminate, language_model, line_dedup, mixing, quality, runs, sharding, simhash, tokens, url_filter
+from .common import let, new_path, read_table, stage, words
 
 #: The mixture: sources belong to domains; a weight that is not named is 1.
 DOMAIN_OF = {"web": [f"src{k}" for k in range(8)], "books": [f"src{k}" for k in range(8, 14)]}
@@ -86,6 +86,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: Column, text: Column) -> Column:
+    """`text` with a periodic end in one of ten documents, told by the checksum of the id; others, and those without an id, as they are.
+
+    From word a on, word i becomes word a + (i - a) % p, where h is the crc32 of the id, g = h // 10, a = g % n and p = 1 + (n - a) // (3 + g % 8) of n words.
+    """
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        return let(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda m: F.array_join(F.transform(w, lambda x, i: F.when(i < m["a"], x).otherwise(F.get(w, (m["a"] + (i - m["a"]) % m["p"]).cast("int")))), " "))
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), let(words(text), repeat)).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = runs.find_runs(docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text")), times=4, least=6)
+    best = runs.longest_run(F.col("runs"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.n"), F.col("best.period")
+    return told.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, pipeline)
+    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, op11_runs, pipeline)
     return {f.__name__: f for f in named}
 
 
