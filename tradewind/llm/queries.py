@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_dedup, mixing, quality, runs, sharding, simhash, tokens, url_filter
+from . import chat, decontaminate, language_model, line_dedup, mixing, quality, runs, sharding, simhash, tokens, url_filter, warc
 from .common import let, new_path, read_table, stage, words
 
 #: The mixture: sources belong to domains; a weight that is not named is 1.
@@ -112,6 +112,14 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    if warc.write_archives(pages, path, min_bytes=0).isEmpty():
+        return pages.limit(0).select("page_id", F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"), F.lit(0).cast("long").alias("refers_to"))
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, op11_runs, pipeline)
+    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, op11_runs, op12_warc, pipeline)
     return {f.__name__: f for f in named}
 
 
