@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, line_dedup, mixing, quality, runs, sharding, simhash, tokens, url_filter, warc
+from . import alignment, chat, decontaminate, language_model, line_dedup, mixing, quality, runs, sharding, simhash, tokens, url_filter, warc
 from .common import let, new_path, read_table, stage, words
 
 #: The mixture: sources belong to domains; a weight that is not named is 1.
@@ -120,6 +121,18 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _sha256(groups: bytes) -> str:
+    return hashlib.sha256(groups).hexdigest()
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    made = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), link="end", groups_as=_sha256)
+    return made.documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, op11_runs, op12_warc, pipeline)
+    named = (op1_mixing, op2_sharding, op3_token_files, op4_language_model, op5_decontaminate, op6_quality, op7_url_filter, op8_chat, op9_line_dedup, op10_simhash, op11_runs, op12_warc, op13_alignment, pipeline)
     return {f.__name__: f for f in named}
 
 
