@@ -80,14 +80,18 @@ def test_alignment_is_its_definition(spark, link, monkeypatch):
     assert pairs == {p: (n, n == most[p[1]]) for p, n in count.items()}
 
 
-def test_blocks_do_not_change_the_result(monkeypatch):
-    texts = [t for t in TEXTS for _ in range(2)]
+def test_units_are_the_texts():
+    """Texts aligned by their units, in one block or alone, are as they are when aligned whole."""
+    rng = random.Random(9)
+    marks = ["a", "the", "é", "\u0301x", "\u0301", "日本", "▁", "½", "\n", "\t", "", " ", "'s", "x\ny", "🙂", "\x85", "\x1c", "\u00a0", "<s>", "0", "..", "\u200b", "ﬁ"]
+    texts = [" ".join(rng.choices(marks, k=rng.randint(1, 6))) for _ in range(1500)] + [t for t in TEXTS if t]
     sides = alignment._sides(A, B)
-    whole = alignment.align_block(texts, sides)
-    alone = [alignment.align_block([t], sides) for t in texts]
-    assert whole["groups"] == [x["groups"][0] for x in alone]
-    for k in ("n_a", "n_b", "n_groups", "n_links"):
-        assert whole[k].tolist() == [int(x[k][0]) for x in alone]
+    known = alignment._Known(sides, "end")
+    cut = known.cut(texts)
+    for text, units in zip(texts, cut, strict=True):
+        got = alignment.align_units([text], sides)
+        assert (got["groups"][0] or b"") == b";".join(known.groups[u] for u in units), text
+        assert [int(got[k][0]) for k in alignment.FACTS] == known.facts[units].sum(axis=0).tolist()
 
 
 def test_query_hashes_groups(spark, tmp_path):

@@ -1,18 +1,20 @@
 """Two tokenizers side by side: where their tokens end together, and which tokens stand for which.
 
-Texts are tokenized twice in blocks of bounded size. A block's tokens are interval tables of
-byte offsets in DuckDB, inside the Arrow task: a join of ends gives the cuts, a window sum
-numbers the groups between cuts, ASOF joins put each token into its group, and links are ends
-that meet or, by two ASOF joins and the range between them, ranges that overlap. A block counts its
-pairs of ids; Spark adds the counts of all blocks, and answers each block with the counts of
-just the pairs it has. So no row of a shuffle stands for one token or one link, and a pair that
-every text has is one row a block.
+Texts are cut into units where neither tokenizer joins characters, and a block of texts has each
+of its units tokenized and aligned once. Their tokens are interval tables of byte offsets in DuckDB,
+inside the Arrow task: a join of ends gives the cuts, a window sum numbers the groups between
+cuts, ASOF joins put each token into its group, and links are ends that meet or, by two ASOF
+joins and the range between them, ranges that overlap. A block counts its pairs of ids; Spark adds
+the counts of all blocks, and answers each block with the counts of just the pairs it has. So
+no row of a shuffle stands for one token or one link, and a pair that every text has is one row
+a block.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -22,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +32,33 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of units and their groups that a worker remembers from block to block, each counted with 300 more.
+REMEMBERED = 48 << 20
 #: The pattern by which byte-level BPE cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 32
+FACTS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+#: No blank, and only characters on which all versions of Unicode agree.
+_COMMON = re.compile(r"[^\s\u0250-\U0010ffff]{1,2000}").fullmatch
+#: A single space between two characters that are no blanks, the second of which joins none before it.
+_UNITS = regex.compile(r"(?<=\S) (?=[^\s\p{M}])").split
+_BLANKS = re.compile(r"[^\S ]|  |[\u0300-\U0010ffff]").search
+
+
+def cut_units(text: str) -> list[str]:
+    """`text` without the single spaces between its words; blanks of other kinds, or in other places, stay in the units."""
+    return _UNITS(text) if _BLANKS(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
 
 
 class Side(NamedTuple):
-    """One tokenizer in a worker: `encode` gives ids of texts, `pieces` the bytes of each id."""
+    """One tokenizer in a worker: `encode` gives ids of texts, `pieces` the bytes of each id; `apart` tells whether units can be encoded one by one."""
 
     encode: Callable[[list[str]], list[list[int]]]
     pieces: list[bytes]
+    apart: bool
 
 
 @cache
@@ -61,7 +80,7 @@ def byte_side(path: str) -> Side:
 
     Where merges are in the order of their ids and the usual pattern cuts, ids are the ranks of
     tiktoken, which makes the same ids in a fraction of the time; texts with characters on which
-    versions of Unicode differ, or of very long pieces, go to the library itself.
+    versions of Unicode differ, and long ones, go to the library itself.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -82,25 +101,19 @@ def byte_side(path: str) -> Side:
     cut = told.get("pre_tokenizer") or {}
     usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told.get("normalizer") is None
     if not usual or merged != sorted(set(merged)) or len(set(pieces)) != len(pieces) or model.get("ignore_merges"):
-        return Side(slow, pieces)
+        return Side(slow, pieces, usual)
     import tiktoken
 
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
 
-    def plain(text: str) -> bool:
-        if text.isascii():
-            codes = np.frombuffer(text.encode(), dtype=np.uint8)
-        else:
-            codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-            if codes.max() >= 1 << 16 or not _settled()[codes].all():
-                return False
-        blanks = np.flatnonzero(codes == 32)
-        return len(codes) < 2000 or int(np.diff(blanks, prepend=-1, append=len(codes)).max()) < 2000 and (len(blanks) < 2000 or not bool((blanks[1999:] - blanks[:-1999] == 1999).any()))
+    def settled(text: str) -> bool:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        return len(codes) < 2000 and (not len(codes) or codes.max() < 1 << 16 and bool(_settled()[codes].all()))
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [fast.encode_ordinary(f" {t}") if plain(t) else slow([t])[0] for t in texts]
+        return [fast.encode_ordinary(f" {t}") if _COMMON(t) or settled(t) else slow([t])[0] for t in texts]
 
-    return Side(encode, pieces)
+    return Side(encode, pieces, True)
 
 
 def piece_side(path: str) -> Side:
@@ -115,7 +128,8 @@ def piece_side(path: str) -> Side:
             return bytes([int(name[3:5], 16)])
         return b"" if model.is_control(i) or model.is_unknown(i) else name.replace("▁", " ").encode()
 
-    return Side(lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(model.vocab_size())])
+    names = [model.id_to_piece(i) for i in range(model.vocab_size())]
+    return Side(lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(len(names))], all("▁" not in x.lstrip("▁") for x in names))
 
 
 @cache
@@ -170,11 +184,11 @@ def _names(ids: np.ndarray, last: np.ndarray, between: bytes, after: bytes) -> n
     return np.where(last == 1, _written(n, after)[ids], _written(n, between)[ids])
 
 
-def align_block(texts: list[str | None], sides: tuple[Side, Side], link: str = "end") -> dict:
-    """The alignment of some texts: n_a, n_b, n_groups, n_links (arrays by text), groups (bytes by text or None), and links (doc, pair, n) counted by text.
+def align_units(texts: list[str], sides: tuple[Side, Side], link: str = "end") -> dict:
+    """The alignment of some texts: facts (n_a, n_b, n_groups, n_links by text), groups (bytes by text or None), and links (doc, pair, n) counted by text, in the order of texts.
 
-    A text that is null or empty, or that the tokens of either side do not spell with a space
-    before it, has no tokens.
+    A text that is empty, or that the tokens of either side do not spell with a space before it,
+    has no tokens.
     """
     import duckdb
 
@@ -185,7 +199,7 @@ def align_block(texts: list[str | None], sides: tuple[Side, Side], link: str = "
     kept = [k for k, fit in zip(some, fits, strict=True) if fit]
     a, b = (_intervals([x for x, fit in zip(c, fits, strict=True) if fit], side.pieces) for side, c in zip(sides, coded, strict=True))
     n = len(texts)
-    out = {k: np.zeros(n, dtype=np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
+    out = {k: np.zeros(n, dtype=np.int64) for k in FACTS}
     out |= {"groups": [None] * n, "links": pa.table({"doc": np.empty(0, dtype=np.int32), "pair": np.empty(0, dtype=np.int64), "n": np.empty(0, dtype=np.int64)})}
     if not kept:
         return out
@@ -214,15 +228,71 @@ def align_block(texts: list[str | None], sides: tuple[Side, Side], link: str = "
     return out
 
 
-def _blocks(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+class _Known:
+    """Units that a worker has met, numbered, with what their alignment gave."""
+
+    def __init__(self, sides: tuple[Side, Side], link: str) -> None:
+        self.sides, self.link = sides, link
+        self.apart = all(side.apart for side in sides)
+        self.forget()
+
+    def forget(self) -> None:
+        self.held = 0
+        self.number: dict[str, int] = {}
+        self.groups: list[bytes | None] = []
+        self.facts = np.empty((0, len(FACTS)), dtype=np.int64)
+        self.starts, self.pair, self.times = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def meet(self, units: set[str]) -> None:
+        """Align those of `units` that are new."""
+        fresh = sorted(units - self.number.keys())
+        for begin, end in _spans([len(u) for u in fresh], BLOCK_BYTES):
+            some = fresh[begin:end]
+            got = align_units(some, self.sides, self.link)
+            self.number.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+            self.groups += got["groups"]
+            self.held += sum(300 + len(u) + len(g or b"") for u, g in zip(some, got["groups"], strict=True))
+            self.facts = np.concatenate((self.facts, np.stack([got[k] for k in FACTS], axis=1)))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.bincount(got["links"]["doc"].to_numpy(), minlength=len(some)))))
+            self.pair = np.concatenate((self.pair, got["links"]["pair"].to_numpy()))
+            self.times = np.concatenate((self.times, got["links"]["n"].to_numpy()))
+
+    def cut(self, texts: list[str | None]) -> list[list[int]]:
+        """The numbers of the units of each text; none for a text without tokens.
+
+        A text of which a unit is not spelled is aligned whole.
+        """
+        if self.held > REMEMBERED:
+            self.forget()
+        cut = [[] if not t else cut_units(t) if self.apart else [t] for t in texts]
+        self.meet(set(chain.from_iterable(cut)))
+        out = [list(map(self.number.__getitem__, us)) for us in cut]
+        odd = {n for n, g in enumerate(self.groups) if g is None}
+        bad = [k for k, us in enumerate(out) if not odd.isdisjoint(us)] if odd else []
+        self.meet({texts[k] for k in bad})
+        for k in bad:
+            n = self.number[texts[k]]
+            out[k] = [] if self.groups[n] is None else [n]
+        return out
+
+    def links(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in `units`, pair, n) of their links."""
+        counts = self.starts[units + 1] - self.starts[units]
+        stop = np.cumsum(counts)
+        at = np.repeat(self.starts[units] - (stop - counts), counts) + np.arange(int(stop[-1]) if len(stop) else 0)
+        return np.repeat(np.arange(len(units)), counts), self.pair[at], self.times[at]
+
+
+def _spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches of `sizes` that sum up to `most` at most, or are a single one."""
     begin = held = 0
-    for k, size in enumerate(pc.binary_length(batch.column(text_col)).to_pylist()):
-        if held and held + (size or 0) > BLOCK_BYTES:
-            yield batch.slice(begin, k - begin)
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield begin, k
             begin, held = k, 0
-        held += size or 0
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -256,19 +326,26 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, base, made = _sides(a_path, b_path), TaskContext.get().partitionId() << 32, 0
+        known, base, made = _Known(_sides(a_path, b_path), link), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for block in _blocks(batch, "text"):
-                got = align_block(block.column("text").to_pylist(), sides, link)
-                groups = ["" if g is None else groups_as(g) for g in got["groups"]]
-                told = pa.table({"id": block.column("id"), **{k: got[k] for k in ("n_a", "n_b", "n_groups", "n_links")}, "groups": pa.array(groups, pa.string())})
-                pair, number = np.unique(got["links"]["pair"].to_numpy(), return_inverse=True)
-                links = pa.table({"doc": got["links"]["doc"], "k": number.astype(np.int32), "n": got["links"]["n"].cast(pa.int32())})
-                times = np.bincount(number, weights=got["links"]["n"].to_numpy(), minlength=len(pair)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], "links": [_packed(links)], "pairs": pa.array([pair], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
+            for begin, end in _spans([x or 0 for x in pc.binary_length(batch.column("text")).to_pylist()], BLOCK_BYTES):
+                block = batch.slice(begin, end - begin)
+                cut = known.cut(block.column("text").to_pylist())
+                words, of = _flat(cut)
+                unit, word = np.unique(words, return_inverse=True)
+                facts = np.zeros((len(cut), len(FACTS)), dtype=np.int64)
+                np.add.at(facts, of, known.facts[words])
+                groups = [groups_as(b";".join(map(known.groups.__getitem__, us))) if us else "" for us in cut]
+                told = pa.table({"id": block.column("id"), **{k: facts[:, n] for n, k in enumerate(FACTS)}, "groups": pa.array(groups, pa.string())})
+                place, pair, n = known.links(unit)
+                pairs, k = np.unique(pair, return_inverse=True)
+                times = np.bincount(k, weights=n * np.bincount(word, minlength=len(unit))[place], minlength=len(pairs)).astype(np.int64)
+                links = pa.table({"unit": place.astype(np.int32), "k": k.astype(np.int32), "n": n})
+                spots = pa.table({"doc": of, "unit": word.astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], "words": [_packed(spots)], "links": [_packed(links)], "pairs": pa.array([pairs], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
                 made += 1
 
-    blocks = stage(slim.mapInArrow(first, "block long, docs binary, links binary, pairs array<long>, times array<long>"), "token-blocks")
+    blocks = stage(slim.mapInArrow(first, "block long, docs binary, words binary, links binary, pairs array<long>, times array<long>"), "token-blocks")
     said = blocks.select("block", F.explode(F.arrays_zip("pairs", "times")).alias("m")).select("block", F.col("m.pairs").alias("pair"), F.col("m.times").alias("n"))
     counts = stage(said.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     b_id = F.col("pair").bitwiseAND((1 << _SHIFT) - 1)
@@ -283,19 +360,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             for k in range(batch.num_rows):
-                told, links = (pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "links"))
+                told, words, links = (pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "words", "links"))
                 n_best, count_sum = np.zeros(len(told), dtype=np.int64), np.zeros(len(told), dtype=np.int64)
                 if len(links):
                     answer = pa.table({"k": np.arange(len(batch.column("counts")[k]), dtype=np.int32), "count": batch.column("counts")[k].values, "best": batch.column("best")[k].values})
                     with duckdb.connect(config={"threads": 1}) as con:
-                        con.register("links", links)
-                        con.register("answer", answer)
-                        sums = con.sql("SELECT doc, coalesce(sum(n) FILTER (best), 0)::BIGINT AS b, sum(n * count)::BIGINT AS c FROM links JOIN answer USING (k) GROUP BY doc").fetchnumpy()
+                        for name, rows in (("words", words), ("links", links), ("answer", answer)):
+                            con.register(name, rows)
+                        sums = con.sql("""WITH u AS (SELECT unit, coalesce(sum(n) FILTER (best), 0)::BIGINT AS b, sum(n * count)::BIGINT AS c FROM links JOIN answer USING (k) GROUP BY unit)
+                          SELECT doc, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c FROM words JOIN u USING (unit) GROUP BY doc""").fetchnumpy()
                     n_best[sums["doc"]], count_sum[sums["doc"]] = sums["b"], sums["c"]
                 whole = told.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
                 yield from whole.combine_chunks().to_batches()
 
-    both = blocks.select("block", "docs", "links").join(answers, "block", "left")
+    both = blocks.select("block", "docs", "words", "links").join(answers, "block", "left")
     documents = both.mapInArrow(second, "id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long")
     pairs = judged.select(F.shiftright("pair", _SHIFT).alias("a_id"), "b_id", F.col("n").alias("n_links"), "best")
     return Alignment(documents.withColumnRenamed("id", id_col), pairs)
