@@ -32,25 +32,28 @@ from pyspark.sql import functions as F
 from .common import stage
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of units and their groups that a worker remembers from block to block, each counted with 300 more.
-REMEMBERED = 48 << 20
+REMEMBERED = 128 << 20
 #: The pattern by which byte-level BPE cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 32
 FACTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-#: No blank, and only characters on which all versions of Unicode agree.
-_COMMON = re.compile(r"[^\s\u0250-\U0010ffff]{1,2000}").fullmatch
 #: A single space between two characters that are no blanks, the second of which joins none before it.
 _UNITS = regex.compile(r"(?<=\S) (?=[^\s\p{M}])").split
-_BLANKS = re.compile(r"[^\S ]|  |[\u0300-\U0010ffff]").search
+#: Spaces beside other blanks, blanks of rare kinds, and spaces before what may be a combining mark: a text with none of these, and none at its ends, is cut at each space.
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_RARE = re.compile(r"[^\S \n\t\r]| [\u0300-\u1fff\u20d0-\u20ff\u2cef-\U0010ffff]").search
+#: Units that may be encoded in one text, with single spaces between them.
+_JOINED = re.compile(r"[^\s\u0250-\U0010ffff](?:[^\u0250-\U0010ffff]{0,2000}[^\s\u0250-\U0010ffff])?").fullmatch
+_JOIN = 8192
 
 
 def cut_units(text: str) -> list[str]:
     """`text` without the single spaces between its words; blanks of other kinds, or in other places, stay in the units."""
-    return _UNITS(text) if _BLANKS(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
+    return _UNITS(text) if text[:1] == " " or text[-1:] == " " or any(x in text for x in _BESIDE) or _RARE(text) else text.split(" ")
 
 
 class Side(NamedTuple):
@@ -59,6 +62,11 @@ class Side(NamedTuple):
     encode: Callable[[list[str]], list[list[int]]]
     pieces: list[bytes]
     apart: bool
+    widths: np.ndarray
+
+
+def _side(encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], apart: bool) -> Side:
+    return Side(encode, pieces, apart, np.array(list(map(len, pieces)), dtype=np.int64))
 
 
 @cache
@@ -101,19 +109,21 @@ def byte_side(path: str) -> Side:
     cut = told.get("pre_tokenizer") or {}
     usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and told.get("normalizer") is None
     if not usual or merged != sorted(set(merged)) or len(set(pieces)) != len(pieces) or model.get("ignore_merges"):
-        return Side(slow, pieces, usual)
+        return _side(slow, pieces, usual)
     import tiktoken
 
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
 
     def settled(text: str) -> bool:
+        if len(text) > 2 * _JOIN:
+            return False
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        return len(codes) < 2000 and (not len(codes) or codes.max() < 1 << 16 and bool(_settled()[codes].all()))
+        return text.isascii() or int(codes.max()) < 1 << 16 and bool(_settled()[codes].all())
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [fast.encode_ordinary(f" {t}") if _COMMON(t) or settled(t) else slow([t])[0] for t in texts]
+        return [fast.encode_ordinary(f" {t}") if settled(t) else slow([t])[0] for t in texts]
 
-    return Side(encode, pieces, True)
+    return _side(encode, pieces, True)
 
 
 def piece_side(path: str) -> Side:
@@ -129,7 +139,7 @@ def piece_side(path: str) -> Side:
         return b"" if model.is_control(i) or model.is_unknown(i) else name.replace("▁", " ").encode()
 
     names = [model.id_to_piece(i) for i in range(model.vocab_size())]
-    return Side(lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(len(names))], all("▁" not in x.lstrip("▁") for x in names))
+    return _side(lambda texts: model.encode(texts, num_threads=1), [piece(i) for i in range(len(names))], all("▁" not in x.lstrip("▁") for x in names))
 
 
 @cache
@@ -144,11 +154,46 @@ def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(counts.sum())), np.repeat(np.arange(len(coded), dtype=np.int32), counts)
 
 
-def _intervals(coded: list[list[int]], pieces: list[bytes]) -> pa.Table:
-    """(doc, pos, id, start, stop): tokens with their byte offsets in the texts put together."""
-    ids, docs = _flat(coded)
-    stop = np.cumsum(np.array(list(map(len, pieces)), dtype=np.int64)[ids]) if len(ids) else np.empty(0, dtype=np.int64)
-    return pa.table({"doc": docs, "pos": np.arange(len(ids), dtype=np.int64), "id": ids, "start": np.concatenate(([0], stop))[: len(ids)].astype(np.int64), "stop": stop})
+def _intervals(ids: np.ndarray, widths: np.ndarray, ends: np.ndarray) -> pa.Table:
+    """(doc, pos, id, start, stop): tokens with their byte offsets in texts put together, which end at `ends`."""
+    stop = np.cumsum(widths[ids])
+    return pa.table({"doc": np.searchsorted(ends, stop).astype(np.int32), "pos": np.arange(len(ids), dtype=np.int64), "id": ids, "start": stop - widths[ids], "stop": stop})
+
+
+def _encoded(texts: list[str], sides: tuple[Side, Side]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(places of the texts that both sides spell, in some order; their ids by side, put together; their bytes).
+
+    Short texts of common letters are encoded some at a time, with spaces between, and apart
+    only if the tokens do not spell them so or do not end where they do.
+    """
+    places, parts, sizes = [], ([], []), []
+
+    def add(some: list[int]) -> None:
+        joined = " ".join([texts[k] for k in some])
+        want = f" {joined}".encode()
+        coded = [side.encode([joined])[0] for side in sides]
+        if all(b"".join(map(side.pieces.__getitem__, c)) == want for side, c in zip(sides, coded, strict=True)):
+            ids = [np.array(c, dtype=np.int32) for c in coded]
+            bytes_ = [len(texts[k].encode()) + 1 for k in some]
+            ends = np.cumsum(bytes_)
+            if len(some) == 1 or all(np.isin(ends, np.cumsum(side.widths[i])).all() for side, i in zip(sides, ids, strict=True)):
+                places.extend(some)
+                sizes.extend(bytes_)
+                for part, i in zip(parts, ids, strict=True):
+                    part.append(i)
+                return
+        if len(some) > 1:
+            add(some[: len(some) // 2])
+            add(some[len(some) // 2 :])
+
+    together = all(side.apart for side in sides)
+    short = [k for k, t in enumerate(texts) if together and _JOINED(t)]
+    for begin, end in _spans([len(texts[k]) for k in short], _JOIN):
+        add(short[begin:end])
+    for k in sorted(set(range(len(texts))).difference(short)):
+        if texts[k]:
+            add([k])
+    return np.array(places, dtype=np.int64), [np.concatenate(part) if part else np.empty(0, dtype=np.int32) for part in parts], np.array(sizes, dtype=np.int64)
 
 
 #: The links of a block as (doc, x, y): tokens whose ranges end together, or share a byte.
@@ -192,16 +237,13 @@ def align_units(texts: list[str], sides: tuple[Side, Side], link: str = "end") -
     """
     import duckdb
 
-    some = [k for k, t in enumerate(texts) if t]
-    coded = [side.encode([texts[k] for k in some]) for side in sides]
-    whole = [f" {texts[k]}".encode() for k in some]
-    fits = [all(b"".join(map(side.pieces.__getitem__, c[j])) == w for side, c in zip(sides, coded, strict=True)) for j, w in enumerate(whole)]
-    kept = [k for k, fit in zip(some, fits, strict=True) if fit]
-    a, b = (_intervals([x for x, fit in zip(c, fits, strict=True) if fit], side.pieces) for side, c in zip(sides, coded, strict=True))
+    place, ids, sizes = _encoded(texts, sides)
+    ends = np.cumsum(sizes)
+    a, b = (_intervals(i, side.widths, ends) for i, side in zip(ids, sides, strict=True))
     n = len(texts)
     out = {k: np.zeros(n, dtype=np.int64) for k in FACTS}
     out |= {"groups": [None] * n, "links": pa.table({"doc": np.empty(0, dtype=np.int32), "pair": np.empty(0, dtype=np.int64), "n": np.empty(0, dtype=np.int64)})}
-    if not kept:
+    if not len(place):
         return out
     with duckdb.connect(config={"threads": 1}) as con:
         con.register("a", a)
@@ -215,16 +257,16 @@ def align_units(texts: list[str], sides: tuple[Side, Side], link: str = "end") -
             g[placed["pos"]] = placed["g"]
             group_of.append(g)
         n_groups = con.sql("SELECT doc, count(*) AS n FROM cuts GROUP BY doc").fetchnumpy()
-        links = con.sql(f"SELECT doc, (x::BIGINT << {_SHIFT}) | y AS pair, count(*) AS n FROM ({_LINKS[link]}) GROUP BY ALL ORDER BY doc, pair").to_arrow_table()
-    place = np.array(kept)
+        links = con.sql(f"SELECT doc, (x::BIGINT << {_SHIFT}) | y AS pair, count(*) AS n FROM ({_LINKS[link]}) GROUP BY ALL").to_arrow_table()
     for name, rows in (("n_a", a), ("n_b", b)):
-        out[name][place] = np.bincount(rows["doc"].to_numpy(), minlength=len(kept))
+        out[name][place] = np.bincount(rows["doc"].to_numpy(), minlength=len(place))
     out["n_groups"][place[n_groups["doc"]]] = n_groups["n"]
     of = place[links["doc"].to_numpy()]
-    np.add.at(out["n_links"], of, links["n"].to_numpy())
-    for k, text in zip(kept, _groups_text(a, b, *group_of), strict=True):
+    order = np.argsort(of, kind="stable")
+    out["n_links"] += np.bincount(of, weights=links["n"].to_numpy(), minlength=n).astype(np.int64)
+    for k, text in zip(place.tolist(), _groups_text(a, b, *group_of), strict=True):
         out["groups"][k] = text
-    out["links"] = pa.table({"doc": of.astype(np.int32), "pair": links["pair"], "n": links["n"]})
+    out["links"] = pa.table({"doc": of[order].astype(np.int32), "pair": links["pair"].to_numpy()[order], "n": links["n"].to_numpy()[order]})
     return out
 
 
@@ -238,6 +280,7 @@ class _Known:
 
     def forget(self) -> None:
         self.held = 0
+        self.odd: set[int] = set()  # units without tokens
         self.number: dict[str, int] = {}
         self.groups: list[bytes | None] = []
         self.facts = np.empty((0, len(FACTS)), dtype=np.int64)
@@ -245,11 +288,12 @@ class _Known:
 
     def meet(self, units: set[str]) -> None:
         """Align those of `units` that are new."""
-        fresh = sorted(units - self.number.keys())
+        fresh = list(units - self.number.keys())
         for begin, end in _spans([len(u) for u in fresh], BLOCK_BYTES):
             some = fresh[begin:end]
             got = align_units(some, self.sides, self.link)
             self.number.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+            self.odd.update(len(self.groups) + n for n, g in enumerate(got["groups"]) if g is None)
             self.groups += got["groups"]
             self.held += sum(300 + len(u) + len(g or b"") for u, g in zip(some, got["groups"], strict=True))
             self.facts = np.concatenate((self.facts, np.stack([got[k] for k in FACTS], axis=1)))
@@ -267,8 +311,7 @@ class _Known:
         cut = [[] if not t else cut_units(t) if self.apart else [t] for t in texts]
         self.meet(set(chain.from_iterable(cut)))
         out = [list(map(self.number.__getitem__, us)) for us in cut]
-        odd = {n for n, g in enumerate(self.groups) if g is None}
-        bad = [k for k, us in enumerate(out) if not odd.isdisjoint(us)] if odd else []
+        bad = [k for k, us in enumerate(out) if not self.odd.isdisjoint(us)] if self.odd else []
         self.meet({texts[k] for k in bad})
         for k in bad:
             n = self.number[texts[k]]
@@ -333,8 +376,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 cut = known.cut(block.column("text").to_pylist())
                 words, of = _flat(cut)
                 unit, word = np.unique(words, return_inverse=True)
-                facts = np.zeros((len(cut), len(FACTS)), dtype=np.int64)
-                np.add.at(facts, of, known.facts[words])
+                upto = np.concatenate((np.zeros((1, len(FACTS)), dtype=np.int64), np.cumsum(known.facts[words], axis=0)))
+                stop = np.cumsum(np.bincount(of, minlength=len(cut)))
+                facts = upto[stop] - upto[np.concatenate(([0], stop[:-1]))]
                 groups = [groups_as(b";".join(map(known.groups.__getitem__, us))) if us else "" for us in cut]
                 told = pa.table({"id": block.column("id"), **{k: facts[:, n] for n, k in enumerate(FACTS)}, "groups": pa.array(groups, pa.string())})
                 place, pair, n = known.links(unit)
