@@ -34,7 +34,7 @@ from .common import stage
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Bytes of units and their groups that a worker remembers from block to block, each counted with 300 more.
-REMEMBERED = 128 << 20
+REMEMBERED = 48 << 20
 #: The pattern by which byte-level BPE cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 32
@@ -380,13 +380,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 stop = np.cumsum(np.bincount(of, minlength=len(cut)))
                 facts = upto[stop] - upto[np.concatenate(([0], stop[:-1]))]
                 groups = [groups_as(b";".join(map(known.groups.__getitem__, us))) if us else "" for us in cut]
-                told = pa.table({"id": block.column("id"), **{k: facts[:, n] for n, k in enumerate(FACTS)}, "groups": pa.array(groups, pa.string())})
+                told = pa.table({"id": block.column("id"), **{k: facts[:, n] for n, k in enumerate(FACTS)}, "groups": pa.array(groups, pa.string()), "units": np.diff(stop, prepend=0)})
                 place, pair, n = known.links(unit)
                 pairs, k = np.unique(pair, return_inverse=True)
                 times = np.bincount(k, weights=n * np.bincount(word, minlength=len(unit))[place], minlength=len(pairs)).astype(np.int64)
                 links = pa.table({"unit": place.astype(np.int32), "k": k.astype(np.int32), "n": n})
-                spots = pa.table({"doc": of, "unit": word.astype(np.int32)})
-                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], "words": [_packed(spots)], "links": [_packed(links)], "pairs": pa.array([pairs], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
+                spots = word.astype("<u2" if len(unit) <= 1 << 16 else "<u4")
+                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], "words": [spots.tobytes()], "links": [_packed(links)], "pairs": pa.array([pairs], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
                 made += 1
 
     blocks = stage(slim.mapInArrow(first, "block long, docs binary, words binary, links binary, pairs array<long>, times array<long>"), "token-blocks")
@@ -404,9 +404,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             for k in range(batch.num_rows):
-                told, words, links = (pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "words", "links"))
+                told, links = (pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "links"))
                 n_best, count_sum = np.zeros(len(told), dtype=np.int64), np.zeros(len(told), dtype=np.int64)
                 if len(links):
+                    of = np.repeat(np.arange(len(told), dtype=np.int32), told["units"].to_numpy())
+                    raw = batch.column("words")[k].as_buffer()
+                    words = pa.table({"doc": of, "unit": np.frombuffer(raw, dtype=f"<u{raw.size // len(of)}").astype(np.int32)})
                     answer = pa.table({"k": np.arange(len(batch.column("counts")[k]), dtype=np.int32), "count": batch.column("counts")[k].values, "best": batch.column("best")[k].values})
                     with duckdb.connect(config={"threads": 1}) as con:
                         for name, rows in (("words", words), ("links", links), ("answer", answer)):
@@ -414,7 +417,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                         sums = con.sql("""WITH u AS (SELECT unit, coalesce(sum(n) FILTER (best), 0)::BIGINT AS b, sum(n * count)::BIGINT AS c FROM links JOIN answer USING (k) GROUP BY unit)
                           SELECT doc, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c FROM words JOIN u USING (unit) GROUP BY doc""").fetchnumpy()
                     n_best[sums["doc"]], count_sum[sums["doc"]] = sums["b"], sums["c"]
-                whole = told.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
+                whole = told.drop_columns("units").append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
                 yield from whole.combine_chunks().to_batches()
 
     both = blocks.select("block", "docs", "words", "links").join(answers, "block", "left")
