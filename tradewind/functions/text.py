@@ -30,12 +30,17 @@ def _plain() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join([*one, *marks]), "".join(to), tuple(many)
 
 
+def accent_map() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """(characters, the characters they become (marks: none), characters that become several)."""
+    plain, to, many = _plain()
+    return plain, to, tuple(m for m in many if 0xA0 <= ord(m[0]) <= 0x17F or 0xFB00 <= ord(m[0]) <= 0xFB06)
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks; null becomes ''."""
-    plain, to, many = _plain()
+    plain, to, many = accent_map()
     out = F.translate(F.coalesce(c, F.lit("")), plain, to)
-    usual = [m for m in many if 0xA0 <= ord(m[0]) <= 0x17F or 0xFB00 <= ord(m[0]) <= 0xFB06]
-    for char, base in usual:
+    for char, base in many:
         out = F.replace(out, F.lit(char), F.lit(base))
     return out
 

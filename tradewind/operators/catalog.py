@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,11 @@ def search(products: DataFrame, obs: DataFrame, query: str | None = None, catego
     if category is not None:
         found = found.where(F.col("category") == category)
     top = found.orderBy("name", "id").limit(limit).select(F.col("id").alias("master"), F.col("name").alias("m_name"), F.col("brand").alias("m_brand"), F.col("category").alias("m_category"))
-    members = with_master(products).select(F.col("id").alias("product_id"), "master").join(top, "master")
+    return offers_of(with_master(products).select(F.col("id").alias("product_id"), "master").join(top, "master"), obs, retailer, on_offer, in_stock_only)
+
+
+def offers_of(members: DataFrame, obs: DataFrame, retailer: str | None = None, on_offer: bool = False, in_stock_only: bool = False) -> DataFrame:
+    """The newest offers of `members` (product_id, master, m_name, m_brand, m_category) that pass the filters."""
     offers = latest(obs.join(members.select("product_id"), "product_id", "left_semi"))
     if retailer is not None:
         offers = offers.where(F.col("retailer") == retailer)
@@ -81,3 +87,22 @@ def stats(products: DataFrame, obs: DataFrame) -> DataFrame:
     masters = products.where("canonical_id is null").agg(F.count("*").alias("products"))
     groups = _multi_chain(products, offers).agg(F.count("*").alias("multi_chain"))
     return masters.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(groups))  # rows of one each
+
+
+def offer_sketches(obs: DataFrame, by: Sequence[str] = ("retailer",), lg: int = 12) -> DataFrame:
+    """(by..., day, products, offers): sketches of the distinct products and offers of each day, to be kept and put together later.
+
+    A sketch has 2**lg cells of one byte, whatever it counts; its estimate is off by 1.04 / sqrt(2**lg) in the mean.
+    """
+    offer = F.concat_ws("\u0000", F.col("product_id").cast("string"), "retailer")
+    return obs.groupBy(*by, F.to_date("observed_at").alias("day")).agg(F.hll_sketch_agg("product_id", lg).alias("products"), F.hll_sketch_agg(offer, lg).alias("offers"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Sketches of several days, or tables of them, as one per `by`; a coarser `by` may be merged again."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("products").alias("products"), F.hll_union_agg("offers").alias("offers"))
+
+
+def distinct_estimates(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_products, n_offers): estimated distinct counts over the rows of `sketches`, from their union."""
+    return merge_sketches(sketches, by).select(*by, F.hll_sketch_estimate("products").alias("n_products"), F.hll_sketch_estimate("offers").alias("n_offers"))

@@ -436,4 +436,6 @@ def oracle_sql() -> dict[str, str]:
     return {k: sql for k, (_, sql) in _FOUND.items() if sql}
 
 
+from . import extended  # noqa: E402, F401  (adds its queries to these)
+
 __all__ = ["queries", "oracle_sql"]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.hierarchy import first_reached
 from ..session import kept
 
 Fetch = Callable[[str], tuple[int, Mapping[str, str], bytes]]
@@ -30,12 +31,15 @@ RESPONSE_LIMIT = 50_000_000
 
 
 def polite(fetch: Fetch, tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], bytes | None]:
-    """`fetch` that asks again after 429 and 5xx, waiting as Retry-After says or twice as long each time; any other failure, or too large a body, gives None."""
+    """`fetch` that asks again after 429, 5xx, and errors of the connection, waiting as Retry-After says or twice as long each time; any other failure, or too large a body, gives None."""
 
     def get(url: str) -> bytes | None:
         pause = wait
         for _ in range(tries):
-            status, headers, body = fetch(url)
+            try:
+                status, headers, body = fetch(url)
+            except OSError:  # time-outs, resets and refusals, of sockets and of libraries on them
+                status, headers, body = 503, {}, b""
             if status == 200:
                 return body if len(body) <= RESPONSE_LIMIT else None
             if status != 429 and status < 500:
@@ -84,6 +88,45 @@ def robots_facts(robots: str, agent: str = "*", floor: float = 3.0) -> tuple[flo
     return max(floor, float(rules.crawl_delay(agent) or 0)), list(rules.site_maps() or [])
 
 
+def fetch_sources(urls: DataFrame, fetch: Fetch, most: int = 8, pace: float = 3.0, tries: int = 3, order: str = "seq") -> DataFrame:
+    """(source, seq, url, content, outcome) of `urls` (source, seq, url): each source is fetched in order by one task, and left alone after `most` failures in a row.
+
+    outcome is fetched, failed or skipped; a skipped url was never asked for. Sources are dealt
+    to tasks whole, for their requests are to be `pace` seconds apart; a task remembers one
+    streak at a time. A null source is one of its own. A task that is tried again asks again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, due = polite(fetch, tries), time.monotonic()
+        now, streak = object(), 0
+        for batch in batches:
+            contents, outcomes = [], []
+            for source, url in zip(batch["source"], batch["url"], strict=True):
+                if source != now:
+                    now, streak = source, 0
+                if streak >= most:
+                    contents.append(None)
+                    outcomes.append("skipped")
+                    continue
+                time.sleep(max(0.0, due - time.monotonic()))
+                due = time.monotonic() + pace
+                body = None if url is None else get(url)
+                streak = streak + 1 if body is None else 0
+                contents.append(body)
+                outcomes.append("failed" if body is None else "fetched")
+            yield pd.DataFrame({"source": batch["source"], "seq": batch["seq"], "url": batch["url"], "content": contents, "outcome": outcomes})
+
+    rows = urls.select("source", F.col(order).cast("long").alias("seq"), "url").repartition("source").sortWithinPartitions("source", "seq", "url")
+    return rows.mapInPandas(run, "source string, seq long, url string, content binary, outcome string")
+
+
+def source_report(fetched: DataFrame, priced: DataFrame) -> DataFrame:
+    """(source, n_fetched, n_failed, n_skipped, n_unpriced, stopped) of :func:`fetch_sources`; `priced` (url) are the pages that gave a price."""
+    told = fetched.join(priced.select("url").distinct().withColumn("_p", F.lit(True)), "url", "left")
+    count = lambda name: F.count_if(F.col("outcome") == name)
+    return told.groupBy("source").agg(count("fetched").alias("n_fetched"), count("failed").alias("n_failed"), count("skipped").alias("n_skipped"), F.count_if((F.col("outcome") == "fetched") & F.col("_p").isNull()).alias("n_unpriced"), (count("skipped") > 0).alias("stopped"))
+
+
 def until_broken(attempts: DataFrame, most: int = 8, order: str = "seq", ok: str = "ok") -> DataFrame:
     """The `attempts` of a source up to the `most`-th failure in a row, which ends it; columns `source`, `order` and `ok`."""
     by = Window.partitionBy("source").orderBy(order)
@@ -112,28 +155,28 @@ def parse_sitemap(content: bytes | None) -> tuple[list[str], list[str]]:
     return found["sitemap"], found["url"]
 
 
+def sitemap_links(contents: DataFrame) -> DataFrame:
+    """(parent, kind, child) of sitemaps (url, content): kind is sitemap or page. What is no sitemap has no links."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(at, k, u) for at, c in zip(batch["url"], batch["content"], strict=True) for k, us in zip(("sitemap", "page"), parse_sitemap(None if c is None else bytes(c)), strict=True) for u in us]
+            yield pd.DataFrame(rows, columns=["parent", "kind", "child"])
+
+    return contents.select("url", "content").mapInPandas(parse, "parent string, kind string, child string")
+
+
 def sitemap_pages(contents: DataFrame, roots: list[str], hint: str, limit: int | None = None) -> DataFrame:
     """(url) of pages that match `hint` in the sitemaps reachable from `roots`; `contents` has (url, content).
 
-    Level by level: the sitemaps of a level are looked up together, and those seen before
-    are dropped by an anti-join. A sitemap that is not there, or is none, ends its branch.
+    Sitemaps are parsed once; those that others name are found by a recursive query, which
+    visits indexes only, and their pages by one semi-join. A sitemap that is not there, or is
+    none, ends its branch, and one that names a sitemap above it is no loop.
     """
-    spark = contents.sparkSession
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, u) for c in batch["content"] for k, us in zip(("sitemap", "page"), parse_sitemap(None if c is None else bytes(c)), strict=True) for u in us]
-            yield pd.DataFrame(rows, columns=["kind", "url"])
-
-    frontier = spark.createDataFrame([(r,) for r in roots], "url string").distinct()
-    seen, pages = frontier, None
-    while not frontier.isEmpty():
-        found = kept(contents.select("url", "content").join(frontier, "url", "left_semi").select("content").mapInPandas(parse, "kind string, url string"))
-        some = found.where((F.col("kind") == "page") & F.col("url").rlike(hint)).select("url")
-        pages = some if pages is None else pages.unionByName(some)
-        frontier = kept(found.where("kind = 'sitemap'").select("url").distinct().join(seen, "url", "left_anti"))
-        seen = seen.unionByName(frontier)
-    out = spark.createDataFrame([], "url string") if pages is None else pages.distinct()
+    links = kept(sitemap_links(contents))
+    start = contents.sparkSession.createDataFrame([(r,) for r in roots], "node string")
+    met = first_reached(links.where("kind = 'sitemap'").select("parent", "child"), start).select(F.col("node").alias("parent"))
+    out = links.where(F.col("kind") == "page").join(met, "parent", "left_semi").where(F.col("child").rlike(hint)).select(F.col("child").alias("url")).distinct()
     return out if limit is None else out.orderBy("url").limit(limit)
 
 

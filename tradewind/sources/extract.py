@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LD = re.compile(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>")
+from ..functions import tree
 
 
 def availability(text: Column) -> Column:
@@ -70,51 +66,34 @@ def pair_on_sku(identity: DataFrame, prices: DataFrame) -> DataFrame:
     return out.withColumn("brand", F.when(F.col("brand") != "Generic", F.col("brand")))
 
 
-def _walk(node: object) -> Iterator[dict]:
-    stack = [node]
-    while stack:
-        at = stack.pop()
-        if isinstance(at, dict):
-            kinds = at.get("@type")
-            if "product" in [str(k).lower() for k in (kinds if isinstance(kinds, list) else [kinds])]:
-                yield at
-            stack.extend(reversed(list(at.values())))
-        elif isinstance(at, list):
-            stack.extend(reversed(at))
+_LD = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 
 
-def _figure(x: object) -> float | None:
-    try:
-        return float(str(x).replace(",", "."))
-    except ValueError:
-        return None
+def product_offers(raw: Column) -> Column:
+    """array<struct(name, brand, sku, price, list_price, currency, in_stock)> of the products anywhere in the JSON-LD text `raw`: one per offer, and one without a price for a product that has no offers.
 
+    The price is `price`, or `lowPrice` where that is absent or 0; what is no figure is null. Of
+    several codes sku, gtin13, gtin the first that is there counts. Offers that are no objects are
+    skipped, and text that is no JSON has no products: null.
+    """
 
-def _text(x: object) -> str | None:
-    if isinstance(x, list):
-        x = x[0] if x else None
-    if isinstance(x, dict):
-        x = x.get("name") or x.get("url")
-    return None if x is None else str(x)
+    def of_product(p: Column) -> Column:
+        offers = tree.listed(p, "offers")
+        sku = F.coalesce(*[F.nullif(tree.text(p, k), F.lit("")) for k in ("sku", "gtin13", "gtin")])
+        row = lambda price, high, currency, stock: F.struct(tree.text(p, "name").alias("name"), tree.text(p, "brand").alias("brand"), sku.alias("sku"), price.alias("price"), high.alias("list_price"), currency.alias("currency"), stock.alias("in_stock"))
+        none = F.lit(None).cast("double")
+        hole = lambda o: F.coalesce(tree.text(o, "price"), F.lit("")).isin("", "0", "0.0")
+        price = lambda o: F.when(hole(o), tree.figure(o, "lowPrice")).otherwise(tree.figure(o, "price"))
+        of_offer = lambda o: row(price(o), tree.figure(o, "highPrice"), F.coalesce(tree.text(o, "priceCurrency"), F.lit("EUR")), availability(tree.text(o, "availability")))
+        return F.when(F.size(offers) == 0, F.array(row(none, none, F.lit("EUR"), F.lit(None).cast("int")))).otherwise(F.transform(F.filter(offers, tree.is_object), of_offer))
+
+    return F.flatten(F.transform(F.filter(tree.nodes(raw), lambda n: tree.has_type(n, "product")), of_product))
 
 
 def jsonld_products(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, name, brand, sku, price, list_price, availability): a row per offer of each product in JSON-LD; bad JSON is skipped."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, html in zip(batch[id_col], batch[html_col], strict=True):
-                for raw in _LD.findall(html or ""):
-                    try:
-                        tree = json.loads(raw)
-                    except ValueError:
-                        continue
-                    for p in _walk(tree):
-                        offers = p.get("offers") or {}
-                        for o in offers if isinstance(offers, list) else [offers]:
-                            low = o.get("price") if o.get("price") is not None else o.get("lowPrice")
-                            rows.append((i, _text(p.get("name")), _text(p.get("brand")), _text(p.get("sku") or p.get("gtin13") or p.get("gtin")), _figure(low), _figure(o.get("highPrice")), _text(o.get("availability"))))
-            yield pd.DataFrame(rows, columns=[id_col, "name", "brand", "sku", "price", "list_price", "availability"])
-
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} long, name string, brand string, sku string, price double, list_price double, availability string")
+    """(page_id, name, brand, sku, price, list_price, currency, in_stock): a row per offer of each product in the JSON-LD blocks of pages, see :func:`product_offers`.
+
+    All native: blocks are parsed as VARIANT and walked within the row. Blocks that are no JSON are skipped.
+    """
+    blocks = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(_LD), F.lit(1))).alias("raw"))
+    return blocks.select(id_col, F.inline(product_offers(F.trim("raw"))))

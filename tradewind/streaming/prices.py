@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,31 @@ def run_available(frame: DataFrame, name: str, mode: str = "complete", checkpoin
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return frame.sparkSession.table(name)
+
+
+def run_to_table(frame: DataFrame, path: str, checkpoint: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Run a streaming frame in append mode over what is there now, into Parquet at `path`, and read that; `settings` hold while it starts.
+
+    With the same `checkpoint` a later call takes only what is new.
+    """
+    spark = frame.sparkSession
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        query = frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def sessions(events: DataFrame, keys: Sequence[str] = ("user_id",), gap: str = "30 minutes", at: str = "observed_at") -> DataFrame:
+    """(keys..., start, stop, n, max_value): stretches of events of a key that are less than `gap` apart, in batch or streaming.
+
+    A session stops `gap` after its last event. On a stream with a watermark, late rows widen and
+    merge the sessions that are still open, and rows later than the watermark are dropped.
+    """
+    session = F.session_window(at, gap).alias("w")
+    return events.groupBy(*keys, session).agg(F.count("*").alias("n"), F.max("value").alias("max_value")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "max_value")
