@@ -34,7 +34,7 @@ from .common import stage
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Bytes of units and their groups that a worker remembers from block to block, each counted with 300 more.
-REMEMBERED = 48 << 20
+REMEMBERED = 32 << 20
 #: The pattern by which byte-level BPE cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 32
@@ -345,6 +345,16 @@ def _packed(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as the greatest needs, after a byte that tells how many."""
+    kind = np.min_scalar_type(int(numbers.max()) if len(numbers) else 0).newbyteorder("<")
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 class Alignment(NamedTuple):
     """`documents` (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) and `pairs` (a_id, b_id, n_links, best)."""
 
@@ -384,12 +394,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 place, pair, n = known.links(unit)
                 pairs, k = np.unique(pair, return_inverse=True)
                 times = np.bincount(k, weights=n * np.bincount(word, minlength=len(unit))[place], minlength=len(pairs)).astype(np.int64)
-                links = pa.table({"unit": place.astype(np.int32), "k": k.astype(np.int32), "n": n})
-                spots = word.astype("<u2" if len(unit) <= 1 << 16 else "<u4")
-                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], "words": [spots.tobytes()], "links": [_packed(links)], "pairs": pa.array([pairs], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
+                spots = {"words": word, "per_unit": np.bincount(place, minlength=len(unit)), "k": k, "n": n}
+                yield pa.RecordBatch.from_pydict({"block": [base + made], "docs": [_packed(told)], **{c: [_small(x)] for c, x in spots.items()}, "pairs": pa.array([pairs], pa.list_(pa.int64())), "times": pa.array([times], pa.list_(pa.int64()))})
                 made += 1
 
-    blocks = stage(slim.mapInArrow(first, "block long, docs binary, words binary, links binary, pairs array<long>, times array<long>"), "token-blocks")
+    blocks = stage(slim.mapInArrow(first, "block long, docs binary, words binary, per_unit binary, k binary, n binary, pairs array<long>, times array<long>"), "token-blocks")
     said = blocks.select("block", F.explode(F.arrays_zip("pairs", "times")).alias("m")).select("block", F.col("m.pairs").alias("pair"), F.col("m.times").alias("n"))
     counts = stage(said.groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     b_id = F.col("pair").bitwiseAND((1 << _SHIFT) - 1)
@@ -404,13 +413,13 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
         for batch in batches:
             for k in range(batch.num_rows):
-                told, links = (pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_all() for c in ("docs", "links"))
+                told = pa.ipc.open_stream(batch.column("docs")[k].as_buffer()).read_all()
+                words, per_unit, pair, n = (_large(batch.column(c)[k].as_py()) for c in ("words", "per_unit", "k", "n"))
                 n_best, count_sum = np.zeros(len(told), dtype=np.int64), np.zeros(len(told), dtype=np.int64)
-                if len(links):
-                    of = np.repeat(np.arange(len(told), dtype=np.int32), told["units"].to_numpy())
-                    raw = batch.column("words")[k].as_buffer()
-                    words = pa.table({"doc": of, "unit": np.frombuffer(raw, dtype=f"<u{raw.size // len(of)}").astype(np.int32)})
-                    answer = pa.table({"k": np.arange(len(batch.column("counts")[k]), dtype=np.int32), "count": batch.column("counts")[k].values, "best": batch.column("best")[k].values})
+                if len(pair):
+                    words = pa.table({"doc": np.repeat(np.arange(len(told), dtype=np.int32), told["units"].to_numpy()), "unit": words})
+                    links = pa.table({"unit": np.repeat(np.arange(len(per_unit)), per_unit), "k": pair, "n": n})
+                    answer = pa.table({"k": np.arange(len(batch.column("counts")[k])), "count": batch.column("counts")[k].values, "best": batch.column("best")[k].values})
                     with duckdb.connect(config={"threads": 1}) as con:
                         for name, rows in (("words", words), ("links", links), ("answer", answer)):
                             con.register(name, rows)
@@ -420,7 +429,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                 whole = told.drop_columns("units").append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum))
                 yield from whole.combine_chunks().to_batches()
 
-    both = blocks.select("block", "docs", "words", "links").join(answers, "block", "left")
+    both = blocks.drop("pairs", "times").join(answers, "block", "left")
     documents = both.mapInArrow(second, "id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long")
     pairs = judged.select(F.shiftright("pair", _SHIFT).alias("a_id"), "b_id", F.col("n").alias("n_links"), "best")
     return Alignment(documents.withColumnRenamed("id", id_col), pairs)
