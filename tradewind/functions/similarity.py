@@ -41,10 +41,18 @@ def token_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([1.0 if not x and not y else 2 * lcs_length(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+#: What each telling word on one side only takes from the score, and the most that all of them do.
+PENALTY = (0.13, 0.25)
+
+
+def telling(tokens: Column) -> Column:
+    """Those of `tokens` that tell variants apart."""
+    return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS, *DIFFERENCE_NOISE) & ~t.rlike(r"^[0-9.,]+$") & (F.length(t) > 1))
+
+
 def variant_difference(a: Column, b: Column) -> Column:
     """Tokens on one side only that tell variants apart."""
-    either = F.array_union(F.array_except(a, b), F.array_except(b, a))
-    return F.filter(either, lambda t: ~t.isin(*STOP_WORDS, *DIFFERENCE_NOISE) & ~t.rlike(r"^[0-9.,]+$") & (F.length(t) > 1))
+    return telling(F.array_union(F.array_except(a, b), F.array_except(b, a)))
 
 
 def profile(products: DataFrame) -> DataFrame:
@@ -59,7 +67,7 @@ def score_pairs(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     kernel runs only for pairs that can still reach `least`.
     """
     a, b = F.col("a"), F.col("b")
-    penalty = F.when(a["sig"]["size"].isNull() != b["sig"]["size"].isNull(), 0.15).otherwise(0.0) + F.least(F.lit(0.25), 0.13 * F.size(variant_difference(a["tokens"], b["tokens"])))
+    penalty = F.when(a["sig"]["size"].isNull() != b["sig"]["size"].isNull(), 0.15).otherwise(0.0) + F.least(F.lit(PENALTY[1]), PENALTY[0] * F.size(variant_difference(a["tokens"], b["tokens"])))
     brand = F.when((a["folded_brand"] == "") | (b["folded_brand"] == ""), 0.5).when(a["folded_brand"] == b["folded_brand"], 1.0).otherwise(0.0)
     gated = pairs.withColumn("_conflict", signatures_conflict(a["sig"], b["sig"])).withColumn("_jaccard", jaccard(a["tokens"], b["tokens"])).withColumn("_fixed", 0.3 * brand - penalty)
     if least > 0:
@@ -81,6 +89,16 @@ def _grams(n: int):
     return lambda w: F.when(F.length(w) > n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))).otherwise(F.array(w))
 
 
+def tfidf_units(texts: DataFrame) -> DataFrame:
+    """(id, g, df, w, rest): the TF-IDF vectors of (id, text) with length 1, and the squared length from each gram on, rarest grams first."""
+    grams = texts.select("id", F.explode(char_grams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
+    total = texts.agg(F.count("*").alias("n"))
+    weights = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    whole = Window.partitionBy("id")
+    onward = whole.orderBy("df", "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(onward))
+
+
 def tfidf_pairs(texts: DataFrame, least: float = PREFILTER) -> DataFrame:
     """(a, b, cosine), a < b, of texts (id, text) with a cosine of TF-IDF vectors of `least` or more.
 
@@ -90,17 +108,17 @@ def tfidf_pairs(texts: DataFrame, least: float = PREFILTER) -> DataFrame:
     so only prefixes are joined, which leaves the most common grams out, and the pairs found
     are computed in full.
     """
-    grams = texts.select("id", F.explode(char_grams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
-    total = texts.agg(F.count("*").alias("n"))
-    weights = grams.join(grams.groupBy("g").agg(F.count("*").alias("df")), "g").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    whole = Window.partitionBy("id")
-    onward = whole.orderBy("df", "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    unit = weights.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole))).withColumn("rest", F.sum(F.col("w") * F.col("w")).over(onward))
+    unit = tfidf_units(texts)
     prefix = unit.where(F.col("rest") >= least * least - 1e-9).select("id", "g")
     pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), "g").where("a < b").select("a", "b").distinct()
+    return pair_cosines(pairs, unit).where(F.col("cosine") >= least - 1e-12)
+
+
+def pair_cosines(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    """(a, b, cosine) of `pairs` (a, b) that share a gram; `unit` of :func:`tfidf_units`."""
     mine = unit.select(F.col("id").alias("a"), "g", F.col("w"))
     other = unit.select(F.col("id").alias("b"), "g", F.col("w").alias("v"))
-    return pairs.join(mine, "a").join(other, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= least - 1e-12)
+    return pairs.join(mine, "a").join(other, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
 
 
 def token_blocks(names: DataFrame) -> DataFrame:

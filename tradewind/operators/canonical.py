@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantity import match_key
-from ..functions.similarity import PREFILTER, SUGGEST, profile, score_pairs, tfidf_pairs
+from ..functions.pairing import similar_pairs
+from ..functions.similarity import PREFILTER, SUGGEST, pair_cosines, profile, tfidf_units
 from ..functions.text import decision
 from ..session import kept
 
@@ -62,13 +63,16 @@ def scan_exact(products: DataFrame, preferred: DataFrame) -> DataFrame:
 
 
 def candidates(products: DataFrame, least: float = SUGGEST, prefilter: float = PREFILTER) -> DataFrame:
-    """(product_a, product_b, score) of canonical products: TF-IDF pairs, then the explainable score in [least, 1)."""
+    """(product_a, product_b, score) of canonical products: the explainable score in [least, 1) and a TF-IDF cosine of `prefilter` or more.
+
+    Pairs that reach the score are found first, exactly, by the words that tell them apart, so the
+    vectors are compared for these few only.
+    """
     known = profile(products.where("canonical_id is null"))
-    pairs = tfidf_pairs(known.select("id", F.concat_ws(" ", "core", "folded_brand").alias("text")), prefilter)
-    side = F.struct("tokens", "core", "folded_brand", "sig")
-    both = pairs.join(known.select(F.col("id").alias("a"), side.alias("pa")), "a").join(known.select(F.col("id").alias("b"), side.alias("pb")), "b")
-    named = both.select(F.col("a").alias("product_a"), F.col("b").alias("product_b"), F.col("pa").alias("a"), F.col("pb").alias("b"))
-    return score_pairs(named, least).where("score < 1.0").select("product_a", "product_b", "score")
+    near = kept(similar_pairs(known, least).where("score < 1.0"))
+    unit = tfidf_units(known.select("id", F.concat_ws(" ", "core", "folded_brand").alias("text")))
+    close = pair_cosines(near.select("a", "b"), unit).where(F.col("cosine") >= prefilter - 1e-12).select("a", "b")
+    return near.join(close, ["a", "b"]).select(F.col("a").alias("product_a"), F.col("b").alias("product_b"), "score")
 
 
 def upsert_candidates(queue: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantity import extract_size
-from ..functions.similarity import AUTO_BLOCK, profile, score_pairs
+from ..functions.pairing import similar_between
+from ..functions.similarity import AUTO_BLOCK, profile
 from ..functions.text import product_key
 from .timeseries import latest
 
@@ -79,17 +80,14 @@ def record_prices(history: DataFrame, rows: DataFrame) -> DataFrame:
 def block_duplicates(fresh: DataFrame, products: DataFrame, least: float = AUTO_BLOCK) -> DataFrame:
     """(dup, master): new products (id, name, brand, category) that score `least` or more with a stored canonical product of their category.
 
-    Without a common token the score is 0.65 at most, so a new product meets the stored ones of
-    its category that share one, or like it have none; a null category is one of its own.
+    Candidates meet by the words that tell them apart, with brand and size, and not by each
+    word of a category; a null category is one of its own.
     """
-    tokens = lambda frame: profile(frame).withColumn("_k", F.explode(F.when(F.size("tokens") > 0, F.array_distinct("tokens")).otherwise(F.array(F.lit("")))))
-    side = F.struct("tokens", "core", "folded_brand", "sig")
-    new = tokens(fresh.select("id", "name", "brand", "category")).select(F.col("id").alias("product_a"), side.alias("a"), "category", "_k")
-    old = tokens(products.where("canonical_id is null").select("id", "name", "brand", "category")).select(F.col("id").alias("product_b"), side.alias("b"), F.col("category").alias("_c"), F.col("_k").alias("_j"))
-    met = new.join(old, (F.col("_k") == F.col("_j")) & F.col("category").eqNullSafe(F.col("_c")) & (F.col("product_a") != F.col("product_b")))
-    pairs = met.groupBy("product_a", "product_b").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    scored = score_pairs(pairs, least).select(F.col("product_a").alias("id"), F.col("product_b").alias("candidate"), "score")
-    return best_match(fresh.select("id"), scored, least).where("master is not null").select(F.col("id").alias("dup"), "master")
+    new, old = profile(fresh.select("id", "name", "brand", "category")), profile(products.where("canonical_id is null").select("id", "name", "brand", "category"))
+    scored = similar_between(new, old, least)
+    ours, theirs = new.select(F.col("id").alias("a"), F.col("category").alias("_a")), old.select(F.col("id").alias("b"), F.col("category").alias("_b"))
+    same = scored.join(ours, "a").join(theirs, "b").where(F.col("_a").eqNullSafe(F.col("_b"))).select(F.col("a").alias("id"), F.col("b").alias("candidate"), "score")
+    return best_match(fresh.select("id"), same, least).where("master is not null").select(F.col("id").alias("dup"), "master")
 
 
 def merge_sources(frames: Sequence[DataFrame]) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import views as v
 from ..functions import sql as sql_names
 from ..functions import tree
-from ..operators import catalog, hierarchy
+from ..functions.pairing import similar_pairs
+from ..functions.similarity import profile
+from ..operators import canonical, catalog, hierarchy, ingest
 from ..operators.name_index import NameIndex
 from ..session import new_folder
 from ..sources import extract
@@ -175,4 +177,36 @@ def _(s, d):
     return exact.join(told, "retailer").select("retailer", "n_products", (off <= 4 * 1.04 / 64 * F.col("n_products") + 1).alias("within"))  # four deviations of 2**12 cells
 
 
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    """Three products of each part: with its size, with a word more, and without a size; a part in fifty has no brand."""
+    part = v.table(s, d, "part")
+    brand = F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand"))
+    sized = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("ml"))
+    more = F.concat("p_name", F.lit(" extra "), F.col("p_size").cast("string"), F.lit(" ML"))
+    return part.select(F.inline(F.array(*[F.struct((F.col("p_partkey") * 3 + k).alias("id"), n.alias("name"), brand.alias("brand")) for k, n in enumerate((sized, more, F.col("p_name")))])))
+
+
+@_add("similar_products", """WITH p AS (SELECT p_partkey * 3 + k AS id, p_name AS core, CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS brand, CASE WHEN k < 2 THEN p_size END AS size, (k = 1)::INT AS more, length(p_name) AS n FROM part, range(3) r(k)),
+pairs AS (SELECT a.id AS a, b.id AS b, a.more <> b.more AS differ, coalesce(a.size <> b.size, FALSE) AS conflict, (a.size IS NULL) <> (b.size IS NULL) AS lack,
+  CASE WHEN a.brand IS NULL OR b.brand IS NULL THEN 0.5 WHEN a.brand = b.brand THEN 1.0 ELSE 0.0 END AS brand, 2.0 * (a.n + 6 * least(a.more, b.more)) / (a.n + b.n + 6 * a.more + 6 * b.more) AS r FROM p a JOIN p b ON a.core = b.core AND a.id < b.id),
+s AS (SELECT a, b, floor((0.7 * (0.5 * CASE WHEN differ THEN 2.0 / 3 ELSE 1.0 END + 0.5 * r) + 0.3 * brand - CASE WHEN lack THEN 0.15 ELSE 0 END - CASE WHEN differ THEN 0.13 ELSE 0 END) * 1000 + 0.5) / 1000 AS score FROM pairs WHERE NOT conflict)
+SELECT a, b, score FROM s WHERE score >= 0.72""", raw=True)
+def _(s, d):
+    return similar_pairs(profile(_variants(s, d)))
+
+
+@_add("block_at_ingest", """WITH p AS (SELECT p_partkey * 3 + k AS id, p_name AS core, CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS brand, CASE WHEN k < 2 THEN p_size END AS size, k, p_type FROM part, range(3) r(k))
+SELECT a.id AS dup, min(b.id) AS master FROM p a JOIN p b ON a.core = b.core AND a.brand = b.brand AND a.size = b.size AND a.p_type = b.p_type AND a.k = b.k AND a.k < 2 AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1
+UNION ALL SELECT a.id, min(b.id) FROM p a JOIN p b ON a.core = b.core AND a.brand = b.brand AND a.p_type = b.p_type AND a.k = 2 AND b.k = 2 AND a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1""", raw=True)
+def _(s, d):
+    kinds = v.table(s, d, "part").select(F.col("p_partkey").alias("_p"), F.col("p_type").alias("category"))
+    all_ = _variants(s, d).join(kinds, F.floor(F.col("id") / 3) == F.col("_p")).drop("_p").withColumn("canonical_id", F.lit(None).cast("long"))
+    return ingest.block_duplicates(all_.where("id % 2 = 1"), all_.where("id % 2 = 0"))
+
+
+@_add("fuzzy_candidates_named")
+def _(s, d):
+    return canonical.candidates(_variants(s, d).withColumn("canonical_id", F.lit(None).cast("long")))
+
+
 __all__: list[str] = []
