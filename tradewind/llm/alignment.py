@@ -34,7 +34,7 @@ from .common import stage
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Bytes of units and their groups that a worker remembers from block to block, each counted with 300 more.
-REMEMBERED = 32 << 20
+REMEMBERED = 112 << 20
 #: The pattern by which byte-level BPE cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 32
