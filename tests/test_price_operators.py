@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.operators import ingest, lists, timeseries
+from tradewind.operators import canonical, ingest, lists, timeseries
 from tradewind.streaming import prices
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,41 @@ def test_stream_drops_repeats(spark, tmp_path):
     events.unionByName(events.limit(50)).repartition(1).write.parquet(str(tmp_path / "events.parquet"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events.parquet")).withColumn("observed_at", F.col("ts").cast("timestamp"))
     assert prices.run_available(prices.deduplicated(stream, "4000 days"), "once", "append").count() == events.count()
+
+
+def test_sync_takes_the_last_of_repeated_rows(spark):
+    items = spark.createDataFrame([(1, "a", "c", 1), (2, "b", "c", 2)], "id long, name string, category string, qty int")
+    kinds = "server_id long, name string, cat string, category string, qty int"
+    rows = [(1, "first", None, None, 5), (1, "last", None, None, 6), (None, "new", "x", None, None), (None, "new", "x", None, None)]
+    gone = spark.createDataFrame([], "id long")
+    got = sorted(tuple(r) for r in lists.sync(items, spark.createDataFrame(rows, kinds).coalesce(1), gone).where("id is not null").collect())
+    assert got == [(1, "last", "c", 6), (2, "b", "c", 2)]
+    placed = spark.createDataFrame([(*rows[1], 1), (*rows[0], 2)], f"{kinds}, pos int")
+    assert [r.name for r in lists.sync(items, placed, gone).where("id = 1").collect()] == ["first"]
+    assert lists.sync(items, spark.createDataFrame(rows, kinds), gone).where("id is null").count() == 2
+
+
+def test_several_answers_are_taken_whole(spark):
+    queue = spark.createDataFrame([(1, 10, 20, "pending"), (2, 30, 40, "pending")], "candidate_id long, product_a long, product_b long, status string")
+    answers = spark.createDataFrame([(1, True, 10), (1, False, 20), (2, True, 40), (2, True, None)], "candidate_id long, approve boolean, into long")
+    now, links = canonical.resolve(queue, answers)
+    assert {(r.candidate_id, r.status) for r in now.collect()} == {(1, "rejected"), (2, "approved")}
+    assert [tuple(r) for r in links.collect()] == [(30, 40)]
+
+
+def test_preferred_product_wins_in_any_order(spark):
+    queue = spark.createDataFrame([(9, 4, 0.9, "pending"), (4, 9, 0.9, "pending"), (5, 6, 0.9, "pending")], "product_a long, product_b long, score double, status string")
+    got = canonical.merge_above(queue, 0.8, spark.createDataFrame([(9,)], "id long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(4, 9), (4, 9), (6, 5)]
+
+
+def test_an_item_added_again_stays(spark):
+    from datetime import datetime
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    shelf = spark.createDataFrame([(1, 7, "l", at(0))], "id long, user_id long, name string, updated_at timestamp")
+    items = spark.createDataFrame([], "id long, list_id long, product_id long, name string, qty int, added_at timestamp")
+    kinds = "at timestamp, kind string, list_id long, item_id long, user_id long, name string, product_id long, qty int"
+    events = [(at(1), "remove", 1, 5, None, None, None, None), (at(2), "add", 1, 5, None, "x", None, None), (at(2), "add", 1, 6, None, "y", None, None), (at(3), "remove", 1, 6, None, None, None, None)]
+    _, now = lists.apply_events(shelf, items, spark.createDataFrame(events, kinds))
+    assert [(r.id, r.name) for r in now.collect()] == [(5, "x")]

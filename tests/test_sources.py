@@ -62,6 +62,20 @@ def test_teaser_cards_and_identities(spark):
     assert got == {"11": ("One", None, 2.29), "12": (None, None, 5.0)}
 
 
+def test_cards_do_not_borrow_prices(spark):
+    """A card without a price takes none from its neighbour; labels and boxes around a figure decide; a list in a graph has names without their brand."""
+    html = (
+        '<ul><li><div><p class="sku">Κωδ: 1</p></div></li><li><div><p class="sku">Κωδ: 2</p><b>5,00 €</b></div></li>'
+        '<li><p class="sku">Κωδ: 3</p><span>Τιμή κιλού</span> <div class="price-box"><i class="old-price">4,00€</i><b>4,00</b> <b>€</b><em>3,00 €</em></div></li>'
+        '<li><p class="sku">Κωδ: 4</p><div><span>Τιμή κιλού</span><b>9,00€</b></div><p>2,00€</p></li></ul>'
+    )
+    rows = {r["sku"]: r["price"] for r in pages.teaser_cards(html)}
+    assert rows == {"1": None, "2": 5.0, "3": 3.0, "4": 2.0}
+    who = ld({"@graph": [{"@type": "Thing"}, {"@type": ["ItemList"], "itemListElement": [{"item": {"sku": "2", "name": "Acme Tea", "brand": "Acme", "url": "/tea"}}, "text"]}]}) + ld({"@type": "Other", "itemListElement": [{"sku": "4", "name": "not a list"}]})
+    got = {r.sku: (r.name, r.url) for r in pages.teaser_products(spark.createDataFrame([(1, html + who)], "page_id long, html string")).collect()}
+    assert got == {"2": ("Tea", "/tea"), "3": (None, None), "4": (None, None)}
+
+
 def test_plugin_cards_and_datalayer():
     plugin = "data-plugin-product='{\"sku\": 5, \"stock\": {\"available\": \"3\"}}'"
     html = f'<div class="product x"><a href="/u" title="Name">t</a><div {plugin}></div><p class="priceKil">1,36 €/λίτρο</p><div class="previous"><b class="price" data-price="2,00">2</b></div><b class="price">1,80 €</b></div>'
@@ -107,6 +121,15 @@ def test_sitemaps(spark):
 def test_fetching(spark):
     slept, answers = [], {"u": [(503, {}, b""), (429, {"Retry-After": "7"}, b""), (200, {}, b"ok")], "gone": [(404, {}, b"")], "down": [(500, {}, b"")] * 3}
     get = crawl.polite(lambda u: answers[u].pop(0), sleep=slept.append)
+    broken = iter([TimeoutError(), ConnectionResetError(), (200, {}, b"late")])
+
+    def unsteady(_):
+        told = next(broken)
+        if isinstance(told, Exception):
+            raise told
+        return told
+
+    assert crawl.polite(unsteady, sleep=lambda _: None)("u") == b"late"
     assert (get("u"), get("gone"), get("down")) == (b"ok", None, None) and slept == [2.0, 7.0, 2.0, 4.0, 8.0]
     urls = spark.createDataFrame([("a",), ("b",), ("a",)], "url string")
     got = {r.url: bytes(r.content) for r in crawl.fetch_all(urls, lambda u: (200, {}, u.encode()), workers=2, pace=0.0).collect()}

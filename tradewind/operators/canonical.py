@@ -21,9 +21,9 @@ def exact_links(keyed: DataFrame) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """(dup, master) with every chain followed to its end; the members of a cycle, and chains into it, end at its least id.
 
-    Pointer doubling: after k rounds a pointer spans 2**k links, so as many rounds as the
-    number of links has bits reach every end. A pointer that still has a successor then lies
-    on a cycle that its path has been all around. Of several masters of one dup the least
+    Pointer doubling: after k rounds a pointer spans 2**k links; rounds end when no pointer has a
+    successor, or after as many as the number of links has bits. A pointer that still has one
+    then lies on a cycle that its path has been all around. Of several masters of one dup the least
     counts; links to oneself are none. Each round is one join, kept by checkpoint().
     """
     now = kept(links.where("dup <> master").groupBy("dup").agg(F.min("master").alias("next")).withColumn("low", F.least("dup", "next")))
@@ -33,6 +33,8 @@ def roots(links: DataFrame) -> DataFrame:
         return rows.join(up, "next", "left")
 
     for _ in range(now.count().bit_length()):
+        if now.select("next").join(now.select(F.col("dup").alias("next")), "next", "left_semi").isEmpty():
+            break
         now = kept(onward(now).select("dup", F.coalesce("_next", "next").alias("next"), F.least("low", "_low").alias("low")))
     return onward(now).select("dup", F.coalesce("_low", "next").alias("master")).where("dup <> master")
 
@@ -101,10 +103,12 @@ def review_queue(queue: DataFrame, products: DataFrame, limit: int = 200) -> Dat
 def resolve(queue: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queue, links) after `answers` (candidate_id, approve boolean, into): approved pairs are linked.
 
-    The master is `into` if it is one of the two, else product_a. An unknown candidate changes nothing.
+    The master is `into` if it is one of the two, else product_a. An unknown candidate changes
+    nothing. Of several answers to one candidate that with the greatest `into` counts, and of
+    those one that approves.
     """
-    told = answers.groupBy("candidate_id").agg(F.max_by("approve", F.coalesce("into", F.lit(-1))).alias("approve"), F.max("into").alias("into"))
-    both = queue.join(told, "candidate_id", "left")
+    told = answers.groupBy("candidate_id").agg(F.max(F.struct(F.col("into").cast("long").alias("into"), "approve")).alias("t"))
+    both = queue.join(told.select("candidate_id", "t.into", "t.approve"), "candidate_id", "left")
     status = F.when(F.col("approve"), "approved").when(~F.col("approve"), "rejected").otherwise(F.col("status"))
     a, b = F.col("product_a"), F.col("product_b")
     master = F.when(F.col("into").isin(a, b), F.col("into")).otherwise(a)
@@ -131,14 +135,14 @@ def decision_counts(imported: DataFrame) -> DataFrame:
 def merge_above(queue: DataFrame, threshold: float, preferred: DataFrame) -> DataFrame:
     """(dup, master) for pending candidates at or over `threshold`, clamped to [0.8, 1].
 
-    product_b wins if it alone is in `preferred` (id); else the lesser id does.
+    The product that alone is in `preferred` (id) wins; else the lesser id does.
     """
     level = min(1.0, max(0.8, threshold))
     hot = queue.where((F.col("status") == "pending") & (F.col("score") >= level) & (F.col("product_a") != F.col("product_b")))
     mark = lambda side: preferred.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_pref")).distinct()
     both = hot.join(mark("product_a"), "product_a", "left").join(mark("product_b"), "product_b", "left")
-    b_wins = F.coalesce("product_b_pref", F.lit(False)) & ~F.coalesce("product_a_pref", F.lit(False))
-    master = F.when(b_wins, F.col("product_b")).otherwise(F.least("product_a", "product_b"))
+    a, b = F.coalesce("product_a_pref", F.lit(False)), F.coalesce("product_b_pref", F.lit(False))
+    master = F.when(b & ~a, F.col("product_b")).when(a & ~b, F.col("product_a")).otherwise(F.least("product_a", "product_b"))
     return both.select((F.col("product_a") + F.col("product_b") - master).alias("dup"), master.alias("master"))
 
 

@@ -50,8 +50,9 @@ def apply_events(lists: DataFrame, items: DataFrame, events: DataFrame) -> tuple
     all_ = lists.select("id", "user_id", "name", "updated_at").unionByName(made).join(dead, "id", "left_anti").join(named, "id", "left").join(touched, "id", "left")
     now = all_.select("id", "user_id", F.coalesce("_name", "name").alias("name"), F.greatest("updated_at", "_at").alias("updated_at"))
     added = events.where("kind = 'add'").select(F.col("item_id").alias("id"), "list_id", "product_id", F.coalesce("name", F.lit("(item)")).alias("name"), F.coalesce("qty", F.lit(1)).alias("qty"), F.col("at").alias("added_at"))
-    gone = events.where("kind = 'remove'").select(F.col("item_id").alias("id")).distinct()
-    kept = items.select("id", "list_id", "product_id", "name", "qty", "added_at").unionByName(added).join(gone, "id", "left_anti").join(now.select(F.col("id").alias("list_id")), "list_id", "left_semi")
+    gone = events.where("kind = 'remove'").groupBy(F.col("item_id").alias("id")).agg(F.max("at").alias("_gone"))
+    every = items.select("id", "list_id", "product_id", "name", "qty", "added_at").unionByName(added).join(gone, "id", "left")
+    kept = every.where("_gone is null or added_at > _gone").drop("_gone").join(now.select(F.col("id").alias("list_id")), "list_id", "left_semi")
     return now, kept.select("id", "list_id", "product_id", "name", "qty", "added_at")
 
 
@@ -97,9 +98,14 @@ def totals(revalued: DataFrame) -> DataFrame:
 def sync(items: DataFrame, payload: DataFrame, deleted: DataFrame) -> DataFrame:
     """`items` (id, name, category, qty) after a client's sync: deletes, updates of known server_id, inserts of the rest.
 
-    Inserts have a null id; a missing name is '(item)', a missing quantity 1.
+    Inserts have a null id; a missing name is '(item)', a missing quantity 1. Of rows with one
+    server_id the last counts: by their column `pos` if there is one, else in the order of the frame.
     """
-    want = payload.select("server_id", F.coalesce("name", F.lit("(item)")).alias("n"), F.coalesce("cat", "category").alias("c"), F.coalesce("qty", F.lit(1)).alias("q"))
+    told = F.struct(F.coalesce("name", F.lit("(item)")).alias("n"), F.coalesce("cat", "category").alias("c"), F.coalesce("qty", F.lit(1)).alias("q"))
+    order = F.col("pos") if "pos" in payload.columns else F.monotonically_increasing_id()
+    rows = payload.select("server_id", told.alias("t"), order.alias("pos"))
+    last = rows.where("server_id is not null").groupBy("server_id").agg(F.max_by("t", "pos").alias("t"))
+    want = last.unionByName(rows.where("server_id is null").select("server_id", "t")).select("server_id", "t.*")
     left = items.join(deleted.select("id"), "id", "left_anti")
     kept = left.join(want, left.id == want.server_id, "left").select("id", F.coalesce("n", "name").alias("name"), F.coalesce("c", "category").alias("category"), F.coalesce("q", "qty").alias("qty"))
     new = want.join(left, want.server_id == left.id, "left_anti").select(F.lit(None).cast("long").alias("id"), F.col("n").alias("name"), F.col("c").alias("category"), F.col("q").alias("qty"))

@@ -160,7 +160,7 @@ def _(s, d):
 
 @_add("search_category", _search_sql("category = (SELECT min(category) FROM products)"))
 def _(s, d):
-    first = v.products(s, d).agg(F.min("category")).first()[0]
+    first = v.products(s, d).agg(F.min("category")).scalar()
     return catalog.search(v.products(s, d), v.price_obs(s, d), category=first)
 
 
