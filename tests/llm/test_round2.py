@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from tradewind.llm import decontaminate, line_dedup, simhash
 
 
@@ -100,3 +101,23 @@ def test_lines_with_changed_letters_go(spark):
 def test_short_equal_lines_go(spark):
     docs = spark.createDataFrame([(1, "All rights reserved\n\nok\nok!"), (2, "all rights reserved.\n--\nal rights reserved")], "doc_id long, text string")
     assert {r.doc_id: r.removed for r in line_dedup.report(docs).collect()} == {1: [3], 2: [0]}
+
+
+def test_components_are_joined_by_links_alone():
+    """Of two pairs between the same two groups, one just under the similarity and one over it, the second joins them."""
+    a = np.arange(200, dtype=np.uint64)
+    low, high = np.concatenate((a[:177], a[:23] + 1000)), np.concatenate((a[:190], a[:10] + 2000))
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    sets = [a, low, a.copy(), high]
+    assert 0.79 < jaccard(a, low) < 0.8 < 0.9 < jaccard(a, high)
+    assert simhash._alike([(0, 1), (2, 3)], [np.sort(x) for x in sets], [1, 2, 1, 2], 0.8) == [(2, 3)]
+
+
+def test_ids_make_no_link(spark):
+    """Rows without an id, or with the same one, are linked by their fingerprints only."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, b), (5, a), (9, b), (-1, c), (7, c), (7, a), (None, "alone"), (None, None), (3, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 5), (None, 9), (5, 5), (9, 9), (-1, -1), (7, -1), (7, 5), (None, None), (None, 3), (3, 3)]
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, want))
+    assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -310,7 +310,7 @@ def _pairs_in(key: int, fps: list[bytes], reps: list[int], sizes: list[int], com
 
 
 def _alike(pairs: list[tuple[int, int]], sets: list[np.ndarray], comps: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Those of `pairs` (places in `sets`) whose sets are similar, but for such as others have joined by then."""
+    """Those of `pairs` (places in `sets`) whose sets are similar, but for such as other ones of these have joined by then."""
     root = {c: c for c in comps}
 
     def find(c: int) -> int:
@@ -336,8 +336,8 @@ def _alike(pairs: list[tuple[int, int]], sets: list[np.ndarray], comps: list[int
 def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFrame:
     """(key, u, v, open) for members (key, fp, rep, n); see :func:`_pairs_in`.
 
-    With `component` and `sets` (the shingles' lower 32 bits) too, the pairs are compared in
-    the shard, and only those leave it that join components.
+    With `component` and `sets` (the shingles' hashes) too, the pairs are compared in the shard
+    by all of their shingles, and only links leave it that join components: what is joined there is a link.
     """
     told = "component" in members.columns
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -373,7 +373,7 @@ def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFram
                     sizes.append(n)
                     if told:
                         comps.append(more[0])
-                        sets.append(np.frombuffer(more[1], dtype="<u4"))
+                        sets.append(np.frombuffer(more[1], dtype="<u8"))
             yield out()
         close()
         yield out()
@@ -383,12 +383,12 @@ def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFram
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, sets): the sorted lower 32 bits of the shingle hashes of (rep, text)."""
+    """(rep, sets): the sorted shingle hashes of (rep, text)."""
 
     @F.pandas_udf("binary")
     def low(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.unique(shingle_hashes(x, width).astype("<u4")).tobytes() for x in batch])
+            yield pd.Series([np.unique(shingle_hashes(x, width)).astype("<u8").tobytes() for x in batch])
 
     return texts.select("rep", low("text").alias("sets"))
 
@@ -448,7 +448,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = stage(rest.join(mixed, "key", "left_semi"), "copy-rest")
     asked = stage(rest.select("rep").distinct().join(places, "rep"), "copy-places")
     sets = _sets(texts.join(asked, ["file", "row"]).select("rep", "text"), width)
-    more = stage(_shard_pairs(rest.join(sets, "rep"), radius, similarity - 0.01), "copy-near")
+    more = stage(_shard_pairs(rest.join(sets, "rep"), radius, similarity), "copy-near")
     if not more.isEmpty():
         linked = components(links.unionByName(check(more)))
     named = slim.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("file", "row", "id", F.coalesce("component", "rep").alias("component"))
@@ -462,18 +462,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the least id that links reach, through fingerprints that differ in at
     most `radius` bits. With `keys` 0 and one lane this is exact; with `keys`, candidates come
-    from shards of that many least shingle hashes, and all within the radius link. A text without words, or null, has fingerprint zero and links like any
-    other. Rows that share an id share a component; a null id counts as -1. An empty table
-    gives an empty table, and other columns are not looked at. Equal fingerprints are one
-    node, whatever their number.
+    from shards of that many least shingle hashes, and all within the radius link. A text without
+    words, or null, has fingerprint zero and links like any other. Ids make no link: rows may
+    share one, or have none, which stays null and counts for no component_id; that is null where
+    no row of the component has an id. An empty table gives an empty table, and other columns are
+    not looked at. Equal fingerprints are one node, whatever their number.
     """
     made = fingerprints(F.col(text_col), width, lanes, keys)
-    slim = stage(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long")).alias("id"), made.alias("m")).select("id", F.col("m.fp").alias("fp"), F.col("m.least").alias("least")), "prints")
-    prints = stage(slim.groupBy("fp").agg(F.min("id").alias("rep"), *([F.min_by("least", "id").alias("least")] if keys else [])), "distinct-prints")
+    slim = stage(docs.select(F.col(id_col).cast("long").alias("id"), made.alias("m")).select("id", F.col("m.fp").alias("fp"), F.col("m.least").alias("least")), "prints")
+    prints = slim.groupBy("fp").agg(F.min("id").alias("low"), *([F.min("least").alias("least")] if keys else []))
+    prints = stage(prints.withColumn("rep", F.monotonically_increasing_id()), "distinct-prints")
     members = sketch_shards(prints, keys, radius, limit) if keys else block_shards(prints, radius, limit)
-    # rows that share an id but not a text have several fingerprints: their representatives are linked too
-    own = slim.select("id", "fp").distinct().join(prints.select("fp", "rep"), "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    shared = own.join(slim.select("id", "fp").distinct().groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("id").alias("u")), "u", "left_semi")
-    linked = components(_link_shards(members, radius).unionByName(shared))
-    named = prints.select("fp", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    linked = components(_link_shards(members, radius)).withColumnRenamed("node", "rep")
+    linked = linked.unionByName(linked.select(F.col("component").alias("rep"), "component").distinct())  # with the least nodes themselves
+    joined = stage(linked.join(prints.select("rep", "low"), "rep"), "components")
+    least = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = prints.select("rep", "fp", "low").join(joined.join(least, "component").select("rep", "component_id", F.lit(True).alias("met")), "rep", "left")
+    named = named.select("fp", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))  # one that has no link is alone
     return slim.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
