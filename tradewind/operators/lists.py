@@ -68,8 +68,9 @@ def review(items: DataFrame, offers: DataFrame) -> DataFrame:
 
 def cheapest(offers: DataFrame) -> DataFrame:
     """(product_id, best_retailer, best_price): the least price, ties to the least retailer."""
-    best = offers.where("price is not null").groupBy("product_id").agg(F.min(F.struct("price", "retailer")).alias("m"))
-    return best.select("product_id", F.col("m.retailer").alias("best_retailer"), F.col("m.price").alias("best_price"))
+    # by product and price, then by product: both hash aggregations, after one shuffle by product
+    at_price = offers.where("price is not null").repartition("product_id").groupBy("product_id", "price").agg(F.min("retailer").alias("retailer"))
+    return at_price.groupBy("product_id").agg(F.min_by("retailer", "price").alias("best_retailer"), F.min("price").alias("best_price"))
 
 
 def plan(items: DataFrame, offers: DataFrame) -> DataFrame:

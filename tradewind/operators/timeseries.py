@@ -30,13 +30,16 @@ def offer_changes(obs: DataFrame, days: int) -> DataFrame:
 
     Baseline: the newest observation at or before the cutoff, if its price is over 0. Where
     several observations share a time, the change is between their extremes, for no other
-    pair of theirs can be larger. One aggregation by offer, combined before the shuffle.
+    pair of theirs can be larger.
     """
     cut = obs.join(F.broadcast(now_of(obs)), how="cross").withColumn("past", F.col("observed_at") <= F.col("now") - F.expr(f"interval {int(days)} days"))
-    price, above = F.col("price"), F.when(F.col("price") > 0, F.col("price"))
-    top = lambda p, sign, when=None: F.max(F.struct("observed_at", (sign * p).alias("p")) if when is None else F.when(when, F.struct("observed_at", (sign * p).alias("p"))))
-    ends = cut.groupBy(*OFFER).agg(top(price, 1).alias("n1"), top(price, -1).alias("n2"), top(above, 1, F.col("past")).alias("o1"), top(above, -1, F.col("past")).alias("o2"))
-    pairs = ends.select(*OFFER, F.col("n1.observed_at").alias("observed_at"), F.explode(F.array(F.col("n1.p"), -F.col("n2.p"))).alias("new"), F.array(F.col("o1.p"), -F.col("o2.p")).alias("_o"))
+    price = F.col("price")
+    above = F.when(price > 0, price)
+    # first by offer and time, then by offer: plain columns, so both are hash aggregations, after one shuffle by offer
+    times = cut.repartition(*OFFER).groupBy(*OFFER, "observed_at", "past").agg(F.max(price).alias("n1"), F.min(price).alias("n2"), F.max(above).alias("o1"), F.min(above).alias("o2"))
+    newest, last_past = F.col("observed_at"), F.when(F.col("past"), F.col("observed_at"))
+    ends = times.groupBy(*OFFER).agg(F.max("observed_at").alias("observed_at"), *[F.max_by(c, newest).alias(c) for c in ("n1", "n2")], *[F.max_by(c, last_past).alias(c) for c in ("o1", "o2")])
+    pairs = ends.select(*OFFER, "observed_at", F.explode(F.array("n1", "n2")).alias("new"), F.array("o1", "o2").alias("_o"))
     pairs = pairs.select(*OFFER, "observed_at", "new", F.explode("_o").alias("old")).where("old is not null and new is not null and old <> new")
     return pairs.withColumn("pct", (F.col("new") - F.col("old")) / F.col("old") * 100)
 

@@ -240,7 +240,8 @@ def _(s, d):
 _ITEMS = """, it AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'item ' || (l_partkey % 9) AS name, l_returnflag AS category, l_quantity::INT AS qty, l_orderkey AS k FROM lineitem WHERE l_orderkey % 10 = 1)"""
 
 
-@_add("list_sync", _ITEMS + """, want AS (SELECT CASE WHEN k % 20 = 1 THEN id END AS server_id, CASE WHEN k % 30 <> 1 THEN 'new ' || id END AS name, 'cat' AS category, CASE WHEN k % 40 <> 1 THEN 7 END AS qty FROM it WHERE k % 3 = 1),
+@_add("list_sync", _ITEMS + """, asked AS (SELECT CASE WHEN k % 20 = 1 THEN id END AS server_id, CASE WHEN k % 30 <> 1 THEN 'new ' || id END AS name, 'cat' AS category, CASE WHEN k % 40 <> 1 THEN 7 END AS qty FROM it WHERE k % 3 = 1),
+want AS (SELECT DISTINCT * FROM asked WHERE server_id IS NOT NULL UNION ALL SELECT * FROM asked WHERE server_id IS NULL), -- rows of one id say the same here
 kept AS (SELECT * FROM it WHERE k % 7 <> 3)
 SELECT id, CASE WHEN server_id IS NULL THEN i.name ELSE coalesce(w.name, '(item)') END AS name, coalesce(w.category, i.category) AS category, CASE WHEN server_id IS NULL THEN i.qty ELSE coalesce(w.qty, 1) END AS qty FROM kept i LEFT JOIN want w ON server_id = id
 UNION ALL SELECT NULL, coalesce(name, '(item)'), category, coalesce(qty, 1) FROM want WHERE server_id IS NULL OR server_id NOT IN (SELECT id FROM kept)""")
