@@ -212,3 +212,54 @@ def test_commands(spark, tmp_path):
     made = run(spark, [*data, "export", str(tmp_path / "out")]).first()
     assert run(spark, [*data, "sync", str(tmp_path / "out/array")]).first().ingested == made.n_rows
     assert run(spark, [*data, "purge", "ASIA"]).where("retailer = 'ASIA'").count() == 0
+
+
+def test_writing_commands(spark, tmp_path):
+    """purge and backup write, scrape folds a batch in once, dedup --prune scores a queue anew."""
+    data = ["--data", "/root/testdata/sf0.001"]
+    run(spark, [*data, "purge", "ASIA", "--out", str(tmp_path / "left")])
+    offers, prices = (spark.read.parquet(str(tmp_path / "left" / t)) for t in ("offers", "prices"))
+    assert offers.where("retailer = 'ASIA'").isEmpty() and offers.count() == prices.select("product_id", "retailer").distinct().count() > 0
+    for name in ("b1", "b3", "b2"):
+        left = [r.name for r in run(spark, [*data, "backup", str(tmp_path / "backups"), "--name", name, "--keep", "2"]).collect()]
+    assert left == ["b3", "b2"] and {p.name for p in (tmp_path / "backups").iterdir() if not p.name.startswith(".")} == {"b3", "b2"}
+    card = '<div class="product-thumb" data-product-id="7"><h4>Acme Tea 1lt</h4><b class="price_wrapper">2,00€</b></div>'
+    spark.createDataFrame([(1, "/u", card, None)], "page_id long, url string, html string, observed_at timestamp").withColumn("observed_at", F.lit("2024-01-02").cast("timestamp")).write.parquet(str(tmp_path / "pages"))
+    for _ in range(2):
+        got = run(spark, [*data, "scrape", str(tmp_path / "pages"), "thumb_cards", "shop", str(tmp_path / "store"), "--batch", "0"])
+        assert [(r.product_key, r.retailer, r.sku) for r in got.collect()] == [("nb:acme tea 1lt|", "shop", "7")]
+    kinds = "candidate_id long, product_a long, product_b long, score double, status string"
+    spark.createDataFrame([(1, 0, 10**9, 0.9, "pending"), (2, 0, 10**9, 0.9, "approved")], kinds).write.parquet(str(tmp_path / "queue"))
+    assert [r.candidate_id for r in run(spark, [*data, "dedup", "--prune", str(tmp_path / "queue")]).collect()] == [2]
+
+
+def test_ingest_of_a_source(spark):
+    """From found urls to folded rows: failures, an unpriced page, a repeated sku, and a source that refuses."""
+    from datetime import datetime
+
+    card = lambda sku, price: f'<div class="product-thumb" data-product-id="{sku}"><h4>Tea {sku} 1lt</h4><b class="price_wrapper">{price}</b></div>'.encode()
+    shop = {"/1": card(1, "1,50€"), "/2": b"<p>nothing</p>", "/3": card(1, "9,00€"), "/4": card(2, "2,50€")}
+
+    def fetch(url):
+        if url not in shop:
+            raise ConnectionResetError
+        return 200, {}, shop[url]
+
+    urls = spark.createDataFrame([(k, f"/{n}") for k, n in enumerate([1, 2, 99, 3, 4, *range(100, 112)])], "seq long, url string")
+    products = spark.createDataFrame([], "product_key string, name string, brand string, category string, image_url string, first_seen timestamp, last_seen timestamp, size_dim string, size_value double")
+    offers = spark.createDataFrame([], "product_key string, retailer string, sku string, url string, first_seen timestamp, last_seen timestamp")
+    p, o, seen, report = readers.ingest_source(urls, fetch, "thumb_cards", "shop", F.lit(datetime(2024, 1, 2)), products, offers, pace=0.0, tries=1)
+    assert sorted((r.sku, r.price) for r in seen.collect()) == [("1", 1.5), ("2", 2.5)]
+    assert p.count() == o.count() == 2
+    assert [tuple(r) for r in report.collect()] == [("shop", 4, 9, 4, 1, True)]
+
+
+def test_review_sheet_columns(spark, tmp_path):
+    from tradewind.operators import canonical
+
+    queue = spark.createDataFrame([(1, 5, 6, 0.8, "pending")], "candidate_id long, product_a long, product_b long, score double, status string")
+    products = spark.createDataFrame([(5, "a", "B", "c"), (6, "d", None, "e")], "id long, name string, brand string, category string")
+    obs = spark.createDataFrame([(5, "x"), (5, "y")], "product_id long, retailer string")
+    snapshot.write_review(canonical.export_candidates(queue, products, obs), str(tmp_path / "sheet"))
+    (row,) = spark.read.csv(str(tmp_path / "sheet"), header=True).collect()
+    assert len(row) == 14 and (row.category_a, row.category_b, row.retailers_a) == ("c", "e", "x,y")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantity import match_key
-from ..functions.pairing import similar_pairs
+from ..functions.pairing import scored, similar_pairs
 from ..functions.similarity import PREFILTER, SUGGEST, pair_cosines, profile, tfidf_units
 from ..functions.text import decision
 from ..session import kept
@@ -93,6 +93,14 @@ def prune(queue: DataFrame, rescored: DataFrame, least: float = SUGGEST) -> Data
     return both.where(~pending | (F.coalesce("fresh", F.lit(0.0)) >= least)).withColumn("score", F.when(pending, F.col("fresh")).otherwise(F.col("score"))).drop("fresh")
 
 
+def rescored(queue: DataFrame, products: DataFrame) -> DataFrame:
+    """(product_a, product_b, score) of the pending rows of `queue` as they score now; a product that is gone, or is a duplicate by now, scores 0."""
+    known = profile(products.where("canonical_id is null"))
+    pairs = queue.where("status = 'pending'").select(F.col("product_a").alias("a"), F.col("product_b").alias("b"))
+    now = scored(pairs, known, known, 0.0).select(F.col("a").alias("product_a"), F.col("b").alias("product_b"), "score")
+    return pairs.select(F.col("a").alias("product_a"), F.col("b").alias("product_b")).join(now, ["product_a", "product_b"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def review_queue(queue: DataFrame, products: DataFrame, limit: int = 200) -> DataFrame:
     """Pending candidates with both products' names and brands, best score first, ties by pair."""
     side = lambda s: products.select(F.col("id").alias(f"product_{s}"), F.col("name").alias(f"name_{s}"), F.col("brand").alias(f"brand_{s}"))
@@ -149,6 +157,6 @@ def merge_above(queue: DataFrame, threshold: float, preferred: DataFrame) -> Dat
 def export_candidates(queue: DataFrame, products: DataFrame, obs: DataFrame, status: str | None = None) -> DataFrame:
     """Candidates with both products' names and retailers and a blank decision, for review."""
     shops = obs.groupBy("product_id").agg(F.array_join(F.sort_array(F.collect_set("retailer")), ",").alias("retailers"))
-    side = lambda s: products.join(shops, products.id == shops.product_id, "left").select(F.col("id").alias(f"product_{s}"), F.col("name").alias(f"name_{s}"), F.col("brand").alias(f"brand_{s}"), F.coalesce("retailers", F.lit("")).alias(f"retailers_{s}"))
+    side = lambda s: products.join(shops, products.id == shops.product_id, "left").select(F.col("id").alias(f"product_{s}"), F.col("name").alias(f"name_{s}"), F.col("brand").alias(f"brand_{s}"), F.col("category").alias(f"category_{s}"), F.coalesce("retailers", F.lit("")).alias(f"retailers_{s}"))
     rows = queue if status is None else queue.where(F.col("status") == status)
     return rows.join(side("a"), "product_a").join(side("b"), "product_b").withColumn("decision", F.lit(""))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # The columns of a published snapshot and of the candidates' review sheet, in order.
 COLUMNS = ["product", "brand", "category", "retailer", "price", "list_price", "in_stock", "sku", "url", "observed_at"]
-REVIEW = ["candidate_id", "decision", "score", "status", "product_a", "name_a", "brand_a", "retailers_a", "product_b", "name_b", "brand_b", "retailers_b"]
+REVIEW = ["candidate_id", "score", "status", "decision", "product_a", "name_a", "brand_a", "category_a", "retailers_a", "product_b", "name_b", "brand_b", "category_b", "retailers_b"]
 
 
 def rows(latest_rows: DataFrame, products: DataFrame) -> DataFrame:
@@ -80,3 +80,24 @@ def offline_page(catalogue: DataFrame, products: DataFrame, changes: DataFrame,
 def newest(names: DataFrame, keep: int) -> DataFrame:
     """The newest `keep` backup names; the others may go."""
     return names.orderBy(F.desc("name")).limit(keep)
+
+
+def back_up(frames: dict[str, DataFrame], folder: str, name: str, keep: int) -> list[str]:
+    """Write `frames` by name below `folder`/`name` as Parquet and remove all but the newest `keep` backups there, by name; the names that are left, newest first.
+
+    A backup counts when its last table is written; one that broke off is overwritten by the next of its name.
+    """
+    if keep < 1:
+        raise ValueError("the backup just made is kept")
+    spark = next(iter(frames.values())).sparkSession
+    for table, rows in frames.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/{table}")
+    last = list(frames)[-1]
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [s.getPath().getName() for s in files.listStatus(path) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), f"{last}/_SUCCESS"))]
+    left = sorted(whole, reverse=True)
+    for old in left[keep:]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(path, old), True)
+    return left[:keep]
