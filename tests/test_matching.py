@@ -177,3 +177,12 @@ def test_review_loop(spark):
     split = canonical.unmerge(merged, spark.createDataFrame([(3,)], "id long"))
     assert {r.id: r.canonical_id for r in split.collect()}[3] is None
     assert {tuple(r) for r in canonical.merge_above(queue, 0.1, spark.createDataFrame([(3,)], "id long")).collect()} == {(2, 1), (2, 3)}
+
+
+def test_marks_of_all_scripts_go(spark):
+    """Combining marks of any script are taken off, as a decomposition without them does."""
+    import unicodedata
+
+    texts = ["e\u0301te", "\u05e9\u05b8\u05dc\u05d5\u05b9\u05dd", "\u0645\u064f\u062d\u0645\u064e\u062f", "\u0439\u043e\u0434 \u0451\u043b\u043a\u0430", "a\u20d7b\ufe20"]
+    got = [r.t for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", text.strip_accents(F.col("t")).alias("t")).orderBy("k").collect()]
+    assert got == ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in texts]

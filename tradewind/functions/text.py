@@ -26,7 +26,7 @@ def _plain() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             to.append(base)
         elif base:
             many.append((c, base))
-    marks = [chr(x) for x in range(0x300, 0x370) if unicodedata.combining(chr(x))]
+    marks = [chr(x) for x in range(0x300, 0x10000) if unicodedata.combining(chr(x))]
     return "".join([*one, *marks]), "".join(to), tuple(many)
 
 
