@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from tradewind.llm import decontaminate, line_dedup, simhash
+from tradewind.llm import decontaminate, line_dedup, simhash, url_filter
 
 
 def test_edited_copies_join_whatever_their_order(spark):
@@ -121,3 +121,13 @@ def test_ids_make_no_link(spark):
     want = [(None, 5), (None, 9), (5, 5), (9, 9), (-1, -1), (7, -1), (7, 5), (None, None), (None, 3), (3, 3)]
     assert sorted(map(str, ((r.doc_id, r.component_id) for r in got))) == sorted(map(str, want))
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rules_with_one_string_count_alike_at_every_size(spark, monkeypatch):
+    """The last of them decides, whether the rules are mapped or joined."""
+    rules = [url_filter.Rule("net", "/", "block"), url_filter.Rule("net", "/", "allow"), url_filter.Rule("org", "/", "allow"), url_filter.Rule("org", "/", "block")]
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://org/"), (3, None)], "page_id long, url string")
+    mapped = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    monkeypatch.setattr(url_filter, "MAX_RULES", 1)
+    joined = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert mapped == joined == {1: ("net/", "allow"), 2: ("org/", "block"), 3: (None, "allow")}

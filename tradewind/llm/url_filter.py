@@ -138,7 +138,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") -
     size is bounded: more than MAX_RULES rules are joined with the urls instead.
     """
     if len(rules) > MAX_RULES:
-        return join_rules(pages, pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string"), url_col)
+        return join_rules(pages, pages.sparkSession.createDataFrame([(r.host, r.path, r.verdict, k) for k, r in enumerate(rules)], "host string, path string, verdict string, seq long"), url_col)
     tag = f"urlrules-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="urlrules-")  # executors fetch the files from the driver when they first need them
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -160,9 +160,11 @@ def join_rules(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     """:func:`filter_urls` for any number of `rules` (host, path, verdict), which are joined by their strings and not shipped.
 
     Each distinct host and path is looked up under every tail of the host and every length
-    of path that a rule has; of rules with the same string the greater verdict counts.
+    of path that a rule has; of rules with the same string that of the greatest `seq` counts, as
+    the last one does there, or without such a column the greater verdict.
     """
-    known = rules.groupBy(F.concat("host", "path").alias("_text")).agg(F.max("verdict").alias("_verdict"), F.max(F.length("path")).alias("_path"))
+    order = F.col("seq") if "seq" in rules.columns else F.col("verdict")
+    known = rules.groupBy(F.concat("host", "path").alias("_text")).agg(F.max_by("verdict", order).alias("_verdict"), F.max(F.length("path")).alias("_path"))
     lengths = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("_lengths"))
     out = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     asked = out.where("host <> ''").select("host", "path").distinct().crossJoin(F.broadcast(lengths))  # one row
