@@ -16,7 +16,7 @@ from tradewind.plans import registry
 
 NAMES = [
     "latest_prices", "biggest_changes_365", "search_basic", "product_offers", "list_revaluate", "list_totals", "stats", "export_catalog", "snapshot_rows", "price_mode", "upsert_product_fold", "event_latest", "event_tumbling",
-    "movers_up", "list_review", "group_offers", "canonical_roots",
+    "movers_up", "list_review", "group_offers", "canonical_roots", "token_blocking_pairs", "fuzzy_candidates", "event_sessions", "search_indexed",
 ]
 
 

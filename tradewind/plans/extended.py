@@ -9,7 +9,7 @@ from .. import views as v
 from ..functions import sql as sql_names
 from ..functions import tree
 from ..functions.pairing import similar_pairs
-from ..functions.similarity import profile
+from ..functions.similarity import profile, tfidf_pairs
 from ..operators import canonical, catalog, hierarchy, ingest
 from ..operators.name_index import NameIndex
 from ..session import new_folder
@@ -204,6 +204,19 @@ def _(s, d):
     return ingest.block_duplicates(all_.where("id % 2 = 1"), all_.where("id % 2 = 0"))
 
 
+@_add("tfidf_name_pairs", """, t AS (SELECT id, lower(name || ' ' || brand) AS x FROM products WHERE canonical_id IS NULL),
+w AS (SELECT id, ' ' || unnest(list_filter(string_split(x, ' '), lambda q: q <> '')) || ' ' AS w FROM t),
+g AS (SELECT id, unnest(CASE WHEN length(w) > n THEN list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n)) ELSE [w] END) AS g FROM w, (VALUES (2), (3), (4)) r(n)),
+tf AS (SELECT id, g, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT g, count(*) AS df FROM tf GROUP BY g),
+wt AS (SELECT id, g, tf * (ln((1 + (SELECT count(*) FROM t)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (g)),
+u AS (SELECT id, g, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wt),
+c AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS cosine FROM u a JOIN u b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT a, b, floor(cosine * 10000 + 0.5) / 10000 AS cosine FROM c WHERE cosine >= 0.8 - 1e-12""")
+def _(s, d):
+    texts = v.products(s, d).where("canonical_id is null").select("id", F.lower(F.concat_ws(" ", "name", "brand")).alias("text"))
+    return tfidf_pairs(texts, 0.8).select("a", "b", (F.floor(F.col("cosine") * 10000 + 0.5) / 10000).alias("cosine"))
+
+
 @_add("fuzzy_candidates_named")
 def _(s, d):
     return canonical.candidates(_variants(s, d).withColumn("canonical_id", F.lit(None).cast("long")))
