@@ -99,3 +99,41 @@ def test_run_applies_the_stages(spark):
     out = cp.run(spark, SF)
     assert out.columns == [*cp.COLUMNS, "size", "text_crc32", "shard", "slot"]
     assert 0 < out.count() < read_table(spark, SF, "documents").count()
+
+
+def test_decontamination_by_windows(spark, docs):
+    """What stays has no window of ten words of any item, and a shorter item nowhere; told by plain Python from the contract's words."""
+    import re
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for item in read_table(spark, SF, "benchmark").collect():
+        w = words(item.text)
+        n = min(10, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    sizes = {len(x) for x in windows}
+
+    def leaks(t):
+        w = words(t)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    rows = docs.collect()
+    want = Counter((r.doc_id, r.source) for r in rows if not leaks(r.text))
+    assert keys(cp.benchmark_decontamination(spark, docs, SF)) == want and len(want) < len(rows)
+
+
+def test_quality_by_base_rules(spark, docs):
+    """No document that the base rules reject stays: under ten words, or over a fifth of its words in repeated windows of five."""
+
+    def rejected(t):
+        w = (t or "").encode().split()
+        at = defaultdict(list)
+        for i in range(len(w) - 4):
+            at[tuple(w[i : i + 5])].append(i)
+        repeated = {p for places in at.values() if len(places) > 1 for i in places for p in range(i, i + 5)}
+        return len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+
+    bad = {r.doc_id for r in docs.collect() if rejected(r.text)}
+    kept = {r.doc_id for r in cp.quality_rules(spark, docs, SF).collect()}
+    assert bad and not bad & kept and len(kept) > docs.count() / 2
