@@ -14,7 +14,7 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from .quantity import MULTIPACK, NUMBERED, PROMO, SIZE, UNITS
-from .text import STOP_WORDS, accent_map
+from .text import ACCENTED, STOP_WORDS, accent_map
 
 
 def _quoted(text: str) -> str:
@@ -25,9 +25,8 @@ def _quoted(text: str) -> str:
 def definitions() -> dict[str, str]:
     """The CREATE statements of the temporary functions, by name; each may call those before it."""
     plain, to, many = accent_map()
-    bare = f"translate(coalesce(x, ''), {_quoted(plain)}, {_quoted(to)})"
-    for char, base in many:
-        bare = f"replace({bare}, {_quoted(char)}, {_quoted(base)})"
+    pairs = ", ".join(f"named_struct('char', {_quoted(char)}, 'base', {_quoted(base)})" for char, base in many)
+    bare = f"CASE WHEN x RLIKE {_quoted(ACCENTED)} THEN aggregate(array({pairs}), translate(x, {_quoted(plain)}, {_quoted(to)}), (acc, p) -> replace(acc, p.char, p.base)) ELSE coalesce(x, '') END"
     units = ", ".join(f"{_quoted(u)}, named_struct('dim', '{dim}', 'factor', {factor}D)" for (dim, factor), names in UNITS.items() for u in names)
     size, pack, promo, numbered = map(_quoted, (SIZE, MULTIPACK, PROMO, NUMBERED))
     stop = ", ".join(map(_quoted, STOP_WORDS))
@@ -35,22 +34,32 @@ def definitions() -> dict[str, str]:
     kind = "STRUCT<dim: STRING, amount: DOUBLE>"
     # a function cannot be called with the variable of a lambda, so these two are put in as text there
     unit, number = (lambda x: f"try_element_at(map({units}), lower({x}))"), (lambda x: f"cast(replace({x}, ',', '.') AS DOUBLE)")
+    # what is called twice in a body is given to a function of its own, whose arguments are computed once
     bodies = {
         "tw_bare(x STRING) RETURNS STRING": f"lower({bare})",
         "tw_fold(x STRING) RETURNS STRING": f"trim(regexp_replace(tw_bare(x), {blank}, ' '))",
         "tw_brand(x STRING) RETURNS STRING": "trim(regexp_replace(tw_bare(x), '[^a-z0-9α-ω]+', ' '))",
         "tw_unit(x STRING) RETURNS STRUCT<dim: STRING, factor: DOUBLE>": unit("x"),
         "tw_number(x STRING) RETURNS DOUBLE": number("x"),
-        f"tw_sizes(x STRING) RETURNS ARRAY<{kind}>": f"zip_with(regexp_extract_all(tw_bare(x), {size}, 1), regexp_extract_all(tw_bare(x), {size}, 2), (n, u) -> named_struct('dim', {unit('u')}.dim, 'amount', round({number('n')} * {unit('u')}.factor, 3)))",
-        f"tw_pack(x STRING) RETURNS {kind}": f"CASE WHEN regexp_extract(tw_bare(x), {pack}, 1) <> '' THEN named_struct('dim', tw_unit(regexp_extract(tw_bare(x), {pack}, 3)).dim, 'amount', round(tw_number(regexp_extract(tw_bare(x), {pack}, 1)) * tw_number(regexp_extract(tw_bare(x), {pack}, 2)) * tw_unit(regexp_extract(tw_bare(x), {pack}, 3)).factor, 3)) END",
-        f"tw_size(x STRING) RETURNS {kind}": "coalesce(tw_pack(x), try_element_at(filter(tw_sizes(x), s -> s.dim <> 'pc'), -1), try_element_at(filter(tw_sizes(x), s -> s.dim = 'pc'), -1))",
-        "tw_tokens(x STRING) RETURNS ARRAY<STRING>": f"array_sort(filter(split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tw_bare(x), {pack}, ' '), {size}, ' '), '[^a-z0-9α-ω ]', ' '), ' +', ' ')), ' '), t -> t <> '' AND t NOT IN ({stop})))",
-        "tw_without(t ARRAY<STRING>, m ARRAY<STRING>) RETURNS ARRAY<STRING>": "CASE WHEN size(filter(t, w -> NOT array_contains(m, w))) > 0 THEN filter(t, w -> NOT array_contains(m, w)) ELSE t END",
+        f"tw_sizes_in(t STRING) RETURNS ARRAY<{kind}>": f"zip_with(regexp_extract_all(t, {size}, 1), regexp_extract_all(t, {size}, 2), (n, u) -> named_struct('dim', {unit('u')}.dim, 'amount', round({number('n')} * {unit('u')}.factor, 3)))",
+        f"tw_sizes(x STRING) RETURNS ARRAY<{kind}>": "tw_sizes_in(tw_bare(x))",
+        f"tw_pack_in(t STRING) RETURNS {kind}": f"CASE WHEN regexp_extract(t, {pack}, 1) <> '' THEN named_struct('dim', tw_unit(regexp_extract(t, {pack}, 3)).dim, 'amount', round(tw_number(regexp_extract(t, {pack}, 1)) * tw_number(regexp_extract(t, {pack}, 2)) * tw_unit(regexp_extract(t, {pack}, 3)).factor, 3)) END",
+        f"tw_pack(x STRING) RETURNS {kind}": "tw_pack_in(tw_bare(x))",
+        f"tw_size_of(p {kind}, s ARRAY<{kind}>) RETURNS {kind}": "coalesce(p, try_element_at(filter(s, y -> y.dim <> 'pc'), -1), try_element_at(filter(s, y -> y.dim = 'pc'), -1))",
+        f"tw_size_in(t STRING) RETURNS {kind}": "tw_size_of(tw_pack_in(t), tw_sizes_in(t))",
+        f"tw_size(x STRING) RETURNS {kind}": "tw_size_in(tw_bare(x))",
+        "tw_tokens_in(t STRING) RETURNS ARRAY<STRING>": f"array_sort(filter(split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {pack}, ' '), {size}, ' '), '[^a-z0-9α-ω ]', ' '), ' +', ' ')), ' '), t -> t <> '' AND t NOT IN ({stop})))",
+        "tw_tokens(x STRING) RETURNS ARRAY<STRING>": "tw_tokens_in(tw_bare(x))",
+        "tw_without(t ARRAY<STRING>, m ARRAY<STRING>) RETURNS ARRAY<STRING>": "CASE WHEN exists(t, w -> NOT array_contains(m, w)) THEN filter(t, w -> NOT array_contains(m, w)) ELSE t END",
         "tw_core(x STRING, b STRING) RETURNS ARRAY<STRING>": "tw_without(tw_tokens(x), split(tw_brand(b), ' '))",
-        "tw_promo(x STRING) RETURNS STRING": f"CASE WHEN regexp_extract(tw_bare(x), {promo}, 1) <> '' THEN array_join(sort_array(array(cast(regexp_extract(tw_bare(x), {promo}, 1) AS INT), cast(regexp_extract(tw_bare(x), {promo}, 2) AS INT))), '+') ELSE '' END",
-        "tw_match_key(x STRING, b STRING) RETURNS STRING": "concat_ws('|', array_join(tw_core(x, b), ' '), tw_brand(b), coalesce(concat(tw_size(x).dim, ':', cast(tw_size(x).amount AS STRING)), 'none'), concat_ws('/', tw_promo(x), "
-        f"CASE WHEN regexp_extract(tw_bare(x), {numbered}, 1) <> '' THEN cast(cast(regexp_extract(tw_bare(x), {numbered}, 1) AS INT) AS STRING) ELSE '' END, "
-        "CASE WHEN tw_size(x).dim IN ('vol', 'mass') THEN coalesce(cast(array_max(transform(filter(tw_sizes(x), s -> s.dim = 'pc'), s -> s.amount)) AS STRING), '') ELSE '' END))",
+        "tw_promo_in(t STRING) RETURNS STRING": f"CASE WHEN regexp_extract(t, {promo}, 1) <> '' THEN array_join(sort_array(array(cast(regexp_extract(t, {promo}, 1) AS INT), cast(regexp_extract(t, {promo}, 2) AS INT))), '+') ELSE '' END",
+        "tw_promo(x STRING) RETURNS STRING": "tw_promo_in(tw_bare(x))",
+        f"tw_key_of(t STRING, core ARRAY<STRING>, brand STRING, size {kind}, sizes ARRAY<{kind}>) RETURNS STRING": "concat_ws('|', array_join(core, ' '), brand, coalesce(concat(size.dim, ':', cast(size.amount AS STRING)), 'none'), concat_ws('/', tw_promo_in(t), "
+        f"CASE WHEN regexp_extract(t, {numbered}, 1) <> '' THEN cast(cast(regexp_extract(t, {numbered}, 1) AS INT) AS STRING) ELSE '' END, "
+        "CASE WHEN size.dim IN ('vol', 'mass') THEN coalesce(cast(array_max(transform(filter(sizes, s -> s.dim = 'pc'), s -> s.amount)) AS STRING), '') ELSE '' END))",
+        f"tw_key_with(t STRING, brand STRING, sizes ARRAY<{kind}>) RETURNS STRING": "tw_key_of(t, tw_without(tw_tokens_in(t), split(brand, ' ')), brand, tw_size_of(tw_pack_in(t), sizes), sizes)",
+        "tw_key_in(t STRING, brand STRING) RETURNS STRING": "tw_key_with(t, brand, tw_sizes_in(t))",
+        "tw_match_key(x STRING, b STRING) RETURNS STRING": "tw_key_in(tw_bare(x), tw_brand(b))",
     }
     return {head.split("(")[0]: f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}" for head, body in bodies.items()}
 
