@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantity import extract_size
-from ..functions.pairing import similar_between
-from ..functions.similarity import AUTO_BLOCK, profile
+from ..functions.pairing import between, name_classes, with_class
+from ..functions.similarity import AUTO_BLOCK
 from ..functions.text import product_key
+from ..session import kept
 from .timeseries import latest
 
 
@@ -82,12 +83,29 @@ def block_duplicates(fresh: DataFrame, products: DataFrame, least: float = AUTO_
 
     Candidates meet by the words that tell them apart, with brand and size, and not by each
     word of a category; a null category is one of its own.
+
+    Names are compared once, however many products have them: of each class and category the two
+    least stored ids are known, the second for a new product that has the first one's id.
     """
-    new, old = profile(fresh.select("id", "name", "brand", "category")), profile(products.where("canonical_id is null").select("id", "name", "brand", "category"))
-    scored = similar_between(new, old, least)
-    ours, theirs = new.select(F.col("id").alias("a"), F.col("category").alias("_a")), old.select(F.col("id").alias("b"), F.col("category").alias("_b"))
-    same = scored.join(ours, "a").join(theirs, "b").where(F.col("_a").eqNullSafe(F.col("_b"))).select(F.col("a").alias("id"), F.col("b").alias("candidate"), "score")
-    return best_match(fresh.select("id"), same, least).where("master is not null").select(F.col("id").alias("dup"), "master")
+    stored = products.where("canonical_id is null and id is not null").select("id", "name", "brand", "category")
+    names, known = name_classes(fresh.select("name", "brand").unionByName(stored.select("name", "brand")))
+    new = with_class(fresh.where("id is not null").select("id", "name", "brand", "category"), names).select("id", "class", "category")
+    old = kept(_least_two(with_class(stored, names), ["class", "category"], "id").select(F.col("class").alias("b"), "category", F.col("id").alias("candidate")))
+    asked = kept(new.select("class", "category").distinct())
+    of = lambda frame, c: known.join(frame.select(F.col(c).alias("id")).distinct(), "id", "left_semi")
+    close = between(of(asked, "class"), of(old, "b"), least)
+    theirs = old.withColumnRenamed("category", "_c")
+    met = asked.join(close, asked["class"] == close["a"]).join(theirs, "b").where(F.col("category").eqNullSafe(F.col("_c"))).select("class", "category", "score", "candidate")
+    best = _least_two(met, ["class", "category"], F.desc("score"), "candidate")
+    two = best.groupBy("class", "category").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "candidate"))).alias("m"))
+    told = two.select("class", F.col("category").alias("_c"), F.get("m.candidate", F.lit(0)).alias("one"), F.get("m.candidate", F.lit(1)).alias("two"))
+    found = new.join(told, "class").where(F.col("category").eqNullSafe(F.col("_c"))).select(F.col("id").alias("dup"), F.when(F.col("one") != F.col("id"), F.col("one")).otherwise(F.col("two")).alias("master"))
+    return found.where("master is not null")
+
+
+def _least_two(rows: DataFrame, keys: Sequence[str], *order: str | Column) -> DataFrame:
+    """The first two rows of each key."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r <= 2").drop("_r")
 
 
 def merge_sources(frames: Sequence[DataFrame]) -> DataFrame:
