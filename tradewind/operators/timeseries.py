@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import cents
 
 OFFER = ["product_id", "retailer"]
+#: Partitions of the changes of prices for each one of spark.sql.shuffle.partitions.
+PARTS_EACH = 16
 
 
 def latest(obs: DataFrame, keys: Sequence[str] = OFFER, upto: Column | None = None) -> DataFrame:
@@ -35,8 +37,9 @@ def offer_changes(obs: DataFrame, days: int) -> DataFrame:
     cut = obs.join(F.broadcast(now_of(obs)), how="cross").withColumn("past", F.col("observed_at") <= F.col("now") - F.expr(f"interval {int(days)} days"))
     price = F.col("price")
     above = F.when(price > 0, price)
-    # first by offer and time, then by offer: plain columns, so both are hash aggregations, after one shuffle by offer
-    times = cut.repartition(*OFFER).groupBy(*OFFER, "observed_at", "past").agg(F.max(price).alias("n1"), F.min(price).alias("n2"), F.max(above).alias("o1"), F.min(above).alias("o2"))
+    # by offer and time, by offer, and then by product, after one shuffle; a task holds what it has of all three, so there are many
+    parts = PARTS_EACH * int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    times = cut.repartition(parts, "product_id").groupBy(*OFFER, "observed_at", "past").agg(F.max(price).alias("n1"), F.min(price).alias("n2"), F.max(above).alias("o1"), F.min(above).alias("o2"))
     newest, last_past = F.col("observed_at"), F.when(F.col("past"), F.col("observed_at"))
     ends = times.groupBy(*OFFER).agg(F.max("observed_at").alias("observed_at"), *[F.max_by(c, newest).alias(c) for c in ("n1", "n2")], *[F.max_by(c, last_past).alias(c) for c in ("o1", "o2")])
     pairs = ends.select(*OFFER, "observed_at", F.explode(F.array("n1", "n2")).alias("new"), F.array("o1", "o2").alias("_o"))
