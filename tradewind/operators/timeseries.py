@@ -79,6 +79,20 @@ def history_map(obs: DataFrame) -> DataFrame:
     return series.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("retailer", "series"))).alias("history"))
 
 
+def stretches(obs: DataFrame, keys: Sequence[str] = OFFER) -> DataFrame:
+    """(keys..., from_at, to_at, price, n): the stretches of equal prices of each series, in the order of time and price; null equals null.
+
+    Windows and the grouping need one shuffle by the keys, and no row leaves the JVM; `tw_stretches` is the same as a table function.
+    """
+    parts = PARTS_EACH * int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = Window.partitionBy(*keys).orderBy("observed_at", "price")
+    same = (F.row_number().over(w) > 1) & F.col("price").eqNullSafe(F.lag("price").over(w))
+    cut = obs.select(*keys, "observed_at", "price").repartition(parts, *keys).withColumn("_fresh", F.when(same, 0).otherwise(1))
+    cut = cut.withColumn("_k", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = cut.groupBy(*keys, "_k").agg(F.min("observed_at").alias("from_at"), F.max("observed_at").alias("to_at"), F.max("price").alias("price"), F.count("*").cast("int").alias("n"))
+    return ends.drop("_k")
+
+
 def discount_percent(obs: DataFrame) -> DataFrame:
     return obs.withColumn("discount_pct", F.when(F.col("list_price") > 0, 100 * (F.col("list_price") - F.col("price")) / F.col("list_price")))
 
