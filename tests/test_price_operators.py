@@ -118,3 +118,19 @@ def test_an_item_added_again_stays(spark):
     events = [(at(1), "remove", 1, 5, None, None, None, None), (at(2), "add", 1, 5, None, "x", None, None), (at(2), "add", 1, 6, None, "y", None, None), (at(3), "remove", 1, 6, None, None, None, None)]
     _, now = lists.apply_events(shelf, items, spark.createDataFrame(events, kinds))
     assert [(r.id, r.name) for r in now.collect()] == [(5, "x")]
+
+
+def test_changes_are_dealt_to_many_tasks(spark):
+    """A task's memory is a small part of what one of spark.sql.shuffle.partitions would hold."""
+    rows = [(k % 5, "a", dt.datetime(2024, 1, 1 + k % 9), float(k)) for k in range(40)]
+    obs = spark.createDataFrame(rows, "product_id long, retailer string, observed_at timestamp, price double")
+    assert timeseries.offer_changes(obs, 3).rdd.getNumPartitions() >= 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_stretches(spark):
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [(1, "a", day(1), 2.0), (1, "a", day(2), 2.0), (1, "a", day(3), None), (1, "a", day(4), None), (1, "a", day(5), 2.0), (1, "b", day(5), 2.0)]
+    made = timeseries.stretches(spark.createDataFrame(rows, "product_id long, retailer string, observed_at timestamp, price double"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.product_id, r.retailer, r.from_at.day, r.to_at.day, r.price, r.n) for r in made.collect())
+    assert got == [(1, "a", 1, 2, 2.0, 2), (1, "a", 3, 4, None, 2), (1, "a", 5, 5, 2.0, 1), (1, "b", 5, 5, 2.0, 1)]
