@@ -15,8 +15,8 @@ from tradewind.llm.queries import SHARD_SEED, SHARDS, WEIGHTS, levels
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: sets of runs of five words with a Jaccard similarity of 0.8. Such are 39 of 256
-#: bits apart on average, with a deviation of 6; candidates share one of 6 least shingle hashes.
-NEAR = {"width": 5, "lanes": 4, "radius": 56, "keys": 6, "similarity": 0.8}
+#: bits apart on average, with a deviation of 6; candidates share one of 16 least shingle hashes, or two if these are common.
+NEAR = {"width": 5, "lanes": 4, "radius": 56, "keys": 16, "similarity": 0.8}
 
 #: With no document repeated, a budget of all tokens would leave weights no say.
 MIX_PERCENT = 80

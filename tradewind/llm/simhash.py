@@ -19,7 +19,8 @@ have no size bound. Two ways of dealing are offered:
 
 Shards give the links that connect them, at most one less than they have members, and
 connected components join them up. :func:`near_copies` takes what is within the radius for
-candidates only and counts the shingles of both documents.
+candidates only and counts the shingles of both documents; its shards are those of
+:func:`copy_shards`, which need no samples.
 """
 
 from __future__ import annotations
@@ -249,10 +250,14 @@ def sketch_shards(prints: DataFrame, keys: int, radius: int, limit: int = SHARD_
 # ---------------------------------------------------------------- confirmed by their shingles
 
 
-#: Sets under this many shingles have too few votes for the radius to hold; sizes decide alone.
-FEW_SHINGLES = 32
-#: A shard with up to so many pairs a member gives all of them; a larger one the nearest first.
-PAIRS_EACH = 4
+#: Sets under this many shingles have too few votes for the radius to hold. At a similarity of 0.8 each bit of theirs
+#: differs with a probability of 0.1875 at most (sets of four and five), so FEW_RADIUS of 256 is over seven deviations away.
+FEW_SHINGLES, FEW_RADIUS = 32, 96
+#: Least hashes that near copies are dealt by; so many that are not common are enough, as one of them is shared at 0.8
+#: but for a probability of 1e-4; else pairs are made of the common ones of so many first (fewer than two of eight are shared with 1e-4).
+COPY_KEYS, ENOUGH, PAIRED = 16, 6, 8
+#: Candidates of so few of 256 bits apart are compared when the tree meets them, others after it is searched.
+CLOSE = 24
 
 
 def _sketch(docs: DataFrame, width: int, lanes: int, keys: int) -> DataFrame:
@@ -275,38 +280,68 @@ def _sketch(docs: DataFrame, width: int, lanes: int, keys: int) -> DataFrame:
     return docs.select("file", "row", "id", "text").mapInArrow(run, "file long, row long, id long, rep long, n int, fp binary, least array<long>")
 
 
-def _pairs_in(key: int, fps: list[bytes], reps: list[int], sizes: list[int], comps: list[int] | None, radius: int, similarity: float) -> list[tuple[int, int, int, bool]]:
-    """(key, u, v, open): pairs of a shard within the radius whose sizes fit.
+def copy_shards(nodes: DataFrame, limit: int = SHARD_LIMIT) -> DataFrame:
+    """(key, fp, rep, n) for nodes (rep, fp, n, least): a shard for each least hash that several share.
 
-    Without components, all of them or, where there are more than PAIRS_EACH a member, the two
-    nearest of each, which leaves the shard open. With components, all that are in different ones.
+    A hash that over `limit` share is that of a common passage or of many near copies, and is no
+    shard by itself. A text with fewer than ENOUGH others meets those with which it shares two
+    such hashes of its PAIRED least; these shards have no limit. So a row is dealt a bounded
+    number of times, whatever the table.
     """
-    bits = np.frombuffer(b"".join(fps), dtype=np.uint64).reshape(len(fps), -1)
-    n, of = np.array(sizes), None if comps is None else np.array(comps)
-    out, near, total = [], [], 0
-    step = max(1, 2_000_000 // (len(fps) * bits.shape[1]))
-    for a in range(0, len(fps), step):
-        mine = np.arange(a, min(a + step, len(fps)))
-        far = np.bitwise_count(bits[mine, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int32)
-        low, high = np.minimum(n[mine, None], n), np.maximum(n[mine, None], n)
-        fit = ((far <= radius) | (low < FEW_SHINGLES)) & (low >= similarity * high - 1e-9)
-        fit[np.arange(len(mine)), mine] = False
-        if of is not None:
-            fit &= of[mine, None] != of
-        else:
-            far[~fit] = 9999
-            for _ in range(2):
-                best = far.argmin(axis=1)
-                good = far[np.arange(len(mine)), best] < 9999
-                near += zip(mine[good].tolist(), best[good].tolist(), strict=True)
-                far[np.arange(len(mine)), best] = 9999
-        fit &= mine[:, None] < np.arange(len(fps))
-        total += int(fit.sum())
-        if of is not None or total <= PAIRS_EACH * len(fps):
-            i, j = np.nonzero(fit)
-            out += zip((i + a).tolist(), j.tolist(), strict=True)
-    left = of is None and total > PAIRS_EACH * len(fps)
-    return [(key, min(reps[i], reps[j]), max(reps[i], reps[j]), left) for i, j in (near if left else out)]
+    rows = nodes.select("rep", F.posexplode("least").alias("at", "h"))
+    counts = rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h", (F.col("_n") > limit).alias("hot"))
+    cool, hot = F.when(~F.col("hot"), F.col("h")), F.when(F.col("hot") & (F.col("at") < PAIRED), F.col("h"))
+    met = rows.join(counts, "h").groupBy("rep").agg(F.collect_list(cool).alias("cool"), F.sort_array(F.collect_list(hot)).alias("hot"), F.count_if("hot").alias("common"))
+    both = F.flatten(F.transform("hot", lambda a, i: F.transform(F.slice("hot", i + 2, F.size("hot")), lambda b: F.xxhash64(a, b))))
+    few = F.size("least") - F.col("common") < ENOUGH
+    dealt = nodes.select("rep", "fp", "n", "least").join(met, "rep")
+    return dealt.select(F.explode(F.when(few, F.concat("cool", both)).otherwise(F.col("cool"))).alias("key"), "fp", "rep", "n")
+
+
+def copy_links(values: list[int], sizes: list[int], radius: int, similarity: float, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links (as places in `values`) that connect what is within the radius and of like size, found with a BK-tree.
+
+    With `sets` those alone are links whose sets are similar. A part of the tree that is joined
+    with a value already, or will be, is not searched: near copies cost little, however many.
+    """
+    children: list[dict[int, int]] = [{} for _ in values]
+    parent, only = list(range(len(values))), list(range(len(values)))  # only: a place of the one component below, or -1
+    links: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def join(i: int, j: int) -> None:
+        if root(i) != root(j) and (sets is None or _alike([(0, 1)], [sets[i], sets[j]], [0, 1], similarity)):
+            parent[root(i)] = root(j)
+            links.append((j, i))
+
+    for i, v in enumerate(values):
+        few = sizes[i] * similarity < FEW_SHINGLES
+        reach, hits, todo = max(radius, FEW_RADIUS) if few else radius, [], [0] if i else []
+        while todo:
+            at = todo.pop()
+            if only[at] >= 0 and root(only[at]) == root(i):
+                continue
+            d = (v ^ values[at]).bit_count()
+            if d <= reach:
+                low, high = (sizes[i], sizes[at]) if sizes[i] < sizes[at] else (sizes[at], sizes[i])
+                if low >= similarity * high - 1e-9 and (d <= radius or low < FEW_SHINGLES):
+                    if sets is None or d <= CLOSE:
+                        join(i, at)
+                    else:
+                        hits.append((d, at))
+            todo += [c for e, c in children[at].items() if d - reach <= e <= d + reach]
+        for _, at in sorted(hits):
+            join(i, at)
+        at = 0
+        while at != i:
+            if only[at] >= 0 and root(only[at]) != root(i):
+                only[at] = -1
+            at = children[at].setdefault((v ^ values[at]).bit_count(), i)
+    return links
 
 
 def _alike(pairs: list[tuple[int, int]], sets: list[np.ndarray], comps: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -333,79 +368,46 @@ def _alike(pairs: list[tuple[int, int]], sets: list[np.ndarray], comps: list[int
     return out
 
 
-def _shard_pairs(members: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(key, u, v, open) for members (key, fp, rep, n); see :func:`_pairs_in`.
-
-    With `component` and `sets` (the shingles' hashes) too, the pairs are compared in the shard
-    by all of their shingles, and only links leave it that join components: what is joined there is a link.
-    """
-    told = "component" in members.columns
+def _tree_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(u, v) for members (key, fp, rep, n), a BK-tree per key; with `sets` (the shingles' hashes), links that all shingles confirm."""
     parts = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = ["key", "fp", "rep", "n", *(["sets"] if "sets" in members.columns else [])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps, reps, sizes, comps, sets = None, [], [], [], [], []
-        found: list[tuple[int, int, int, bool]] = []
-
-        def close() -> None:
-            if len(fps) < 2:
-                return
-            pairs = _pairs_in(key, fps, reps, sizes, comps if told else None, radius, similarity)
-            if told:
-                place = {r: k for k, r in enumerate(reps)}
-                close_ = _alike([(place[u], place[v]) for _, u, v, _ in pairs], sets, comps, similarity)
-                pairs = [(key, min(reps[i], reps[j]), max(reps[i], reps[j]), False) for i, j in close_]
-            found.extend(pairs)
-
-        def out() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], ["key", "u", "v", "open"])
-            found.clear()
-            return made
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        _, fps, reps, sizes, *sets = zip(*rows, strict=True)
+        links = copy_links([int.from_bytes(x, "big") for x in fps], list(sizes), radius, similarity, [np.frombuffer(x, dtype="<u8") for x in sets[0]] if sets else None)
+        return [(reps[a], reps[b]) for a, b in links]
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                for k, fp, rep, n, *more in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
-                    if k != key:
-                        close()
-                        key, fps, reps, sizes, comps, sets = k, [], [], [], [], []
-                    fps.append(fp)
-                    reps.append(rep)
-                    sizes.append(n)
-                    if told:
-                        comps.append(more[0])
-                        sets.append(np.frombuffer(more[1], dtype="<u8"))
-            yield out()
-        close()
-        yield out()
-
-    columns = ["key", "fp", "rep", "n", *(["component", "sets"] if told else [])]
-    return members.select(*columns).repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "key long, u long, v long, open boolean")
-
-
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(rep, sets): the sorted shingle hashes of (rep, text)."""
+    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    @F.pandas_udf("binary")
-    def low(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([np.unique(shingle_hashes(x, width)).astype("<u8").tobytes() for x in batch])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                found = []
+                for row in zip(*(c.to_pylist() for c in whole.slice(at, 1024).columns), strict=True):
+                    if held and held[0][0] != row[0]:
+                        found += close(held)
+                        held = []
+                    held.append(row)
+                yield out(found)
+        yield out(close(held))
 
-    return texts.select("rep", low("text").alias("sets"))
+    return members.select(*columns).repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of sets with a Jaccard similarity of `similarity` or more; `texts` (rep, text) has each set once."""
+def _with_sets(rows: DataFrame, width: int) -> DataFrame:
+    """`rows` (key, fp, rep, n, text) with `sets`, the sorted shingle hashes, for the text."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("binary")
+    def low(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([np.unique(shingle_hashes(x, width)).view(np.int64) for x in batch])
+            yield pd.Series([np.unique(shingle_hashes(x, width)).astype("<u8").tobytes() for x in batch])
 
-    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "copy-wanted")
-    sets = stage(texts.join(wanted, "rep", "left_semi").select("rep", shingles("text").alias("h")), "copy-shingles")
-    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("rep").alias("v"), F.col("h").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+    return rows.select("key", "fp", "rep", "n", low("text").alias("sets"))
 
 
 def with_place(docs: DataFrame) -> DataFrame:
@@ -417,40 +419,24 @@ def with_place(docs: DataFrame) -> DataFrame:
         return stage(docs, "placed").select("*", *place)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 4, radius: int = 56, keys: int = 6, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = 4, radius: int = 56, keys: int = COPY_KEYS, similarity: float = 0.8, limit: int = SHARD_LIMIT) -> DataFrame:
     """(file, row, component): each row of `docs`, which :func:`with_place` made, with the group of near copies it is in, and `first`.
 
     A link joins texts whose sets of shingles have a Jaccard similarity of `similarity` or more,
-    counted exactly; components are those of all links among the candidates. Candidates are the
-    pairs of a sketch shard within the radius. Texts without words, or null, are one set. `first`
-    is true for the row of the least id in each group, null ids last; among rows of equal id for
-    the first in place.
+    counted exactly; components are those of all links among the candidates. BK-trees of the shards
+    (see :func:`copy_shards`) tell which texts the radius connects; each group so connected is
+    searched again in a tree of its own, with the sets of its members at hand. Texts without words,
+    or null, are one set. `first` is true for the row of the least id in each group, null ids last;
+    among rows of equal id for the first in place.
     """
     slim = stage(_sketch(docs.select("file", "row", F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), width, lanes, keys), "prints")
     at = F.struct("file", "row")
     nodes = stage(slim.groupBy("rep").agg(F.min(at).alias("at"), F.min_by("fp", at).alias("fp"), F.min_by("least", at).alias("least"), F.min("n").alias("n")), "distinct-prints")
-    places = nodes.select("rep", F.col("at.file").alias("file"), F.col("at.row").alias("row"))
-    members = sketch_shards(nodes, keys, radius, limit).join(nodes.select("rep", "n"), "rep")
+    near = components(_tree_links(copy_shards(nodes, limit), radius, similarity))
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())  # with the least nodes themselves
+    asked = stage(near.select(F.col("node").alias("rep"), F.col("component").alias("key")).join(nodes.select("rep", "fp", "n", "at.file", "at.row"), "rep"), "copy-groups")
     texts = docs.select("file", "row", F.col(text_col).cast("string").alias("text"))
-
-    def check(found: DataFrame) -> DataFrame:
-        pairs = stage(found.select("u", "v").distinct(), "copy-pairs")
-        asked = stage(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(places, "rep"), "copy-places")
-        return stage(_confirmed(pairs, texts.join(asked, ["file", "row"]).select("rep", "text"), width, similarity), "copy-links")
-
-    near = stage(_shard_pairs(members, radius, similarity), "copy-near")
-    links = check(near)
-    linked = components(links)
-    # of shards that gave their nearest pairs only: what these have not joined, compared within the shard
-    unsettled = near.where("open").select("key").distinct()
-    rest = members.join(unsettled, "key", "left_semi").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stage(rest.join(mixed, "key", "left_semi"), "copy-rest")
-    asked = stage(rest.select("rep").distinct().join(places, "rep"), "copy-places")
-    sets = _sets(texts.join(asked, ["file", "row"]).select("rep", "text"), width)
-    more = stage(_shard_pairs(rest.join(sets, "rep"), radius, similarity), "copy-near")
-    if not more.isEmpty():
-        linked = components(links.unionByName(check(more)))
+    linked = components(_tree_links(_with_sets(texts.join(asked, ["file", "row"]), width), radius, similarity))
     named = slim.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("file", "row", "id", F.coalesce("component", "rep").alias("component"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")
     kept = named.groupBy("component").agg(F.min(order).alias("keep"))
