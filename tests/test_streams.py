@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 from tradewind.operators import ingest
 from tradewind.streaming import alerts, folds, prices
 
@@ -125,3 +126,22 @@ def test_a_store_without_batches_is_empty(spark, tmp_path):
     assert [f.count() for f in (store.products(), store.offers(), store.history())] == [0, 0, 0]
     store.compact()
     assert store.products().count() == 0
+
+
+def test_a_batch_is_folded_once_for_products_and_offers(spark, tmp_path):
+    """The rows of a batch are read for their folds and for their prices, and no third time."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        read.add(1)
+        return x
+
+    rows = spark.createDataFrame(
+        [(f"n{k % 3}", "b", "c", None, f"r{k % 2}", f"s{k}", None, f"k{k % 3}", f"2024-01-0{1 + k % 7}", 1.0 + k, None, True) for k in range(20)],
+        "name string, brand string, category string, image_url string, retailer string, sku string, url string, shared_key string, observed_at string, price double, list_price double, in_stock boolean",
+    ).withColumns({"observed_at": F.col("observed_at").cast("timestamp"), "shared_key": seen("shared_key")})
+    store = folds.FoldedStore(spark, f"{tmp_path}/store")
+    store.apply(rows, 0)
+    assert read.value == 2 * 20
+    assert (store.products().count(), store.offers().count(), store.history().count()) == (3, 6, 20)

@@ -64,8 +64,13 @@ class FoldedStore:
         if number <= self._base("prices")[0]:
             return
         made = keyed(rows)
-        for table, (keys, values) in _FOLDED.items():
-            partial(made, keys, values).write.mode("overwrite").parquet(f"{self.path}/{table}/batch-{number}")
+        # products are the merge of their offers, so rows are folded once for both
+        both = partial(made, _FOLDED["offers"][0], [v for _, values in _FOLDED.values() for v in values]).persist()
+        try:
+            for table, (keys, values) in _FOLDED.items():
+                merged(both, keys, values).write.mode("overwrite").parquet(f"{self.path}/{table}/batch-{number}")
+        finally:
+            both.unpersist()
         # prices come last: a batch counts when it has them
         made.withColumn("in_stock", F.col("in_stock").cast("int")).select(*_PRICES).write.mode("overwrite").parquet(f"{self.path}/prices/batch-{number}")
 
