@@ -3,7 +3,8 @@
 import random
 
 import numpy as np
-from tradewind.llm import simhash
+from pyspark.sql import functions as F
+from tradewind.llm import line_dedup, simhash
 
 
 def test_near_copies_are_found_in_trees():
@@ -59,3 +60,16 @@ def test_bits_of_small_sets_differ_within_their_radius():
             whole = rng.integers(0, 1 << 63, n + int(n * 0.25 + 1e-9), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n + int(n * 0.25 + 1e-9), dtype=np.uint64)
             a, b = (int.from_bytes(simhash.fingerprint(x, 4), "big") for x in (whole, whole[:n]))
             assert (a ^ b).bit_count() <= simhash.FEW_RADIUS
+
+
+def test_lines_are_blocked_by_spark_alone(spark):
+    """No Python on the executors; words known as frequent come later, yet lines of nothing else meet."""
+    words = [f"frequent{k}" for k in range(20)]
+    lines = [" ".join(words), " ".join([*words[:9], "other", *words[10:]]), " ".join(f"lonely{k}" for k in range(20))]
+    frame = spark.createDataFrame(list(enumerate(lines)), "c long, norm string")
+    known = [r.h for r in frame.selectExpr("explode(split(norm, ' ')) w").where("w like 'frequent%'").selectExpr("xxhash64(w) h").distinct().collect()]
+    for frequent in ([], known):
+        found = line_dedup.candidates(frame.select("c", line_dedup.sketches(F.col("norm"), frequent).alias("sk")), 0.8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+        assert [(r.a, r.b) for r in found.collect()] == [(0, 1)]
